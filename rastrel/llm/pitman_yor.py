@@ -5,7 +5,7 @@ Words are modelled by two hierarchies of restaurants that meet in one:
 * symbols: each of the SYMBOLS most frequent words is a symbol of its own, all others are the symbol "rare". The
   restaurant of a context, the last frequent word before, shares its parent with all other contexts, whose own base is
   uniform.
-* rare words: one restaurant, whose tables order their words from a hierarchy over bytes: contexts of up to 3 bytes,
+* rare words: one restaurant, whose tables order their words from a hierarchy over bytes: contexts of up to 5 bytes,
   each the child of the context without its first byte, down to a uniform base.
 
 So the probability of a rare word is that of "rare" in its context times that of its spelling among rare words, and
@@ -15,8 +15,8 @@ averaged over the samples.
 
 Counts cover the whole corpus. Tokens stay in chunks; a chunk asks the shards, to which words are dealt by hash, for
 the counts and probabilities of its distinct words, so a word costs one entry a chunk however frequent it is. Only
-tables of bounded size reach one task: symbol pairs (SYMBOLS squared) and byte contexts (the CONTEXTS most frequent
-of 3 bytes, and all shorter).
+tables of bounded size reach one task: symbol pairs (SYMBOLS squared) and byte contexts (of each
+length the CONTEXTS most frequent, and all of up to 2 bytes; what a dropped context held goes to the next shorter one).
 """
 
 from __future__ import annotations
@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 
 from rastrel.llm.common import fresh_path, materialise, table
 
-SYMBOLS = 1000
-CONTEXTS = 50_000
-ORDER = 3
+SYMBOLS = 1500
+CONTEXTS = 100_000
+ORDER = 5
+#: Contexts of up to so many bytes are all kept.
+SHORT = 2
 #: Tokens of a chunk, about.
 CHUNK = 2_000_000
 LEAST_SHARDS = 32
@@ -61,7 +63,7 @@ class Seating:
         """Of each restaurant."""
         return np.bincount(self.at, self.t, self.restaurants)
 
-    def begin(self, p: np.ndarray, moves: int) -> None:
+    def begin(self, p: np.ndarray) -> None:
         """Seats all customers, given the parent's probability of each dish: one by one at first, then in larger and larger groups."""
         c, d = self.c, self.d
         weight = (self.theta + d * self.tables()[self.at]) * p
@@ -74,19 +76,21 @@ class Seating:
             j += step
             on = on[c[on] > j]
         self.t = np.minimum(t.astype(np.int64), c)
-        self.room = self.t + np.where(c > 1, moves + 1, 0)
-        self.first = np.cumsum(self.room) - self.room
-        self.used = self.t.copy()
-        size = np.zeros(int(self.room.sum()), np.int64)
         owner = np.repeat(np.arange(len(c)), self.t)
-        slot = self.first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(self.t) - self.t, self.t)
         # One customer each, the others by uneven random shares; what rounding leaves goes to the first table.
         share = self.rng.random(len(owner)) ** 3
-        total = np.bincount(owner, share, len(c))
-        extra = np.floor(share / np.maximum(total[owner], 1e-300) * (c - self.t)[owner]).astype(np.int64)
-        size[slot] = 1 + extra
-        size[self.first] += c - np.bincount(owner, 1 + extra, len(c)).astype(np.int64)
-        self.size = size
+        extra = np.floor(share / np.maximum(np.bincount(owner, share, len(c))[owner], 1e-300) * (c - self.t)[owner]).astype(np.int64)
+        size = 1 + extra
+        size[np.cumsum(self.t) - self.t] += c - np.bincount(owner, size, len(c)).astype(np.int64)
+        self._lay(owner, size, 0)
+
+    def _lay(self, owner: np.ndarray, size: np.ndarray, spare: int) -> None:
+        """Lays the tables out by dish, with room for new ones where customers can move."""
+        self.room = self.t + np.where(self.c > 1, spare, 0)
+        self.first = np.cumsum(self.room) - self.room
+        self.used = self.t.copy()
+        self.size = np.zeros(int(self.room.sum()), np.int64)
+        self.size[self.first[owner] + np.arange(len(owner)) - (np.cumsum(self.t) - self.t)[owner]] = size
 
     def _pick(self, dishes: np.ndarray, total: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A random customer's table, for each of these dishes."""
@@ -120,6 +124,8 @@ class Seating:
             left = left[~ok]
 
     def moves(self, p: np.ndarray, n: int) -> None:
+        taken = np.flatnonzero(self.size)
+        self._lay(np.repeat(np.arange(len(self.c)), self.room)[taken], self.size[taken], n)
         for _ in range(n):
             self.move(p)
 
@@ -178,7 +184,7 @@ def sample_hierarchy(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.n
                 c = own[k] + np.bincount(levels[k + 1][2], seats[k + 1].t, len(own[k])).astype(np.int64)
                 seats[k] = Seating(rng, ctx[k][1], c, len(ctx[k][0]), d[k], theta)
             if seats[k].size is None or k < n - 1:
-                seats[k].begin(below, MOVES * (BURN_IN + SAMPLES) if k == n - 1 else MOVES)
+                seats[k].begin(below)
             seats[k].moves(below, MOVES)
         p = predictions()
         if turn >= BURN_IN:
@@ -197,7 +203,7 @@ def _find(codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each word and its end: code of 3 bytes before it and itself; and the word's first row."""
+    """For each byte of each word and its end: code of the ORDER bytes before it and itself; and the word's first row."""
     n = np.fromiter(map(len, words), np.int64, len(words)) + 1
     flat = np.frombuffer(b"\n".join(words) + b"\n", np.uint8).astype(np.int64)  # words have no white space
     first = np.cumsum(n) - n
@@ -220,21 +226,17 @@ class Spelling:
         self.levels = levels
 
     @classmethod
-    def fit(cls, code: np.ndarray, n: np.ndarray, contexts: int = CONTEXTS) -> Spelling:
-        """From the customers n of the codes of 3 bytes and a symbol."""
-        top = np.bincount(np.unique(code >> 9, return_inverse=True)[1], n).astype(np.int64) if len(code) else np.zeros(0, np.int64)
-        ctx = np.unique(code >> 9)
-        keep = ctx[np.lexsort((ctx, -top))[:contexts]] if len(ctx) > contexts else ctx
-        full = np.isin(code >> 9, keep)
-        grams = [np.unique(_level_codes(code, k)) for k in range(ORDER)] + [np.sort(code[full])]
-        own = [np.zeros(len(g), np.int64) for g in grams]
-        own[ORDER][_find(grams[ORDER], code[full])[0]] = n[full]
-        np.add.at(own[ORDER - 1], _find(grams[ORDER - 1], _level_codes(code[~full], ORDER - 1))[0], n[~full])
+    def fit(cls, level: np.ndarray, code: np.ndarray, n: np.ndarray) -> Spelling:
+        """From the customers n of codes, each at the level of its context's length."""
+        grams = [np.zeros(0, np.int64)] * (ORDER + 1)
+        for k in range(ORDER, -1, -1):
+            above = _level_codes(grams[k + 1], k) if k < ORDER else grams[ORDER]
+            grams[k] = np.unique(np.concatenate([code[level == k], above]))
         levels = []
         for k, g in enumerate(grams):
-            parent = _find(grams[k - 1], _level_codes(g, k - 1))[0] if k else np.zeros(len(g), np.int64)
-            levels.append((g, g >> 9, parent, own[k]))
-        # Shorter grams that only dropped contexts hold have customers of their own; others come as tables.
+            own = np.zeros(len(g), np.int64)
+            np.add.at(own, _find(g, code[level == k])[0], n[level == k])
+            levels.append((g, g >> 9, _find(grams[k - 1], _level_codes(g, k - 1))[0] if k else np.zeros(len(g), np.int64), own))
         return cls(sample_hierarchy(levels, 1.0 / BYTES))
 
     def log10(self, words: list[bytes]) -> np.ndarray:
@@ -439,7 +441,7 @@ def _seat_rare(c: np.ndarray, p: np.ndarray, corpus: Corpus, seed: int) -> tuple
     scale = corpus.rare_types / max(1, len(c))
     s = Seating(rng, np.zeros(len(c), np.int64), c, 1, corpus.rare_discount, 1.0)
     s.tables = lambda: np.array([s.t.sum() * scale])
-    s.begin(p, MOVES * (BURN_IN + SAMPLES))
+    s.begin(p)
     mean = np.zeros(len(c))
     for turn in range(BURN_IN + SAMPLES):
         s.moves(p, MOVES)
@@ -448,7 +450,20 @@ def _seat_rare(c: np.ndarray, p: np.ndarray, corpus: Corpus, seed: int) -> tuple
     return mean, s.t
 
 
-def spelling_model(asked: DataFrame, corpus: Corpus) -> Spelling:
+def _bounded(counted: DataFrame, contexts: int) -> DataFrame:
+    """level, code, n: the customers of codes at the longest context that is kept; ties between contexts go to the lesser."""
+    rest, kept = materialise(counted, "lm-spelled"), None
+    for k in range(ORDER, SHORT, -1):
+        rest = rest.withColumn("ctx", F.shiftright("code", 9))
+        top = rest.groupBy("ctx").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "ctx").limit(contexts).select("ctx")
+        stay = rest.join(F.broadcast(top), "ctx", "left_semi").select(F.lit(k).alias("level"), "code", "n")
+        kept = stay if kept is None else kept.unionByName(stay)
+        gone = rest.join(F.broadcast(top), "ctx", "left_anti").select(F.col("code").bitwiseAND(F.lit((1 << (9 + 8 * (k - 1))) - 1)).alias("code"), "n")
+        rest = materialise(gone.groupBy("code").agg(F.sum("n").alias("n")), "lm-spelled")
+    return kept.unionByName(rest.select(F.lit(SHORT).alias("level"), "code", "n"))
+
+
+def spelling_model(asked: DataFrame, corpus: Corpus, contexts: int = CONTEXTS) -> Spelling:
     """Learns the byte hierarchy from the tables of rare words, as seated over a base that spells uniformly."""
     sent = asked.sparkSession.sparkContext.broadcast(corpus)
 
@@ -465,12 +480,12 @@ def spelling_model(asked: DataFrame, corpus: Corpus) -> Spelling:
         n = np.bincount(at, np.repeat(tables, np.diff(np.append(first, len(code)))), len(grams)).astype(np.int64)
         return pa.table({"code": pa.array(grams), "n": pa.array(n)})
 
-    counted = asked.groupBy("shard").applyInArrow(spell, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counted = _bounded(asked.groupBy("shard").applyInArrow(spell, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), contexts)
 
     def sample(t: pa.Table) -> pa.Table:
-        code, n = t["code"].to_numpy(), t["n"].to_numpy()
-        order = np.argsort(code)
-        levels = Spelling.fit(code[order], n[order]).levels
+        level, code, n = (t[k].to_numpy().astype(np.int64) for k in ("level", "code", "n"))
+        order = np.lexsort((code, level))
+        levels = Spelling.fit(level[order], code[order], n[order]).levels
         return pa.table({k: pa.array([_ints(getattr(lv, k), kind) for lv in levels], pa.binary()) for k, kind in (("gram", "<i8"), ("p", "<f8"), ("context", "<i8"), ("back", "<f8"))} | {"k": pa.array(range(len(levels)), pa.int32())})
 
     got = counted.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: sample(t), "gram binary, p binary, context binary, back binary, k int").collect()
