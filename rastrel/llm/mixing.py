@@ -28,21 +28,18 @@ def quality(n_words, word_chars):
     return F.when(n_words > 0, 1.0 / (1.0 + F.abs(word_chars / n_words - 5.0) / 5.0)).otherwise(F.lit(1.0))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source key, size, sampling key and its bucket for every document (not its text)."""
-    w = docs.select("doc_id", "source", "text", words(F.col("text")).alias("w"))
-    n = F.size("w").cast("long")
-    out = w.select(
-        "doc_id",
-        F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))).alias("src"),
-        n.alias("size"),
-        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tie"),
-        quality(F.size("w"), F.length(F.array_join("w", ""))).alias("quality"),
-    )
-    digest = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "tie").cast("binary"))
+def sized(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """carry..., source key, size, place (sampling key, id, md5 of the text) and bucket of every document."""
+    keep = tuple(dict.fromkeys((*carry, "doc_id", "source", "text")))
+    w = docs.select(*keep, words(F.col("text")).alias("_w"))
+    source = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
+    tie = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    out = w.select(*keep, source.alias("_src"), F.size("_w").cast("long").alias("_size"), tie.alias("_tie"), quality(F.size("_w"), F.length(F.array_join("_w", ""))).alias("_quality"))
+    digest = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_tie").cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)
-    out = out.withColumn("key", -F.log(u) / F.col("quality"))
-    return out.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1.0 - F.exp(-F.col("key"))))).cast("int"))
+    out = out.withColumn("_key", -F.log(u) / F.col("_quality"))
+    bucket = F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1.0 - F.exp(-F.col("_key"))))).cast("int")
+    return out.select(*carry, "_src", "_size", F.struct(F.col("_key").alias("key"), F.col("doc_id").alias("id"), F.col("_tie").alias("tie")).alias("_place"), bucket.alias("_bucket"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -51,6 +48,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     A source is full where its share of what the fuller ones before it leave is `most` times its size or more;
     the rest share what is left by weight. Rows: sources, so the windows without partition stay small.
     """
+    sizes = sizes.select(F.col("_src").alias("src"), F.col("_size").alias("size"))
     by_name = W.orderBy("src")
     pattern = F.array(*[F.lit(x) for x in weights])
     s = sizes.groupBy("src").agg(F.sum("size").alias("source_size"))
@@ -72,37 +70,52 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     return s.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * (left / open_weight))).select("src", "source_size", "target")
 
 
+def plan(d: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """What each source of sized documents gives: _src, source_size, target, epochs (whole ones), edge (the first bucket
+    that isn't wholly in what is left) and cut (the last place within that bucket that is in)."""
+    goal = targets(d, weights, share, most)
+    goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    goal = goal.select(F.col("src").alias("_src"), "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
+    buckets = d.groupBy("_src", "_bucket").agg(F.sum("_size").alias("n"))
+    buckets = buckets.withColumn("upto", F.sum("n").over(W.partitionBy("_src").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)))
+    edge = buckets.join(goal.select("_src", "rest"), "_src").where(F.col("upto") > F.col("rest")).groupBy("_src").agg(F.min(F.struct("_bucket", "upto", "n")).alias("e"), F.first("rest").alias("rest"))
+    edge = materialise(edge.select("_src", F.col("e._bucket").alias("edge"), (F.col("e.upto") - F.col("e.n")).alias("before"), "rest"), "mix-edges")
+    last = d.join(edge.withColumnRenamed("edge", "_bucket"), ["_src", "_bucket"])
+    ahead = W.partitionBy("_src").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum("_size").over(ahead), F.lit(0))
+    # A document is in if at least half of it lies within the rest, which keeps the sum nearest to it.
+    last = last.withColumn("in", start + F.col("_size") / 2.0 <= F.col("rest")).where("in").groupBy("_src").agg(F.max("_place").alias("cut"))
+    goal = goal.join(edge.select("_src", "edge"), "_src", "left").join(last, "_src", "left")
+    return materialise(goal.select("_src", "source_size", "target", "epochs", F.coalesce("edge", F.lit(BUCKETS)).alias("edge"), "cut"), "mix-plan")
+
+
+def decide(d: DataFrame, plan: DataFrame, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+    """Sized documents with their source's source_size and target, and times: how often each is taken."""
+    d = d.join(F.broadcast(plan) if plan.count() <= broadcast_sources else plan, "_src")
+    chosen = (F.col("_bucket") < F.col("edge")) | ((F.col("_bucket") == F.col("edge")) & F.coalesce(F.col("_place") <= F.col("cut"), F.lit(False)))
+    return d.withColumn("times", F.when(F.col("_size") > 0, F.col("epochs") + chosen.cast("long")).otherwise(0))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
-    """Words that the mix takes of every document.
+    """Words that the mix takes of every document: doc_id, size, source_size, target, taken.
 
-    docs: doc_id, text, source, and whatever else (ignored). Returns doc_id, src (the source behind '0', or '1' for
-    null), tie (md5 of the text), size, source_size, target, epochs (whole epochs), taken. Null and blank texts have
-    size 0 and are never taken; a null doc_id or source counts as a value of its own; repeated rows are documents of
-    their own and interchangeable; an empty table gives an empty result. The same rows give the same mix.
+    docs: doc_id, text, source, and whatever else (ignored). Null and blank texts have size 0 and are never taken; a null
+    doc_id or source counts as a value of its own; rows that repeat all three are taken alike, also at the cut; an empty
+    table gives an empty result. The same rows give the same mix.
     """
     d = materialise(sized(docs), "mix-sized")
-    goal = targets(d, weights, share, most)
-    goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    buckets = d.groupBy("src", "bucket").agg(F.sum("size").alias("in_bucket"))
-    buckets = buckets.withColumn("upto", F.sum("in_bucket").over(W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)))
-    # The first bucket that the rest doesn't fill; where it fills all of them, none.
-    edge = buckets.join(goal.select("src", "rest"), "src").where(F.col("upto") > F.col("rest")).groupBy("src").agg(F.min(F.struct("bucket", "upto", "in_bucket")).alias("e"))
-    edge = edge.select("src", F.col("e.bucket").alias("edge"), (F.col("e.upto") - F.col("e.in_bucket")).alias("before"))
-    plan = materialise(goal.join(edge, "src", "left").withColumn("edge", F.coalesce("edge", F.lit(BUCKETS))), "mix-plan")
-    d = d.join(F.broadcast(plan) if plan.count() <= broadcast_sources else plan, "src")
-    inside, edges = d.where(F.col("bucket") != F.col("edge")), d.where(F.col("bucket") == F.col("edge"))
-    ahead = W.partitionBy("src").orderBy("key", "doc_id", "tie").rowsBetween(W.unboundedPreceding, -1)
-    start = F.col("before") + F.coalesce(F.sum("size").over(ahead), F.lit(0))
-    # A document is in if at least half of it lies within the rest, which keeps the sum nearest to it.
-    edges = edges.withColumn("more", (start + F.col("size") / 2.0 <= F.col("rest")).cast("long"))
-    inside = inside.withColumn("more", (F.col("bucket") < F.col("edge")).cast("long"))
-    both = inside.unionByName(edges)
-    return both.select("doc_id", "src", "tie", "size", "source_size", "target", "epochs", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"))
+    out = decide(d, plan(d, weights, share, most), broadcast_sources)
+    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("times")).alias("taken"))
+
+
+def mixed(docs: DataFrame, carry: tuple[str, ...], weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The mix itself: the columns of `carry` of each document, as often as it is taken. Texts aren't shuffled."""
+    out = decide(sized(docs, carry), plan(materialise(sized(docs), "mix-sized"), weights, share, most)).where("times > 0")
+    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*carry)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"))
 
 
 OP10_SQL = r"""

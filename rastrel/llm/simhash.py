@@ -2,10 +2,13 @@
 
 Equal fingerprints are one node. A table holds each node's Hamming distances to reference fingerprints (pivots); by the
 triangle inequality two fingerprints that differ in d bits differ by d at most in every coordinate of that table, so
-pairs are discarded by their largest coordinate difference, and the survivors are verified bit by bit. Pairs come from
-blocks of bits: with 64 bits in b blocks, two fingerprints that differ in 3 bits agree on b - 3 blocks, so every choice
-of b - 3 blocks is a key under which nodes meet; no link is lost. Crowded keys are tiled over tasks. What a key's
-nodes link to is handed on as trees, not pairs, and components grow from those.
+pairs are discarded by their largest coordinate difference, and the survivors are verified bit by bit.
+
+Pairs come from keys under which nodes meet. For links at few bits these are blocks of bits: with 64 bits in b blocks,
+two fingerprints that differ in 3 bits agree on b - 3 blocks, so every choice of b - 3 blocks is a key; no link is
+lost. For links by similarity, fingerprints have 256 bits, and a key is the hash of a slice of a text's shingles:
+texts as similar as that have nearly always one of their slices in common. Crowded keys are tiled over tasks. What a
+key's nodes link to is handed on as trees, not pairs, and components grow from those.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from rastrel.llm.common import materialise, table
 
@@ -30,39 +34,104 @@ CROWDED = 4096
 FEW = 16
 #: Up to so many crowded keys (16 bytes each) are broadcast; beyond, nodes meet them by shuffle.
 BROADCAST_KEYS = 100_000
+#: Further words of 64 bits of fingerprints for links by similarity.
+MORE = 3
+#: Slices that are keys, of each text; shingles in a slice, from and (nearly) up to; texts up to so many shingles have them all as keys.
+SLICES, IN_SLICE, ALONE = 20, 4, 20
+#: Standard deviations that the distance of two texts of the given similarity may exceed its mean by.
+SLACK = 2.0
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text, as a signed long."""
+def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     words = (text or b"").lower().split()  # bytes: A-Z, and white space [\x20\x09-\x0D], alone
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))
     size = min(shingle, len(words))
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1].tolist()
     h = b"".join([xxhash.xxh64_digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)])
-    n, bits = len(h) // 8, np.zeros(64, np.int64)
-    raw = np.frombuffer(h, np.uint8).reshape(-1, 8)
-    for a in range(0, n, 8192):
+    return np.frombuffer(h, ">u8").astype(np.uint64)
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed long."""
+    bits, raw = np.zeros(64, np.int64), h.astype(">u8").view(np.uint8).reshape(-1, 8)
+    for a in range(0, len(raw), 8192):
         bits += np.unpackbits(raw[a : a + 8192], axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big", signed=True)
+    return int.from_bytes(np.packbits(2 * bits > len(h)).tobytes(), "big", signed=True)
+
 
+def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
+    """Other hashes of what these are hashes of."""
+    z = h + np.uint64((turn * 0x9E3779B97F4A7C15) & (2**64 - 1))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
-def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
-    """carry..., fp of every whole text."""
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text, as a signed long."""
+    return _majority(_hashes(text, shingle))
+
+
+def _slices(h: np.ndarray) -> tuple[list[int], list[int]]:
+    """Keys of a text's distinct shingle hashes: number of the slice with its level, and hash of what is in it.
+
+    A level halves the slices of the one before; texts near the border of two levels have keys of both.
+    """
+    h = np.unique(h)
+    c: list[int] = []
+    k: list[int] = []
+    if len(h) <= ALONE:
+        c, k = [-1] * len(h), h.astype(np.int64).tolist()
+    if len(h) > 0.8 * ALONE:
+        levels = {int(np.log2(len(h) * x / IN_SLICE)) for x in (1, 0.81, 1.22)}
+        for level in sorted(levels):
+            part = (h >> np.uint64(64 - level)).astype(np.int64)
+            n = int(np.searchsorted(part, SLICES))
+            starts = np.flatnonzero(np.diff(part[:n], prepend=-1))
+            if n:
+                c += (level << 8 | part[starts]).tolist()
+                k += np.add.reduceat(_mixed(h[:n], MORE + 1), starts).astype(np.int64).tolist()
+    return c, k
+
+
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, more: int = 0) -> DataFrame:
+    """carry..., fp of every whole text; with `more`, that many further words of bits (more), and the slices' keys (c, k)."""
+    schema = docs.select(*carry).schema.add("fp", "long")
+    if more:
+        schema = schema.add("more", ArrayType(LongType())).add("c", ArrayType(LongType())).add("k", ArrayType(LongType()))
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            texts = batch.column("text").cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array([fingerprint(x.as_py(), shingle) for x in texts], pa.int64())], names=[*carry, "fp"])
+            fp, wide, c, k = [], [], [], []
+            for x in batch.column("text").cast(pa.binary()):
+                h = _hashes(x.as_py(), shingle)
+                fp.append(_majority(h))
+                if more:
+                    wide.append([_majority(_mixed(h, i)) for i in range(1, more + 1)])
+                    keys = _slices(h)
+                    c.append(keys[0])
+                    k.append(keys[1])
+            made = [pa.array(fp, pa.int64()), *([pa.array(x, pa.list_(pa.int64())) for x in (wide, c, k)] if more else [])]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in carry], *made], names=schema.fieldNames())
+
+    return docs.select(*carry, *(["text"] if "text" not in carry else [])).mapInArrow(make, schema)
+
 
-    return docs.select(*carry, *(["text"] if "text" not in carry else [])).mapInArrow(make, docs.select(*carry).schema.add("fp", "long"))
+def pivots(n: int = PIVOTS, word: int = 0) -> list[int]:
+    """Reference fingerprints (a word of 64 bits of each), the same for every table: hashes of their numbers."""
+    return [int.from_bytes(xxhash.xxh64_digest(b"pivot %d" % i, 42 + word), "big", signed=True) for i in range(n)]
 
 
-def pivots(n: int = PIVOTS) -> list[int]:
-    """Reference fingerprints, the same for every table: hashes of their numbers."""
-    return [int.from_bytes(xxhash.xxh64_digest(b"pivot %d" % i, 42), "big", signed=True) for i in range(n)]
+def pivot_table(nodes: DataFrame, more: int = 0) -> DataFrame:
+    """bits (all words of the fingerprint) and far (distances to the pivots) of nodes (fp, more)."""
+    words = [F.col("fp"), *[F.col("more")[i] for i in range(more)]]
+    refs = [pivots(word=w) for w in range(more + 1)]
+    far = [sum((F.bit_count(x.bitwiseXOR(F.lit(refs[w][p]))) for w, x in enumerate(words)), F.lit(0)).cast("short") for p in range(PIVOTS)]
+    return nodes.select("fp", F.array(*words).alias("bits"), F.array(*far).alias("far"))
 
 
 def masks(blocks: int, distance: int = DISTANCE) -> list[int]:
@@ -73,27 +142,31 @@ def masks(blocks: int, distance: int = DISTANCE) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in made]
 
 
-def _near(fp: np.ndarray, far: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+def _apart(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+
+
+def _near(bits: np.ndarray, far: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     """Which of the pairs (a, b) link: not discarded by a coordinate, then verified."""
     for p in range(far.shape[1]):
         left = np.abs(far[a, p] - far[b, p]) <= distance
         a, b = a[left], b[left]
         if not len(a):
             break
-    ok = np.bitwise_count(fp[a] ^ fp[b]) <= distance
+    ok = _apart(bits, a, b) <= distance
     return np.stack([a[ok], b[ok]], 1)
 
 
-def _tree(fp: np.ndarray, far: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def _tree(bits: np.ndarray, far: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links from every node to the first of its component among these nodes."""
-    n = len(fp)
+    n = len(bits)
     adjacent = np.zeros((n, n), bool)
     for a in range(0, n, 256):
         left = np.ones((min(256, n - a), n), bool)
         for p in range(far.shape[1]):
             left &= np.abs(far[a : a + 256, p, None] - far[None, :, p]) <= distance
         i, j = np.nonzero(left)
-        ok = np.bitwise_count(fp[i + a] ^ fp[j]) <= distance
+        ok = _apart(bits, i + a, j) <= distance
         adjacent[i[ok] + a, j[ok]] = True
     links, new = [], np.ones(n, bool)
     for root in range(n):
@@ -111,16 +184,16 @@ def _tree(fp: np.ndarray, far: np.ndarray, distance: int) -> list[tuple[int, int
 
 
 def _links(it: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Links of rows (key columns..., fp, far) that are sorted by key, each key's rows together."""
+    """Links of rows (key columns..., fp, bits, far) that are sorted by key, each key's rows together."""
     rest = None
 
     def key_of(t: pa.Table) -> np.ndarray:
-        return np.stack([t[c].to_numpy().astype(np.int64) for c in t.column_names if c not in ("fp", "far")], 1)
+        return np.stack([t[c].to_numpy().astype(np.int64) for c in t.column_names if c not in ("fp", "bits", "far")], 1)
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, fp = key_of(t), t["fp"].to_numpy().astype(np.int64).view(np.uint64)
-        flat = t["far"].combine_chunks().flatten().to_numpy().astype(np.int8)
-        far = flat.reshape(len(fp), -1)
+        key, fp = key_of(t), t["fp"].to_numpy()
+        bits = t["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fp), -1)
+        far = t["far"].combine_chunks().flatten().to_numpy().astype(np.int16).reshape(len(fp), -1)
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
         sizes = np.diff(np.append(starts, len(fp)))
         group = np.repeat(np.arange(len(starts)), sizes)
@@ -131,13 +204,13 @@ def _links(it: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBat
             few = few[few + shift < last[few]]
             if not len(few):
                 break
-            pairs.append(_near(fp, far, few, few + shift, distance))
+            pairs.append(_near(bits, far, few, few + shift, distance))
         for g in np.flatnonzero(sizes > FEW):
             s = slice(starts[g], starts[g] + sizes[g])
-            if tree := _tree(fp[s], far[s], distance):
+            if tree := _tree(bits[s], far[s], distance):
                 pairs.append(np.array(tree) + starts[g])
         if pairs and len(found := np.concatenate(pairs)):
-            yield pa.RecordBatch.from_arrays([pa.array(fp[found[:, 0]].view(np.int64)), pa.array(fp[found[:, 1]].view(np.int64))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp[found[:, 0]]), pa.array(fp[found[:, 1]])], names=["a", "b"])
 
     for batch in it:
         t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
@@ -153,31 +226,39 @@ def _links(it: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBat
         yield from work(rest)
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED, broadcast_keys: int = BROADCAST_KEYS, n: int | None = None) -> DataFrame:
-    """a, b: links among distinct fingerprints (fp), enough of them to connect all that are `distance` bits apart."""
-    spark = nodes.sparkSession
-    n = nodes.count() if n is None else n
+def block_keys(nodes: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
+    """c, k, fp: the choices of blocks of bits, more of them and with more bits each the more nodes there are."""
     blocks = distance + (2 if n <= 1 << 22 else 3 if n <= 1 << 30 else 4)
-    far = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots()])
-    known = materialise(nodes.select("fp", far.alias("far")), "simhash-pivots")
-    keyed = known.select("fp", "far", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks, distance)])).alias("c", "k"))
-    sizes = known.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks, distance)])).alias("c", "k")).groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = materialise(sizes, "simhash-keys")
+    return nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks, distance)])).alias("c", "k")).select(F.col("c").cast("long"), "k", "fp")
+
+
+def links(keys: DataFrame, known: DataFrame, distance: int, crowded: int = CROWDED, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """a, b: links at `distance` bits among nodes that share a key, enough of them to connect all such.
+
+    keys: c, k, fp; known: fp, bits, far, the pivot table. Keys of one node alone go before anything is attached.
+    """
+    sizes = materialise(keys.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
+    met = keys.join(sizes.where(F.col("n") <= crowded).select("c", "k"), ["c", "k"], "left_semi").join(known, "fp")
+    met = met.repartition("c", "k").sortWithinPartitions("c", "k", "fp").select("c", "k", "fp", "bits", "far")
+    found = met.mapInArrow(lambda it: _links(it, distance), "a long, b long")
     many = sizes.where(F.col("n") > crowded)
-    send = lambda keys: F.broadcast(keys) if keys.count() <= broadcast_keys else keys
-    usual = keyed.join(sizes.where(F.col("n") <= crowded).select("c", "k"), ["c", "k"], "left_semi")
-    usual = usual.repartition("c", "k").sortWithinPartitions("c", "k", "fp").select("c", "k", "fp", "far")
-    found = usual.mapInArrow(lambda it: _links(it, distance), "a long, b long")
-    if many.limit(1).count():
+    if n_many := many.count():
         # Each node goes to the pairs of tiles that hold its own: as many as its key has tiles.
-        t = keyed.join(send(many), ["c", "k"]).withColumn("tiles", F.ceil(F.col("n") / (crowded / 2)).cast("int"))
-        t = t.withColumn("own", F.pmod(F.xxhash64("fp"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        t = t.select("c", "k", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "fp", "far")
+        t = keys.join(F.broadcast(many) if n_many <= broadcast_keys else many, ["c", "k"]).join(known, "fp")
+        t = t.withColumn("tiles", F.ceil(F.col("n") / (crowded / 2)).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
+        t = t.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        t = t.select("c", "k", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "fp", "bits", "far")
         tiled = t.repartition("c", "k", "t1", "t2").sortWithinPartitions("c", "k", "t1", "t2", "fp")
         found = found.unionByName(tiled.mapInArrow(lambda it: _links(it, distance), "a long, b long"))
     return found
 
 
+def bits_apart(similarity: float, bits: int) -> int:
+    """Bits that fingerprints of two equally long texts of this Jaccard similarity differ in, with the slack."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + SLACK * np.sqrt(bits * p * (1 - p)))
+
+
 def components(found: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the smallest node it reaches) of all nodes with links. Stars grow towards the smallest node, in both
     directions by turns, until nothing changes; each round's links are a table in the shared folder."""
@@ -200,17 +281,26 @@ def components(found: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
-def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, distance: int = DISTANCE, crowded: int = CROWDED) -> DataFrame:
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, distance: int = DISTANCE, similarity: float | None = None, crowded: int = CROWDED) -> DataFrame:
     """carry..., fp, component_id (the smallest doc_id reachable over links, itself included) of every document.
 
+    Fingerprints link at `distance` differing bits of 64, or with `similarity` where their 256 bits tell so similar texts.
     docs: doc_id, text and the columns of `carry`; others are ignored, whatever their names. Null and blank texts have
     fingerprint 0 and link like others; rows that repeat an id are documents of their own; null ids never name a
     component unless it has none else (then null); an empty table gives an empty result.
     """
-    keep = tuple(dict.fromkeys((*carry, "doc_id")))
-    prints = materialise(fingerprints(docs, keep, shingle), "simhash-prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), distance, crowded))
+    keep, more = tuple(dict.fromkeys((*carry, "doc_id"))), 0 if similarity is None else MORE
+    prints = materialise(fingerprints(docs, keep, shingle, more), "simhash-prints")
+    wide = [F.min(F.struct("more", "c", "k")).alias("w")] if more else []
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *wide)
+    nodes = materialise(nodes.select("fp", "least", "w.*") if more else nodes, "simhash-nodes")
+    known = materialise(pivot_table(nodes, more), "simhash-pivots")
+    if more:
+        keys = nodes.select("fp", F.explode(F.arrays_zip("c", "k")).alias("s")).select("s.c", "s.k", "fp")
+        found = links(keys, known, bits_apart(similarity, 64 * (more + 1)), crowded)
+    else:
+        found = links(block_keys(nodes, nodes.count(), distance), known, distance, crowded)
+    roots = components(found)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "simhash-roots")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

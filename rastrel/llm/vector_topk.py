@@ -42,7 +42,7 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 def _matrix(column, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
