@@ -35,14 +35,15 @@ from pyspark.sql import functions as F
 
 from rastrel.llm.common import fresh_path, materialise, table
 
-SYMBOLS = 1500
-CONTEXTS = 100_000
+SYMBOLS = 1000
+CONTEXTS = 30_000
 ORDER = 5
 #: Contexts of up to so many bytes are all kept.
 SHORT = 2
 #: Tokens of a chunk, about.
 CHUNK = 2_000_000
-LEAST_SHARDS = 32
+#: Shards of the words: one for so many documents, and so many at least.
+SHARD_DOCS, LEAST_SHARDS = 3_000, 32
 BURN_IN, SAMPLES, MOVES = 2, 4, 4
 SEED = 20
 RARE, END = 0, 1
@@ -64,24 +65,29 @@ class Seating:
         return np.bincount(self.at, self.t, self.restaurants)
 
     def begin(self, p: np.ndarray) -> None:
-        """Seats all customers, given the parent's probability of each dish: one by one at first, then in larger and larger groups."""
+        """Seats all customers, given the parent's probability of each dish: one by one at first, then in larger and larger
+        groups. A dish's customers go to its tables in shares broken from a stick, as those of the process do."""
         c, d = self.c, self.d
-        weight = (self.theta + d * self.tables()[self.at]) * p
         t, j, on = np.ones(len(c)), 1, np.flatnonzero(c > 1)
         while len(on):
             step = 1 if j < 16 else j // 4
             take = np.minimum(step, c[on] - j)
-            mean = take * weight[on] / (weight[on] + j - d * t[on])
-            t[on] += np.minimum(take, self.rng.poisson(mean) if step > 1 else self.rng.random(len(on)) < mean)
+            weight = (self.theta + d * np.bincount(self.at, t, self.restaurants)[self.at[on]]) * p[on]
+            mean = take * weight / (weight + j - d * t[on])
+            t[on] += np.minimum(take, self.rng.poisson(mean)) if step > 1 else self.rng.random(len(on)) < mean
             j += step
             on = on[c[on] > j]
         self.t = np.minimum(t.astype(np.int64), c)
         owner = np.repeat(np.arange(len(c)), self.t)
-        # One customer each, the others by uneven random shares; what rounding leaves goes to the first table.
-        share = self.rng.random(len(owner)) ** 3
+        first = np.cumsum(self.t) - self.t
+        weight = (self.theta + d * (self.tables()[self.at] - self.t)) * p  # for the first table; each adds d * p
+        broken = self.rng.beta(1 - d, np.maximum(weight[owner] + d * p[owner] * (np.arange(len(owner)) - first[owner] + 1), 1e-6))
+        left = np.log1p(-np.minimum(broken, 1 - 1e-12))
+        before = np.cumsum(left) - left
+        share = broken * np.exp(before - before[first][owner])
         extra = np.floor(share / np.maximum(np.bincount(owner, share, len(c))[owner], 1e-300) * (c - self.t)[owner]).astype(np.int64)
         size = 1 + extra
-        size[np.cumsum(self.t) - self.t] += c - np.bincount(owner, size, len(c)).astype(np.int64)
+        size[first] += c - np.bincount(owner, size, len(c)).astype(np.int64)  # what rounding leaves
         self._lay(owner, size, 0)
 
     def _lay(self, owner: np.ndarray, size: np.ndarray, spare: int) -> None:
@@ -392,7 +398,7 @@ def _chunk_arrays(t: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def symbol_model(chunks: DataFrame, corpus: Corpus) -> np.ndarray:
-    """Probabilities of symbols (columns) after contexts (rows)."""
+    """log10 probabilities of symbols (columns) after contexts (rows)."""
     spark, size = chunks.sparkSession, len(corpus.symbols) + 2
     sent = spark.sparkContext.broadcast(corpus.symbols)
 
@@ -422,10 +428,10 @@ def symbol_model(chunks: DataFrame, corpus: Corpus) -> np.ndarray:
         p = np.tile(root, (size, 1))
         p[high.context] = high.back[:, None] * root[None, :]
         p[code // size, dish] = high.p
-        return pa.table({"p": pa.array([p.astype("<f4").tobytes()], pa.binary())})
+        return pa.table({"p": pa.array([np.log10(p).astype("<f4").tobytes()], pa.binary())})
 
     got = counted.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: sample(t), "p binary").collect()
-    return np.frombuffer(bytes(got[0]["p"]), "<f4").reshape(size, size).astype(np.float64) if got else np.full((size, size), 1.0 / size)
+    return np.frombuffer(got[0]["p"], "<f4").reshape(size, size) if got else np.full((size, size), np.log10(1.0 / size), np.float32)
 
 
 def _rare(words: list[bytes], c: np.ndarray, symbols: dict[bytes, int]) -> np.ndarray:
@@ -486,11 +492,11 @@ def spelling_model(asked: DataFrame, corpus: Corpus, contexts: int = CONTEXTS) -
         level, code, n = (t[k].to_numpy().astype(np.int64) for k in ("level", "code", "n"))
         order = np.lexsort((code, level))
         levels = Spelling.fit(level[order], code[order], n[order]).levels
-        return pa.table({k: pa.array([_ints(getattr(lv, k), kind) for lv in levels], pa.binary()) for k, kind in (("gram", "<i8"), ("p", "<f8"), ("context", "<i8"), ("back", "<f8"))} | {"k": pa.array(range(len(levels)), pa.int32())})
+        return pa.table({k: pa.array([_ints(getattr(lv, k), kind) for lv in levels], pa.binary()) for k, kind in (("gram", "<i8"), ("p", "<f4"), ("context", "<i8"), ("back", "<f4"))} | {"k": pa.array(range(len(levels)), pa.int32())})
 
     got = counted.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: sample(t), "gram binary, p binary, context binary, back binary, k int").collect()
     got = sorted(got, key=lambda r: r["k"])
-    levels = [Level(*(np.frombuffer(bytes(r[k]), kind) for k, kind in (("gram", "<i8"), ("p", "<f8"), ("context", "<i8"), ("back", "<f8")))) for r in got]
+    levels = [Level(*(np.frombuffer(r[k], kind) for k, kind in (("gram", "<i8"), ("p", "<f4"), ("context", "<i8"), ("back", "<f4")))) for r in got]
     none = Level(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
     return Spelling(levels or [none] * (ORDER + 1))
 
@@ -531,14 +537,14 @@ def score(docs: DataFrame, held_out, symbols: int = SYMBOLS, chunk: int = CHUNK,
     gives an empty result; where nothing is learned, probabilities are those of the uniform bases.
     """
     spark = docs.sparkSession
-    shards = shards or max(LEAST_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or max(LEAST_SHARDS, -(-docs.count() // SHARD_DOCS))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     chunks, asked = chunked(rows, shards, chunk)
     corpus = survey(chunks, asked, symbols)
     by_context = symbol_model(chunks, corpus)
     answered = answers(asked, corpus, spelling_model(asked, corpus))
     tables = answered.agg(F.coalesce(F.sum("tables"), F.lit(0.0))).first()[0]
-    sent = spark.sparkContext.broadcast((np.log10(by_context).astype(np.float32), corpus, tables))
+    sent = spark.sparkContext.broadcast((by_context, corpus, tables))
 
     def run(chunk: pa.Table, answer: pa.Table) -> pa.Table:
         logs, corpus, tables = sent.value
