@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+import re
 import struct
 import tempfile
 from collections import Counter
@@ -34,11 +35,21 @@ FLUSH = 400_000
 CACHE = 200_000
 #: Characters whose words are looked up together.
 TOGETHER = 2_000_000
-#: Words longer than this are merged with a heap.
-SHORT = 24
+#: Words longer than this are merged with a heap; words up to so many bytes are merged in step.
+SHORT, TOGETHER_BYTES = 24, 64
+_NONE = 2**62
 
 #: Fixed: how byte-level BPE of this vocabulary splits text, white space by its Unicode property.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+SPLIT = regex.compile(r" ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: The same for texts of Latin letters and punctuation in which the quicker library means the same by its classes: they
+#: have no numbers but digits, and no separators of information.
+PLAIN_SPLIT = re.compile(r" ?[^\W\d_]++| ?\d++|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]|_)++|\s+(?!\S)|\s+")
+_NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
+
+
+def split(text: str) -> list[str]:
+    """The words of a text without special tokens."""
+    return (SPLIT if _NOT_PLAIN.search(text) else PLAIN_SPLIT).findall(text)
 
 
 def vocabulary_path() -> str:
@@ -72,6 +83,74 @@ class Merges:
             a, b = as_bytes(a), as_bytes(b)
             self.rules.setdefault(ids[a] << 32 | ids[b], (rank, ids[a + b]))
         self.tokens = [self.token.get(i, b"") for i in range(max(self.token) + 1)]
+        self._table = None
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)
+
+    def _hashed(self) -> None:
+        """The rules as an open table of keys, with rank and product in one number."""
+        keys = np.fromiter(self.rules, np.uint64, len(self.rules))
+        value = np.array([r << 32 | made for r, made in self.rules.values()], np.int64)
+        self._bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
+        self._table, self._value = np.full(1 << self._bits, 2**64 - 1, np.uint64), np.full(1 << self._bits, _NONE, np.int64)
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):  # of those that want a free slot, the first takes it
+            free = todo[self._table[at[todo]] == np.uint64(2**64 - 1)]
+            slots, first = np.unique(at[free], return_index=True)
+            self._table[slots], self._value[slots] = keys[free[first]], value[free[first]]
+            todo = np.setdiff1d(todo, free[first], assume_unique=True)
+            at[todo] = (at[todo] + np.uint64(1)) & np.uint64((1 << self._bits) - 1)
+
+    def _rule(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and product of pairs, or _NONE."""
+        key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+        at, out, todo = self._slot(key), np.full(len(key), _NONE, np.int64), np.arange(len(key))
+        while len(todo):
+            there = self._table[at[todo]]
+            hit = there == key[todo]
+            out[todo[hit]] = self._value[at[todo[hit]]]
+            todo = todo[~hit & (there != np.uint64(2**64 - 1))]
+            at[todo] = (at[todo] + np.uint64(1)) & np.uint64((1 << self._bits) - 1)
+        return out
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of many words as little-endian unsigned 32-bit integers. Words of one length merge in step: each turn takes
+        the best pair of every word that has one."""
+        if self._table is None:
+            self._hashed()
+        out: list = [b""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        of_byte = np.array(self.of_byte, np.int64)
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            if n > TOGETHER_BYTES or len(at) < 4:
+                for i in at.tolist():
+                    ids = self.merge(words[i])
+                    out[i] = struct.pack(f"<{len(ids)}I", *ids)
+                continue
+            ids = of_byte[np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8).reshape(-1, n)]
+            rule = self._rule(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(at), n - 1) if n > 1 else np.zeros((len(at), 0), np.int64)
+            while len(at):
+                width = rule.shape[1]
+                best = rule.argmin(1) if width else np.zeros(len(at), np.int64)
+                made = rule[np.arange(len(at)), best] if width else np.full(len(at), _NONE)
+                done = made == _NONE
+                if done.any():
+                    raw = ids[done].astype("<u4")
+                    for i, x in zip(at[done].tolist(), raw, strict=True):
+                        out[i] = x.tobytes()
+                    at, ids, rule, best, made = at[~done], ids[~done], rule[~done], best[~done], made[~done]
+                    if not len(at):
+                        break
+                rows, cols = np.arange(len(at)), np.arange(width)
+                ids[rows, best] = made & 0xFFFFFFFF
+                ids = np.take_along_axis(ids, cols + (cols > best[:, None]), 1)
+                rule = np.take_along_axis(rule, cols[:-1] + (cols[:-1] >= best[:, None]), 1)
+                for side in (best - 1, best):  # the pairs with the new token
+                    ok = (side >= 0) & (side < width - 1)
+                    rule[rows[ok], side[ok]] = self._rule(ids[rows[ok], side[ok]], ids[rows[ok], side[ok] + 1])
+        return out
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the adjacent pair of the lowest rank is merged, leftmost first, until none has a rule."""
@@ -208,7 +287,6 @@ def word_counts(docs: DataFrame, specials: list[str]) -> DataFrame:
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        find = regex.compile(SPLIT).findall
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([w.encode() for w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
@@ -218,7 +296,7 @@ def word_counts(docs: DataFrame, specials: list[str]) -> DataFrame:
         for batch in it:
             for text in batch.column("text"):
                 for part in _parts(text.as_py() or "", specials):
-                    seen.update(find(part))
+                    seen.update(split(part))
                 if len(seen) >= FLUSH:
                     yield flush()
         if seen:
@@ -274,7 +352,6 @@ class _Worker:
         self.file.write(tokenizer.lexicon)
         self.file.flush()
         self.lexicon = Transducer(mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ))
-        self.find = regex.compile(SPLIT).findall
         self.known: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
@@ -283,23 +360,24 @@ class _Worker:
         new = [w for w in words if w not in self.known]
         raw = [w.encode() for w in new]
         lex = self.lexicon
-        ids = lex.ids.view(np.uint8)
-        for w, b, place in zip(new, raw, lex.places(raw).tolist(), strict=True):
-            if place >= 0:
-                self.known[w] = ids[4 * lex.start[place] : 4 * lex.start[place + 1]].tobytes()
-            else:
-                of = self.rules.merge(b)
-                self.known[w] = struct.pack(f"<{len(of)}I", *of)
+        place = lex.places(raw)
+        found, lacking = np.flatnonzero(place >= 0), np.flatnonzero(place < 0).tolist()
+        ids = lex.ids.tobytes()
+        begin, end = (4 * lex.start[place[found]]).tolist(), (4 * lex.start[place[found] + 1]).tolist()
+        for i, a, b in zip(found.tolist(), begin, end, strict=True):
+            self.known[new[i]] = ids[a:b]
+        for i, b in zip(lacking, self.rules.merge_all([raw[i] for i in lacking]), strict=True):
+            self.known[new[i]] = b
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         specials = self.rules.specials
         cut = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")").split if specials else lambda x: [x]
-        split = [[(p, specials.get(p)) if p in specials else (self.find(p), None) for p in cut(t) if p] for t in texts]
-        words = {w for parts in split for found, special in parts if special is None for w in found}
+        cuts = [[(p, specials.get(p)) if p in specials else (split(p), None) for p in cut(t) if p] for t in texts]
+        words = set().union(*(found for parts in cuts for found, special in parts if special is None))
         self.learn(words)
         get = self.known.__getitem__
-        return [b"".join(b"".join(map(get, found)) if special is None else struct.pack("<I", special) for found, special in parts) for parts in split]
+        return [b"".join(b"".join(map(get, found)) if special is None else struct.pack("<I", special) for found, special in parts) for parts in cuts]
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
