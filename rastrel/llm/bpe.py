@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import materialise, table
+from rastrel.llm.common import mapped, materialise, table
 
 #: Words of the lexicon, at most; with all that share the least count left out.
 LEXICON_WORDS = 100_000
@@ -302,7 +302,7 @@ def word_counts(docs: DataFrame, specials: list[str]) -> DataFrame:
         if seen:
             yield flush()
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return mapped(docs.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _parts(text: str, specials: list[str]) -> list[str]:
@@ -380,23 +380,16 @@ class _Worker:
         return [b"".join(b"".join(map(get, found)) if special is None else struct.pack("<I", special) for found, special in parts) for parts in cuts]
 
 
-def encode(docs: DataFrame, tokenizer: Tokenizer, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """carry..., ids (binary: little-endian unsigned 32-bit integers) of every whole text.
-
-    docs: text and the columns of `carry`; others are ignored, whatever their names. A null or empty text has no ids;
-    the strings of special tokens become those tokens; repeated rows are encoded alike; an empty table gives an empty
-    result.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
+def _encoding(sent, carry: tuple[str, ...]):
+    """The encoder on batches with text and carry, by a broadcast tokenizer."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = None
         for batch in it:
             worker = worker or _Worker(sent.value)
-            a = 0
+            a, column = 0, batch.column("text")
             while a < batch.num_rows:
                 texts, chars, b = [], 0, a
-                column = batch.column("text")
                 while b < batch.num_rows and chars < TOGETHER:
                     texts.append(column[b].as_py() or "")
                     chars += len(texts[-1])
@@ -405,12 +398,11 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, carry: tuple[str, ...] = ("doc
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(worker.encode(texts), pa.binary())], names=[*carry, "ids"])
                 a = b
 
-    return docs.select(*carry, *(["text"] if "text" not in carry else [])).mapInArrow(run, docs.select(*carry).schema.add("ids", "binary"))
+    return run
 
 
-def decode(encoded: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """The same rows with decoded (string), special tokens kept; ids without a token are skipped, bytes that aren't UTF-8 replaced."""
-    sent = encoded.sparkSession.sparkContext.broadcast(tokenizer)
+def _decoding(sent):
+    """The decoder on batches with ids: adds decoded."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = None
@@ -418,17 +410,40 @@ def decode(encoded: DataFrame, tokenizer: Tokenizer) -> DataFrame:
             tokens = tokens or Merges(sent.value.spec).tokens
             get, top, texts = tokens.__getitem__, len(tokens), []
             for raw in batch.column("ids"):
-                ids = np.frombuffer(raw.as_buffer() or b"", "<u4") if raw.is_valid else np.empty(0, "<u4")
+                ids = np.frombuffer(raw.as_buffer(), "<u4") if raw.is_valid else np.empty(0, "<u4")
                 texts.append(b"".join(map(get, ids[ids < top].tolist())).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, encoded.select("*").schema.add("decoded", "string"))
+    return run
+
+
+def _with_text(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    return docs.select(*carry, *(["text"] if "text" not in carry else []))
+
+
+def encode(docs: DataFrame, tokenizer: Tokenizer, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """carry..., ids (binary: little-endian unsigned 32-bit integers) of every whole text.
+
+    docs: text and the columns of `carry`; others are ignored, whatever their names. A null or empty text has no ids;
+    the strings of special tokens become those tokens; repeated rows are encoded alike; an empty table gives an empty
+    result.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    return mapped(_with_text(docs, carry), _encoding(sent, carry), docs.select(*carry).schema.add("ids", "binary"))
+
+
+def decode(encoded: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """The same rows with decoded (string), special tokens kept; ids without a token are skipped, bytes that aren't UTF-8 replaced."""
+    sent = encoded.sparkSession.sparkContext.broadcast(tokenizer)
+    return mapped(encoded, _decoding(sent), encoded.select("*").schema.add("decoded", "string"))
 
 
 def token_digests(docs: DataFrame, tokenizer: Tokenizer, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """carry..., n_tokens, ids_sha256, decoded_sha256."""
-    back = decode(encode(docs, tokenizer, carry), tokenizer)
-    return back.select(*carry, F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """carry..., n_tokens, ids_sha256, decoded_sha256: encoded and decoded by one worker."""
+    sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    there, back = _encoding(sent, carry), _decoding(sent)
+    both = mapped(_with_text(docs, carry), lambda it: back(there(it)), docs.select(*carry).schema.add("ids", "binary").add("decoded", "string"))
+    return both.select(*carry, F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

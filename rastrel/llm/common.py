@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,24 @@ def ascii_lower(s: Column) -> Column:
     return F.translate(s, UPPER, LOWER)
 
 
-def batches(spark: SparkSession, rows: int) -> None:
-    """Rows of an Arrow batch, so that long texts and blobs don't pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of an Arrow batch, so that long texts don't pile up in a worker.
+BATCH = 1000
+
+
+def tidy() -> None:
+    """Gives back the memory that a worker has freed; the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(f, schema) in short batches, by workers that tidy up."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(it)
+        tidy()
+
+    return df.mapInArrow(run, schema)

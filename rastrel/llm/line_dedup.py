@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import WS_BYTES, materialise, table
+from rastrel.llm.common import WS_BYTES, mapped, materialise, table
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -131,7 +131,7 @@ def key_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         if seen:
             yield flush()
 
-    return docs.select("text").mapInArrow(count, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    return mapped(docs.select("text"), count, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -249,7 +249,7 @@ def drop_lines(index: LineIndex, docs: DataFrame, carry: tuple[str, ...] = ("doc
             cols = [batch.column(c) for c in carry]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(x) for x in docs_lines], pa.int64()), pa.array(dropped, pa.int64())], names=[*carry, "text", "n_lines", "n_dropped"])
 
-    return docs.select(*carry, *(["text"] if "text" not in carry else [])).mapInArrow(drop, schema)
+    return mapped(docs.select(*carry, *(["text"] if "text" not in carry else [])), drop, schema)
 
 
 def _drop_by_join(index: LineIndex, docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
@@ -270,7 +270,7 @@ def _drop_by_join(index: LineIndex, docs: DataFrame, carry: tuple[str, ...]) ->
             h = _pairs(digests)
             yield pa.RecordBatch.from_arrays([pa.array(tid, pa.string()), pa.array(pos, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["tid", "pos", "h1", "h2"])
 
-    lines = texts.mapInArrow(explode, "tid string, pos int, h1 long, h2 long").withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
+    lines = mapped(texts, explode, "tid string, pos int, h1 long, h2 long").withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
     hot = index.counts.where(F.col("n") >= index.min_docs).select("shard", "h1", "h2")
     gone = lines.join(hot, ["shard", "h1", "h2"], "left_semi").groupBy("tid").agg(F.collect_set("pos").alias("gone"))
 
@@ -287,7 +287,7 @@ def _drop_by_join(index: LineIndex, docs: DataFrame, carry: tuple[str, ...]) ->
 
     schema = docs.select(*carry).schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long")
     rows = docs.select(*carry, F.col("text"), id_of.alias("tid")).join(gone, "tid", "left")
-    return rows.select(*carry, "text", "gone").mapInArrow(strike, schema)
+    return mapped(rows.select(*carry, "text", "gone"), strike, schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import fresh_path, materialise, table
+from rastrel.llm.common import fresh_path, mapped, materialise, table
 
 SYMBOLS = 1000
 CONTEXTS = 30_000
@@ -327,7 +327,7 @@ def chunked(docs: DataFrame, shards: int, chunk: int = CHUNK) -> tuple[DataFrame
             yield from close(vocabulary, ids, doc_ids, held)
 
     spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "lm-chunks")
-    docs.select("doc_id", "held_out", "text").mapInArrow(run, _CHUNK).write.partitionBy("kind").parquet(path)
+    mapped(docs.select("doc_id", "held_out", "text"), run, _CHUNK).write.partitionBy("kind").parquet(path)
     both = spark.read.schema(_CHUNK).parquet(path)
     return both.where("kind = 0").select("chunk", "words", "doc_id", "held_out", "lengths", "ids"), both.where("kind = 1").select("chunk", "shard", "words", "counts")
 
@@ -413,7 +413,7 @@ def symbol_model(chunks: DataFrame, corpus: Corpus) -> np.ndarray:
                 code, n = np.unique(context[learn] * size + symbol[learn], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
 
-    counted = chunks.mapInArrow(pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counted = mapped(chunks, pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
     def sample(t: pa.Table) -> pa.Table:
         code, n = t["code"].to_numpy(), t["n"].to_numpy()

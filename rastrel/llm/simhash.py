@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from rastrel.llm.common import materialise, table
+from rastrel.llm.common import mapped, materialise, table
 
 SHINGLE = 3
 DISTANCE = 3
@@ -118,7 +118,7 @@ def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), shingle:
             made = [pa.array(fp, pa.int64()), *([pa.array(x, pa.list_(pa.int64())) for x in (wide, c, k)] if more else [])]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in carry], *made], names=schema.fieldNames())
 
-    return docs.select(*carry, *(["text"] if "text" not in carry else [])).mapInArrow(make, schema)
+    return mapped(docs.select(*carry, *(["text"] if "text" not in carry else [])), make, schema)
 
 
 def pivots(n: int = PIVOTS, word: int = 0) -> list[int]:
@@ -240,7 +240,7 @@ def links(keys: DataFrame, known: DataFrame, distance: int, crowded: int = CROWD
     sizes = materialise(keys.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
     met = keys.join(sizes.where(F.col("n") <= crowded).select("c", "k"), ["c", "k"], "left_semi").join(known, "fp")
     met = met.repartition("c", "k").sortWithinPartitions("c", "k", "fp").select("c", "k", "fp", "bits", "far")
-    found = met.mapInArrow(lambda it: _links(it, distance), "a long, b long")
+    found = mapped(met, lambda it: _links(it, distance), "a long, b long")
     many = sizes.where(F.col("n") > crowded)
     if n_many := many.count():
         # Each node goes to the pairs of tiles that hold its own: as many as its key has tiles.
@@ -249,7 +249,7 @@ def links(keys: DataFrame, known: DataFrame, distance: int, crowded: int = CROWD
         t = t.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         t = t.select("c", "k", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "fp", "bits", "far")
         tiled = t.repartition("c", "k", "t1", "t2").sortWithinPartitions("c", "k", "t1", "t2", "fp")
-        found = found.unionByName(tiled.mapInArrow(lambda it: _links(it, distance), "a long, b long"))
+        found = found.unionByName(mapped(tiled, lambda it: _links(it, distance), "a long, b long"))
     return found
 
 

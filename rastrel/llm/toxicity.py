@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import materialise, table
+from rastrel.llm.common import mapped, materialise, table
 
 #: Labelled rows that are learned from, at most; those whose ids' hashes are least.
 SAMPLE = 20_000
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             least = [min((xxhash.xxh64_intdigest(w) for w in set(x.as_py().lower().encode().split())), default=0) >> 1 for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["text", "toxic", "sketch"])
 
-    rows = rows.mapInArrow(sketch, "text string, toxic int, sketch long").groupBy("sketch", "toxic").agg(F.min("text").alias("text"))
+    rows = mapped(rows, sketch, "text string, toxic int, sketch long").groupBy("sketch", "toxic").agg(F.min("text").alias("text"))
     rows = materialise(rows.withColumn("fold", (F.col("sketch") % FOLDS).cast("int")), "toxic-sample")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     cells = [F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)]
     toxic = sum((F.col(f"c{2 * f + 1}") for f in range(FOLDS)), F.lit(0))
     clean = sum((F.col(f"c{2 * f}") for f in range(FOLDS)), F.lit(0))
-    counted = rows.mapInArrow(count, "unit string, cell int, n long").groupBy("unit").agg(*cells)
+    counted = mapped(rows, count, "unit string, cell int, n long").groupBy("unit").agg(*cells)
     found = {r["unit"]: [[r[f"c{2 * f}"], r[f"c{2 * f + 1}"]] for f in range(FOLDS)] for r in counted.where((F.col("unit") == "") | ((toxic >= 3) & (toxic * 2 >= clean))).collect()}
     if not found or not all(sum(of[k] for of in found[""]) for k in (0, 1)):
         only = sum(of[1] for of in found[""]) > 0 if found else None
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = [features(t, sent.value[f]) for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("sketch"), batch.column("fold"), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["sketch", "fold", "toxic", "x"])
 
-    got = rows.mapInArrow(measure, "sketch long, fold int, toxic int, x array<double>").orderBy("sketch", "toxic").collect()
+    got = mapped(rows, measure, "sketch long, fold int, toxic int, x array<double>").orderBy("sketch", "toxic").collect()
     x, y, fold = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float), np.array([r["fold"] for r in got])
     out = np.zeros(len(y))
     for f in range(FOLDS):
@@ -263,7 +263,7 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -
             s = sent.value.score(x)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*carry, "score", "predicted"])
 
-    return docs.select(*carry, *(["text"] if "text" not in carry else [])).mapInArrow(run, docs.select(*carry).schema.add("score", "double").add("predicted", "integer"))
+    return mapped(docs.select(*carry, *(["text"] if "text" not in carry else [])), run, docs.select(*carry).schema.add("score", "double").add("predicted", "integer"))
 
 
 def held_out(doc_id, folds: int = 3):

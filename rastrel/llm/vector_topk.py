@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import materialise, table
+from rastrel.llm.common import mapped, materialise, table
 
 TOP = 5
 SCALE = 256
@@ -94,7 +94,7 @@ def pivot_table(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
             far = pa.ListArray.from_arrays(pa.array(np.arange(0, far.size + 1, len(p)), pa.int32()), pa.array(far.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("dim"), batch.column("v"), pa.array(norm2), far], names=["vec_id", "dim", "v", "norm2", "far"])
 
-    return vectors.mapInArrow(measure_even, schema)
+    return mapped(vectors, measure_even, schema)
 
 
 _FOUND = "query_id long, vec_id long, score long"

@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import fresh_path, materialise, remove_path, table
+from rastrel.llm.common import fresh_path, mapped, materialise, remove_path, table
 
 #: Payloads of at least so many bytes are stored once.
 MIN_BYTES = 0
@@ -148,7 +148,7 @@ def write_monolithic(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_
         if out is not None:
             yield close()
 
-    return materialise(rows.mapInArrow(write, "archive string"), "warc-written")
+    return materialise(mapped(rows, write, "archive string"), "warc-written")
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
@@ -173,7 +173,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([made]), pa.array([made + ".idx"]), pa.array([n], pa.int64())], names=["archive", "index", "records"])
 
     tasks = max(1, archives.count())
-    return materialise(archives.repartition(tasks).mapInArrow(rewrite, "archive string, index string, records long"), "warc-normalised")
+    return materialise(mapped(archives.repartition(tasks), rewrite, "archive string, index string, records long"), "warc-normalised")
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -213,7 +213,7 @@ def read(archives: DataFrame, rows: int = 256) -> DataFrame:
                 if found:
                     yield made(found)
 
-    return archives.select("archive", "index").repartition(max(1, archives.count())).mapInArrow(fetch, _READ)
+    return mapped(archives.select("archive", "index").repartition(max(1, archives.count())), fetch, _READ)
 
 
 def archive(pages: DataFrame, min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
