@@ -7,7 +7,7 @@ from rastrel.llm.pitman_yor import op4_pitman_yor
 from rastrel.llm.quality_rules import OP3_SQL, op3_quality_rules
 from rastrel.llm.simhash import op6_simhash
 from rastrel.llm.toxicity import op1_toxicity
-from rastrel.llm.url_filter import op5_url_filter
+from rastrel.llm.url_filter import OP5_SQL, op5_url_filter
 from rastrel.llm.vector_topk import OP2_SQL, op2_exact_topk
 from rastrel.llm.warc import OP7_SQL, op7_warc
 
@@ -18,6 +18,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_exact_topk": OP2_SQL,
     "op3_quality_rules": OP3_SQL,
+    "op5_url_filter": OP5_SQL,
     "op7_warc": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_mixing": OP10_SQL,

@@ -17,7 +17,7 @@ from rastrel.llm.common import ascii_lower, materialise, table
 #: (verdict, host, start of the path); the rule's name is host and path together.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 ORDER = 3
-#: URLs of every 5th crc32 calibrate, the others train.
+#: URLs whose md5's first 8 digits are divisible by 5 calibrate, the others train.
 FOLDS = 5
 #: Characters that smoothing gives a share to.
 ALPHABET = 256
@@ -78,7 +78,7 @@ def judge(pages: DataFrame, rules=RULES, broadcast_grams: int = BROADCAST_GRAMS)
     d = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     d = d.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     shape = F.translate(ascii_lower(F.concat("host", "path")), "123456789", "000000000")
-    d = d.select("page_id", "host", "path", F.col("r.name").alias("rule"), F.col("r.verdict").alias("told"), shape.alias("s"), (F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % FOLDS).alias("fold"))
+    d = d.select("page_id", "host", "path", F.col("r.name").alias("rule"), F.col("r.verdict").alias("told"), shape.alias("s"), (F.conv(F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % FOLDS).alias("fold"))
     d = materialise(d, "urls")
     # What is alike is modelled and scored once.
     kinds = d.groupBy("s", "told", (F.col("fold") == 0).alias("calibrates")).agg(F.count("*").alias("copies"))
@@ -107,3 +107,32 @@ def judge(pages: DataFrame, rules=RULES, broadcast_grams: int = BROADCAST_GRAMS)
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
+
+def _oracle() -> str:
+    """The query in SQL, order by order."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    low = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    out = f"""WITH p AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), {low}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+ru(verdict, rhost, rpath) AS (VALUES {rules}),
+fit AS (SELECT h.*, rhost || rpath AS rule, verdict AS told, row_number() OVER (PARTITION BY page_id, h.url ORDER BY length(rhost || rpath) DESC NULLS LAST) AS place
+        FROM h LEFT JOIN ru ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
+d AS (SELECT page_id, host, path, rule, told, translate(translate(host || path, {low}), '123456789', '000000000') AS s, ('0x' || substr(md5(url), 1, 8))::BIGINT % {FOLDS} = 0 AS calibrates FROM fit WHERE place = 1),
+q AS (SELECT *, repeat(chr(2), {ORDER}) || s || chr(3) AS padded FROM d),
+g AS (SELECT page_id, s, told, calibrates, substr(padded, i, {ORDER + 1}) AS g FROM (SELECT *, unnest(range(1, length(padded) - {ORDER} + 1)) AS i FROM q)),
+full_counts AS (SELECT g, count(*) FILTER (told = 'allow') AS a, count(*) FILTER (told = 'block') AS r FROM g WHERE told IS NOT NULL AND NOT calibrates GROUP BY g),
+m0 AS (SELECT DISTINCT g, 1.0::DOUBLE / {ALPHABET} AS pa, 1.0::DOUBLE / {ALPHABET} AS pr FROM g WHERE told IS NULL OR calibrates)"""
+    for k in range(ORDER + 1):
+        out += f""",
+at{k} AS (SELECT substr(g, {ORDER + 1 - k}) AS gk, sum(a) AS a, sum(r) AS r FROM full_counts GROUP BY 1),
+ctx{k} AS (SELECT substr(gk, 1, {k}) AS ck, sum(a) AS ca, sum(r) AS cr, count(*) FILTER (a > 0) AS ta, count(*) FILTER (r > 0) AS tr FROM at{k} GROUP BY 1),
+m{k + 1} AS (SELECT g, CASE WHEN coalesce(ca, 0) > 0 THEN (coalesce(a, 0) + ta * pa) / (ca + ta) ELSE pa END AS pa, CASE WHEN coalesce(cr, 0) > 0 THEN (coalesce(r, 0) + tr * pr) / (cr + tr) ELSE pr END AS pr
+        FROM m{k} LEFT JOIN at{k} ON gk = substr(g, {ORDER + 1 - k}) LEFT JOIN ctx{k} ON ck = substr(g, {ORDER + 1 - k}, {k}))"""
+    return out + f""",
+score AS (SELECT s, avg(ln(pa / pr)) AS score FROM (SELECT DISTINCT s, padded FROM q) u, unnest(range(1, length(padded) - {ORDER} + 1)) t(i) JOIN m{ORDER + 1} m ON m.g = substr(padded, i, {ORDER + 1}) GROUP BY s),
+side AS (SELECT told, avg(score) AS m, greatest(stddev_pop(score), 1e-6) AS d FROM d JOIN score USING (s) WHERE told IS NOT NULL AND calibrates GROUP BY told),
+lim AS (SELECT (a.m * b.d + b.m * a.d) / (a.d + b.d) AS cut FROM side a, side b WHERE a.told = 'allow' AND b.told = 'block')
+SELECT page_id, host, path, rule, coalesce(told, CASE WHEN score.score < (SELECT cut FROM lim) THEN 'block' ELSE 'allow' END) AS verdict FROM d LEFT JOIN score USING (s)"""
+
+
+OP5_SQL = _oracle()

@@ -149,7 +149,7 @@ def brute_scores(urls):
     shape = lambda u: "".join("0" if c in "123456789" else chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in "".join(brute_parse(u)))
     k, count = url_filter.ORDER, {"allow": Counter(), "block": Counter()}
     told = lambda u: (brute_rule(*brute_parse(u)) or (None, None))[1]
-    fold = lambda u: zlib.crc32((u or "").encode()) % url_filter.FOLDS
+    fold = lambda u: int(hashlib.md5((u or "").encode()).hexdigest()[:8], 16) % url_filter.FOLDS
     grams = lambda s: [("\x02" * k + s + "\x03")[i : i + k + 1] for i in range(len(s) + 1)]
     for u in urls:
         if told(u) and fold(u):
