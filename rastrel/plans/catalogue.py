@@ -1,29 +1,6 @@
 """The catalogue of queries: one entry per operator, with equivalent SQL where SQL can express it."""
 
-from __future__ import annotations
+from rastrel.plans import features, pixels, scenes, vectors  # noqa: F401  (they register their queries)
+from rastrel.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "p5_spectral_indices"
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-@query("SELECT vec_id, label FROM embeddings WHERE label >= 5")
-def p5_spectral_indices(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("label") >= 5).select("vec_id", "label")
+FLAGSHIP = "p1_ndsm_strata"
