@@ -106,10 +106,10 @@ def f12_tree_crown_ring(spark, sf_dir):
     return d.select("id", "i", F.round("p.x", 9).alias("px"), F.round("p.y", 9).alias("py"))
 
 
-@query(PARTS + " SELECT id FROM p WHERE NOT (greatest(x1 - x0, 0.2 * (y1 - y0)) / least(x1 - x0, 0.2 * (y1 - y0)) > 6 AND greatest(x1 - x0, 0.2 * (y1 - y0)) * 111320 > 8)")
+@query(PARTS + " SELECT id FROM p WHERE NOT (greatest(x1 - x0, 0.21 * (y1 - y0)) / least(x1 - x0, 0.21 * (y1 - y0)) > 6 AND greatest(x1 - x0, 0.21 * (y1 - y0)) * 111320 > 8)")
 def j5_linear_infrastructure(spark, sf_dir):
     """Buildings but those whose least box is long and narrow (boxes here are flattened, 8 m is long)."""
-    d = _boxes(spark, sf_dir).withColumn("y1", F.col("y0") + 0.2 * (F.col("y1") - F.col("y0")))
+    d = _boxes(spark, sf_dir).withColumn("y1", F.col("y0") + 0.21 * (F.col("y1") - F.col("y0")))
     d = d.withColumn("ring", geometry.box_ring(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])).select("id", "ring")
     return conflate.without_linear(d, longest=8.0).select("id")
 
