@@ -23,9 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many share; those left without a word go."""
+    """All documents, without the lines that 10 and more share."""
     kept = line_dedup.drop_lines(line_dedup.build(docs), docs, carry=("doc_id", "lang", "source"))
-    kept = kept.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
