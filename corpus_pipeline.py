@@ -35,7 +35,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     tie = F.xxhash64(*COLUMNS)
     found = materialise(simhash.near_duplicates(docs.withColumn("tie", tie), carry=("doc_id", "tie"), shingle=5, similarity=0.8), "pipeline-near")
-    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("s")).select("s.doc_id", "s.tie")
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("s")).select("s.doc_id", "s.tie")
     rows = found.groupBy(F.col("doc_id").alias("id"), F.col("tie").alias("t")).agg(F.count("*").alias("rows"))
     stays = materialise(stays.join(rows, stays["doc_id"].eqNullSafe(rows["id"]) & (stays["tie"] == rows["t"])).select("id", "t", "rows"), "pipeline-stays")
     keyed = docs.select(*COLUMNS, tie.alias("tie"))

@@ -282,7 +282,9 @@ def components(found: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, distance: int = DISTANCE, similarity: float | None = None, crowded: int = CROWDED) -> DataFrame:
-    """carry..., fp, component_id (the smallest doc_id reachable over links, itself included) of every document.
+    """carry..., fp, component_id (the smallest doc_id reachable over links, itself included), root of every document.
+
+    root tells components apart, also those that have no id or share one.
 
     Fingerprints link at `distance` differing bits of 64, or with `similarity` where their 256 bits tell so similar texts.
     docs: doc_id, text and the columns of `carry`; others are ignored, whatever their names. Null and blank texts have
@@ -304,8 +306,8 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), shing
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "simhash-roots")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(label, "fp").select(*carry, "fp", "component_id")
+    label = rooted.join(named, "root").select("fp", "component_id", "root")
+    return prints.join(label, "fp").select(*carry, "fp", "component_id", "root")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

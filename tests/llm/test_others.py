@@ -238,3 +238,12 @@ def test_pipeline_stages_odd_cases(spark, sf_dir):
                 assert out.columns == list(p.COLUMNS), name
             assert out.count() >= 0
     assert Counter(r.doc_id for r in p.near_dedup_stage(spark, docs(spark), sf_dir).collect())[104] <= 2
+
+
+def test_near_dedup_keeps_unlike_texts_without_ids_or_with_one_id(spark, sf_dir):
+    import corpus_pipeline as p
+
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(60))
+    odd = spark.createDataFrame([(i, text(k), "en", "a", 1) for k, i in enumerate((None, None, None, 7, 7))] + [(None, text(0), "de", "b", 1), (8, text(3), "en", "a", 1)], SCHEMA)
+    got = Counter((r.doc_id, r.text) for r in p.near_dedup_stage(spark, odd, sf_dir).collect())
+    assert got == Counter({(None, text(0)): 1, (None, text(1)): 1, (None, text(2)): 1, (7, text(3)): 1, (7, text(4)): 1})
