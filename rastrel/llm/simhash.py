@@ -6,9 +6,11 @@ pairs are discarded by their largest coordinate difference, and the survivors ar
 
 Pairs come from keys under which nodes meet. For links at few bits these are blocks of bits: with 64 bits in b blocks,
 two fingerprints that differ in 3 bits agree on b - 3 blocks, so every choice of b - 3 blocks is a key; no link is
-lost. For links by similarity, fingerprints have 256 bits, and a key is the hash of a slice of a text's shingles:
-texts as similar as that have nearly always one of their slices in common. Crowded keys are tiled over tasks. What a
-key's nodes link to is handed on as trees, not pairs, and components grow from those.
+lost. For links by similarity, nodes are distinct sets of shingles with 256 bits of fingerprint; a key is one of a short
+text's least shingles, of which two such texts always share one, or the hash of a slice of a long text's shingles, of
+which they nearly always do. The bits only propose: within what they connect, the Jaccard similarity of the sets decides.
+Crowded keys are tiled over tasks. What a key's nodes link to is handed on as trees, not pairs, and components grow from
+those.
 """
 
 from __future__ import annotations
@@ -36,10 +38,10 @@ FEW = 16
 BROADCAST_KEYS = 100_000
 #: Further words of 64 bits of fingerprints for links by similarity.
 MORE = 3
-#: Slices that are keys, of each text; shingles in a slice, from and (nearly) up to; texts up to so many shingles have them all as keys.
-SLICES, IN_SLICE, ALONE = 20, 4, 20
+#: Slices that are keys, of each long text; shingles in a slice, from and (nearly) up to twice as many; texts under so many shingles are short.
+SLICES, IN_SLICE, SHORT = 40, 3, 160
 #: Standard deviations that the distance of two texts of the given similarity may exceed its mean by.
-SLACK = 2.0
+SLACK = 5.0
 
 
 def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -76,18 +78,20 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return _majority(_hashes(text, shingle))
 
 
-def _slices(h: np.ndarray) -> tuple[list[int], list[int]]:
-    """Keys of a text's distinct shingle hashes: number of the slice with its level, and hash of what is in it.
+def _keys(h: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Keys of a text's distinct shingle hashes, sorted: -1 or the number of the slice with its level, and a hash.
 
-    A level halves the slices of the one before; texts near the border of two levels have keys of both.
+    Short texts, and those that are as similar as that to a short one, have their least hashes as keys: so many that two
+    such texts can't be without a common one. The others have slices. A level halves the slices of the one before; texts
+    near the border of two levels have keys of both.
     """
-    h = np.unique(h)
     c: list[int] = []
     k: list[int] = []
-    if len(h) <= ALONE:
-        c, k = [-1] * len(h), h.astype(np.int64).tolist()
-    if len(h) > 0.8 * ALONE:
-        levels = {int(np.log2(len(h) * x / IN_SLICE)) for x in (1, 0.81, 1.22)}
+    if len(h) <= SHORT / similarity:
+        first = h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+        c, k = [-1] * len(first), first.astype(np.int64).tolist()
+    if len(h) >= SHORT:
+        levels = {int(np.log2(len(h) * x / IN_SLICE)) for x in (1, similarity, 1 / similarity)}
         for level in sorted(levels):
             part = (h >> np.uint64(64 - level)).astype(np.int64)
             n = int(np.searchsorted(part, SLICES))
@@ -98,27 +102,36 @@ def _slices(h: np.ndarray) -> tuple[list[int], list[int]]:
     return c, k
 
 
-def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, more: int = 0) -> DataFrame:
-    """carry..., fp of every whole text; with `more`, that many further words of bits (more), and the slices' keys (c, k)."""
+def _set_id(h: np.ndarray) -> int:
+    """Hash of a set of shingle hashes, sorted, as a signed long."""
+    return int.from_bytes(xxhash.xxh64_digest(h.astype(">u8").tobytes(), 42), "big", signed=True)
+
+
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """carry..., fp of every whole text; for links by similarity, fp is of the set of shingles, with its words of bits (more), keys (c, k) and the text's hash."""
+    more = similarity is not None
     schema = docs.select(*carry).schema.add("fp", "long")
     if more:
-        schema = schema.add("more", ArrayType(LongType())).add("c", ArrayType(LongType())).add("k", ArrayType(LongType()))
+        schema = schema.add("more", ArrayType(LongType())).add("c", ArrayType(LongType())).add("k", ArrayType(LongType())).add("text_hash", "long")
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             fp, wide, c, k = [], [], [], []
             for x in batch.column("text").cast(pa.binary()):
                 h = _hashes(x.as_py(), shingle)
-                fp.append(_majority(h))
                 if more:
-                    wide.append([_majority(_mixed(h, i)) for i in range(1, more + 1)])
-                    keys = _slices(h)
+                    h = np.unique(h)
+                    wide.append([_majority(_mixed(h, i)) for i in range(MORE + 1)])
+                    keys = _keys(h, similarity)
+                fp.append(_set_id(h) if more else _majority(h))
+                if more:
                     c.append(keys[0])
                     k.append(keys[1])
-            made = [pa.array(fp, pa.int64()), *([pa.array(x, pa.list_(pa.int64())) for x in (wide, c, k)] if more else [])]
+            made = [pa.array(fp, pa.int64()), *([pa.array(x, pa.list_(pa.int64())) for x in (wide, c, k)] if more else []), *([batch.column("text_hash")] if more else [])]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in carry], *made], names=schema.fieldNames())
 
-    return mapped(docs.select(*carry, *(["text"] if "text" not in carry else [])), make, schema)
+    told = [F.xxhash64("text").alias("text_hash")] if more else []
+    return mapped(docs.select(*carry, *(["text"] if "text" not in carry else []), *told), make, schema)
 
 
 def pivots(n: int = PIVOTS, word: int = 0) -> list[int]:
@@ -126,10 +139,10 @@ def pivots(n: int = PIVOTS, word: int = 0) -> list[int]:
     return [int.from_bytes(xxhash.xxh64_digest(b"pivot %d" % i, 42 + word), "big", signed=True) for i in range(n)]
 
 
-def pivot_table(nodes: DataFrame, more: int = 0) -> DataFrame:
-    """bits (all words of the fingerprint) and far (distances to the pivots) of nodes (fp, more)."""
-    words = [F.col("fp"), *[F.col("more")[i] for i in range(more)]]
-    refs = [pivots(word=w) for w in range(more + 1)]
+def pivot_table(nodes: DataFrame, more: bool = False) -> DataFrame:
+    """bits (all words of the fingerprint) and far (distances to the pivots) of nodes (fp; more, where they have it)."""
+    words = [F.col("more")[i] for i in range(MORE + 1)] if more else [F.col("fp")]
+    refs = [pivots(word=w) for w in range(len(words))]
     far = [sum((F.bit_count(x.bitwiseXOR(F.lit(refs[w][p]))) for w, x in enumerate(words)), F.lit(0)).cast("short") for p in range(PIVOTS)]
     return nodes.select("fp", F.array(*words).alias("bits"), F.array(*far).alias("far"))
 
@@ -281,25 +294,100 @@ def components(found: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
+def _alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links, each of that Jaccard similarity or more, from every set to one found before it, as a tree of each component."""
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.cumsum(size) - size
+    mark, left, links = np.zeros(int(flat.max()) + 1 if len(flat) else 0, bool), np.flatnonzero(size), []
+    front: list[int] = []
+    while len(left):
+        if not front:
+            front, left = [int(left[0])], left[1:]
+            continue
+        a = front.pop()
+        may = left[(size[left] >= similarity * size[a] - 1e-9) & (size[a] >= similarity * size[left] - 1e-9)]
+        if not len(may):
+            continue
+        mark[flat[first[a] : first[a] + size[a]]] = True
+        begins = np.cumsum(size[may]) - size[may]
+        at = np.repeat(first[may] - begins, size[may]) + np.arange(int(size[may].sum()))
+        common = np.add.reduceat(mark[flat[at]].astype(np.int64), begins)
+        mark[:] = False
+        hit = may[common >= similarity * (size[a] + size[may] - common) - 1e-9]
+        links += [(a, int(x)) for x in hit]
+        front += hit.tolist()
+        left = left[~np.isin(left, hit)]
+    return links
+
+
+def verified(found: DataFrame, prints: DataFrame, docs: DataFrame, shingle: int, similarity: float, crowded: int = CROWDED) -> DataFrame:
+    """a, b: links at that Jaccard similarity of the sets of shingles, enough of them to connect all such within what `found` connects.
+
+    A set goes once to the task of its component, or, where that has more than `crowded` nodes, to the pairs of tiles that hold it.
+    """
+    near = components(found)
+    near = near.unionByName(near.select(F.col("root").alias("node"), "root")).distinct()
+    sizes = near.groupBy("root").agg(F.count("*").alias("n"))
+    near = materialise(near.join(sizes, "root"), "simhash-near")
+    one = prints.groupBy("fp").agg(F.min("text_hash").alias("text_hash"))
+    near = near.join(one, near["node"] == one["fp"]).drop("fp")
+    near = near.withColumn("tiles", F.when(F.col("n") <= crowded, 1).otherwise(F.ceil(F.col("n") / (crowded / 2))).cast("int"))
+    near = near.withColumn("own", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    near = materialise(near.select("root", "node", "text_hash", "tiles", "own"), "simhash-near")
+    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(near.select("text_hash"), "text_hash", "left_semi")
+    texts = texts.groupBy("text_hash").agg(F.first("text").alias("text"))
+
+    def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            made = [np.unique(_hashes(x.as_py(), shingle)).astype(np.int64) for x in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("text_hash"), pa.array(made, pa.list_(pa.int64()))], names=["text_hash", "h"])
+
+    sets = mapped(texts, make, "text_hash long, h array<long>").join(near, "text_hash")
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    sets = sets.select("root", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "node", "h")
+
+    def link(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(nodes: list, sets: list) -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1 and (tree := _alike(sets, similarity)):
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[x[i]] for x in tree], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        at, nodes, sets = None, [], []
+        for batch in it:
+            h = batch.column("h")
+            for i, (key, node) in enumerate(zip(zip(*(batch.column(c).to_pylist() for c in ("root", "t1", "t2")), strict=True), batch.column("node").to_pylist(), strict=True)):
+                if key != at:
+                    yield from done(nodes, sets)
+                    at, nodes, sets = key, [], []
+                nodes.append(node)
+                sets.append(np.array(h[i].values.to_numpy()))
+        yield from done(nodes, sets)
+
+    dealt = sets.repartition("root", "t1", "t2").sortWithinPartitions("root", "t1", "t2", "node")
+    return mapped(dealt, link, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, distance: int = DISTANCE, similarity: float | None = None, crowded: int = CROWDED) -> DataFrame:
     """carry..., fp, component_id (the smallest doc_id reachable over links, itself included), root of every document.
 
     root tells components apart, also those that have no id or share one.
 
-    Fingerprints link at `distance` differing bits of 64, or with `similarity` where their 256 bits tell so similar texts.
+    Fingerprints link at `distance` differing bits of 64; with `similarity`, texts link where their sets of shingles have
+    that Jaccard similarity or more, and fp is of the set.
     docs: doc_id, text and the columns of `carry`; others are ignored, whatever their names. Null and blank texts have
-    fingerprint 0 and link like others; rows that repeat an id are documents of their own; null ids never name a
+    one fingerprint (0, without similarity) and link like others; rows that repeat an id are documents of their own; null ids never name a
     component unless it has none else (then null); an empty table gives an empty result.
     """
-    keep, more = tuple(dict.fromkeys((*carry, "doc_id"))), 0 if similarity is None else MORE
-    prints = materialise(fingerprints(docs, keep, shingle, more), "simhash-prints")
+    keep, more = tuple(dict.fromkeys((*carry, "doc_id"))), similarity is not None
+    prints = materialise(fingerprints(docs, keep, shingle, similarity), "simhash-prints")
     wide = [F.min(F.struct("more", "c", "k")).alias("w")] if more else []
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *wide)
     nodes = materialise(nodes.select("fp", "least", "w.*") if more else nodes, "simhash-nodes")
     known = materialise(pivot_table(nodes, more), "simhash-pivots")
     if more:
         keys = nodes.select("fp", F.explode(F.arrays_zip("c", "k")).alias("s")).select("s.c", "s.k", "fp")
-        found = links(keys, known, bits_apart(similarity, 64 * (more + 1)), crowded)
+        found = links(keys, known, bits_apart(similarity, 64 * (MORE + 1)), crowded)
+        found = verified(found, prints, docs, shingle, similarity, crowded)
     else:
         found = links(block_keys(nodes, nodes.count(), distance), known, distance, crowded)
     roots = components(found)

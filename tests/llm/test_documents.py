@@ -222,6 +222,33 @@ def test_similarity_links_catch_copies(spark):
     assert all(source[got[d]] == source[d] for d in source)
 
 
+def test_similarity_links_are_those_of_the_sets(spark):
+    """Near copies on both sides of 0.8, short and long, against all pairs; few per group, so that no chain helps."""
+    rng = np.random.default_rng(3)
+    out = []
+    for size in (22, 28, 54, 100, 170, 300, 700):
+        for g in range(12):
+            w = [f"g{size}x{g}w{i}" for i in range(size)]
+            out.append((len(out), " ".join(w)))
+            low = (0.62, 0.72, 0.81)[g % 3]
+            c, n = list(w), size - 4
+            for at in rng.permutation(size):
+                trial = [*c[:at], "changed", *c[at + 1 :]]
+                a, b = ({tuple(x[i : i + 5]) for i in range(n)} for x in (w, trial))
+                if len(a & b) / len(a | b) < low:
+                    break
+                c = trial
+            out.append((len(out), " ".join(c)))
+    line = " ".join(f"menu{i}" for i in range(30))
+    out += [(len(out), "\n".join([line] * 40)), (len(out) + 1, "\n".join([line] * 2)), (len(out) + 2, None), (len(out) + 3, " ")]
+    sets = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words((t or "").lower())) else {()}
+    want = linked([(d, sets(t)) for d, t in out], lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    d = spark.createDataFrame(out, "doc_id long, text string")
+    for crowded in (2, 4096):
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(d, shingle=5, similarity=0.8, crowded=crowded).collect()}
+        assert got == {i: c for i, _, c in want}
+
+
 # --- op9: BPE
 
 
