@@ -1,8 +1,8 @@
 """Quality rules on cross-document line frequency, in DataFrame functions alone.
 
-Lines are normalised and hashed; for each host (here: the source) the documents that hold a line are counted. A line
-in more documents than the limit is removed, if it also stands between that many different neighbour pairs: copies of
-one document show a line between the same neighbours, so a group of copies doesn't make its own lines boilerplate.
+Lines are normalised and hashed; for each host (here: the source) the distinct documents that hold a line are counted. A
+line in more of them than the limit is removed. Documents with the same lines in the same order are one, so a group of
+copies doesn't make its own lines boilerplate.
 A document that loses too many of its words is rejected.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rastrel.llm.common import WS, materialise, table, words
 
 MIN_WORDS = 50
-#: A line in more documents of a host than this, between more neighbour pairs than this, is removed.
+#: A line in more distinct documents of a host than this is removed.
 MAX_DOCS = 20
 #: A document that keeps less than this share of its words is rejected.
 LEAST_KEPT = 0.5
@@ -77,20 +77,18 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), max_docs: int =
     """base_rules' counts with n_kept_words and kept, for each document (and kept_text, with `texts`).
 
     docs: text, source and the columns of `carry`; others are ignored, whatever their names. A null text has no word
-    and fails the base rules; a null source is a host of its own; each row counts as a document of its own, also one
-    that repeats another; an empty table gives an empty result. Lines are counted over all documents.
+    and fails the base rules; a null source is a host of its own; each row is judged, also one that repeats another; an
+    empty table gives an empty result. Lines are counted over all documents, those with the same lines (but for blank
+    ones) in the same order once.
     """
     base = base_rules(docs, carry)
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     lines = F.transform("raw", lambda x: F.struct(line_key(x).alias("h"), F.size(words(x)).alias("n")))
     slim = materialise(base.select(*carry, "host", *measures, lines.alias("lines"), *(["raw"] if texts else [])), "quality-lines")
-    # A line counts once a document; its context is the pair of its neighbours there.
-    seen = F.expr("array_distinct(transform(lines, (x, i) -> struct(x.h as h, xxhash64(if(i > 0, lines[i - 1].h, 0L), if(i + 1 < size(lines), lines[i + 1].h, 0L)) as ctx)))")
-    occurs = slim.select("host", F.explode(seen).alias("l")).where("l.h is not null").groupBy("host", "l.h", "l.ctx").agg(F.count("*").alias("n"))
-    first = slim.select("host", F.explode(F.array_distinct("lines.h")).alias("h")).where("h is not null")
-    docs_of = first.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
-    contexts = occurs.groupBy("host", "h").agg(F.count("*").alias("n_ctx")).where(F.col("n_ctx") > max_docs)
-    often = materialise(docs_of.join(contexts, ["host", "h"]).select("host", "h"), "quality-often")
+    # A line counts once a document, and a document once, however often it is copied.
+    seen = slim.select("host", F.xxhash64("lines.h").alias("copy"), F.explode(F.array_distinct("lines.h")).alias("h")).where("h is not null").distinct()
+    often = seen.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
+    often = materialise(often.select("host", "h"), "quality-often")
     if often.count() <= broadcast_lines:
         per_host = often.groupBy("host").agg(F.collect_set("h").alias("often"))
         d = slim.join(F.broadcast(per_host), "host", "left")

@@ -55,6 +55,16 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert all(got[200 + i].kept and got[200 + i].n_kept_words == got[200 + i].n_words for i in range(50))
 
 
+def test_boilerplate_of_several_lines_goes(spark):
+    head, foot = ([" ".join(f"{k}{i}x{j}" for j in range(10)) for i in range(6)] for k in ("header", "footer"))
+    own = lambda i: " ".join(f"o{i}x{k}" for k in range(8))
+    pages = [(i, "\n".join([*head, own(i), *foot]), "en", "h", 1) for i in range(30)]
+    copies = [(100 + i, "\n".join(f"line {k} of one text that is copied, {' '.join(f'c{k}x{j}' for j in range(10))}" for k in range(6)), "en", "h", 1) for i in range(50)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(pages + copies, SCHEMA), texts=True).collect()}
+    assert all(got[i].kept_text == own(i) and got[i].n_kept_words == 8 and not got[i].base_failed and not got[i].kept for i in range(30))
+    assert all(got[100 + i].n_kept_words == got[100 + i].n_words and got[100 + i].kept for i in range(50))
+
+
 def test_depleted_documents_are_rejected(spark):
     line = "a long line of navigation that every page of this host repeats word for word at its top and at its foot"
     d = [(i, "\n".join([f"own{i} " + " ".join(f"o{i}x{k}" for k in range(20 if i % 2 else 90)), line, f"end{i}", line.upper() + " "]), "en", "h", 1) for i in range(40)]
