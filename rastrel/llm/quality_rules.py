@@ -20,6 +20,8 @@ MAX_DOCS = 20
 LEAST_KEPT = 0.5
 #: Up to so many frequent lines (16 bytes each) are broadcast; beyond, lines meet them by shuffle.
 BROADCAST_LINES = 200_000
+#: Keys that a frequent line is spread over in that shuffle.
+SALT = 32
 
 
 def _runs(w: Column, n: Column, bits: Column) -> Column:
@@ -29,10 +31,10 @@ def _runs(w: Column, n: Column, bits: Column) -> Column:
 
 
 def base_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """carry..., host, lines, and the counts of the base rules for each document. No shuffle.
+    """carry..., host, raw (lines), and the counts of the base rules for each document. No shuffle.
 
-    n_repeat_words: windows are packed with their positions and sorted as plain longs, so equal ones come together;
-    a window's hash keeps 64 bits less those of the positions (45 bits even for 500,000 words).
+    n_repeat_words: windows are packed with their positions and sorted as plain longs, so equal ones come together; those
+    whose hash bits occur twice are then sorted by their words, which decide.
     """
     text = F.coalesce("text", F.lit(""))
     d = docs.select(*carry, F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))).alias("host"), text.alias("t"), words(F.col("text")).alias("w"))
@@ -42,16 +44,21 @@ def base_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFra
         *carry,
         "host",
         "t",
+        "w",
         F.col("n").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.expr("cast(regexp_count(t, '[#*$%&|<>]') as long)").alias("n_symbols"),
         F.split("t", "\n").alias("raw"),
-        # Window starts whose hash a neighbour in the sorted array has too.
+        # Window starts whose hash bits a neighbour in the sorted array has too.
         F.expr(
-            "sort_array(transform(filter(run, (x, i) -> (i > 0 and shiftright(run[i - 1], bits) = shiftright(x, bits))"
-            " or (i + 1 < size(run) and shiftright(run[i + 1], bits) = shiftright(x, bits))), x -> x & (shiftleft(1L, bits) - 1)))"
-        ).alias("twice"),
+            "transform(filter(run, (x, i) -> (i > 0 and shiftright(run[i - 1], bits) = shiftright(x, bits))"
+            " or (i + 1 < size(run) and shiftright(run[i + 1], bits) = shiftright(x, bits))), x -> cast(x & (shiftleft(1L, bits) - 1) as int))"
+        ).alias("alike"),
     )
+    spelled = F.expr("if(size(alike) = 0, cast(array() as array<struct<g:string,p:int>>), sort_array(transform(alike, p -> struct(concat_ws(' ', w[p], w[p + 1], w[p + 2]) as g, p as p))))")
+    d = d.withColumn("spelled", spelled).drop("w", "alike")
+    twice = F.expr("sort_array(transform(filter(spelled, (x, i) -> (i > 0 and spelled[i - 1].g = x.g) or (i + 1 < size(spelled) and spelled[i + 1].g = x.g)), x -> x.p))")
+    d = d.withColumn("twice", twice).drop("spelled")
     worded = F.filter("raw", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("worded", worded).select(
         *carry,
@@ -61,7 +68,7 @@ def base_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFra
         "word_chars",
         "n_symbols",
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
-        F.expr("aggregate(transform(twice, (x, i) -> if(i + 1 < size(twice), least(3L, twice[i + 1] - x), 3L)), 0L, (a, x) -> a + x)").alias("n_repeat_words"),
+        F.expr("aggregate(transform(twice, (x, i) -> if(i + 1 < size(twice), least(3, twice[i + 1] - x), 3)), 0L, (a, x) -> a + x)").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return d.withColumn("base_failed", failed)
@@ -73,37 +80,56 @@ def line_key(line: Column) -> Column:
     return F.when(key != "", F.xxhash64(key))
 
 
+def frequent_lines(slim: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """host, h: lines that more than max_docs distinct documents of a host hold. slim: host, lines (h, n).
+
+    A line counts once a document, and documents with the same lines (but for blank ones) in the same order are one.
+    """
+    keys = slim.select("host", F.xxhash64("lines.h").alias("copy"), F.array_distinct("lines.h").alias("keys"))  # so that no row of explode carries the lines
+    seen = keys.select("host", "copy", F.explode("keys").alias("h")).where("h is not null").distinct()
+    return seen.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("host", "h")
+
+
+def _hits(lines: DataFrame, often: DataFrame, broadcast_lines: int) -> DataFrame:
+    """The rows of lines (host, h, rid, ...) that are frequent. A line of a third of all documents is one broadcast row, or SALT keys."""
+    if often.count() <= broadcast_lines:
+        return lines.join(F.broadcast(often), ["host", "h"], "left_semi")
+    salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALT)).cast("int")).join(salted, ["host", "h", "salt"], "left_semi").drop("salt")
+
+
 def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), max_docs: int = MAX_DOCS, least_kept: float = LEAST_KEPT, broadcast_lines: int = BROADCAST_LINES, texts: bool = False) -> DataFrame:
     """base_rules' counts with n_kept_words and kept, for each document (and kept_text, with `texts`).
 
     docs: text, source and the columns of `carry`; others are ignored, whatever their names. A null text has no word
     and fails the base rules; a null source is a host of its own; each row is judged, also one that repeats another; an
-    empty table gives an empty result. Lines are counted over all documents, those with the same lines (but for blank
-    ones) in the same order once.
+    empty table gives an empty result. Very long texts, of many lines or of one long word, cost time in proportion (and
+    the sorting of their windows): a document's lines meet the frequent ones as rows. A line in exactly max_docs
+    documents stays, and a document that keeps exactly least_kept of its words does. Lines are counted over all
+    documents, those with the same lines (but for blank ones) in the same order once.
     """
     base = base_rules(docs, carry)
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     lines = F.transform("raw", lambda x: F.struct(line_key(x).alias("h"), F.size(words(x)).alias("n")))
-    slim = materialise(base.select(*carry, "host", *measures, lines.alias("lines"), *(["raw"] if texts else [])), "quality-lines")
-    # A line counts once a document, and a document once, however often it is copied.
-    seen = slim.select("host", F.xxhash64("lines.h").alias("copy"), F.explode(F.array_distinct("lines.h")).alias("h")).where("h is not null").distinct()
-    often = seen.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
-    often = materialise(often.select("host", "h"), "quality-often")
-    if often.count() <= broadcast_lines:
-        per_host = often.groupBy("host").agg(F.collect_set("h").alias("often"))
-        d = slim.join(F.broadcast(per_host), "host", "left")
-        # Lines of a document that are frequent: the intersection is made by hashing, once a document.
-        d = d.withColumn("hit", F.when(F.col("often").isNotNull(), F.array_intersect("lines.h", "often")).otherwise(F.array().cast("array<long>"))).drop("often")
-    else:
-        keyed = slim.withColumn("rid", F.xxhash64(F.to_json(F.struct(*carry, "host", "lines"))))
-        hits = keyed.select("rid", "host", F.explode(F.array_distinct("lines.h")).alias("h")).join(often, ["host", "h"]).groupBy("rid").agg(F.collect_set("h").alias("hit"))
-        d = keyed.join(hits, "rid", "left").drop("rid").withColumn("hit", F.coalesce("hit", F.array().cast("array<long>")))
-    kept_words = F.expr("cast(if(size(hit) = 0, n_words, aggregate(lines, 0L, (a, x) -> a + if(x.h is not null and array_contains(hit, x.h), 0, x.n))) as long)")
-    d = d.withColumn("n_kept_words", kept_words)
-    out = [*carry, *measures, "n_kept_words", (~F.col("base_failed") & (F.col("n_kept_words") >= least_kept * F.col("n_words"))).alias("kept")]
-    if texts:
-        out.append(F.expr("array_join(transform(filter(arrays_zip(raw, lines), z -> z.lines.h is null or not array_contains(hit, z.lines.h)), z -> z.raw), '\n')").alias("kept_text"))
-    return d.select(*out)
+    slim = base.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)], "host", *measures, lines.alias("lines"), F.monotonically_increasing_id().alias("rid"), *(["raw"] if texts else []))
+    slim = materialise(slim, "quality-lines")
+    often = materialise(frequent_lines(slim, max_docs), "quality-often")
+    worded = _hits(slim.select("rid", "host", "lines").select("rid", "host", F.explode("lines").alias("x")).where("x.h is not null").select("rid", "host", F.col("x.h").alias("h"), F.col("x.n").alias("n")), often, broadcast_lines)
+    gone = worded.groupBy("rid").agg(F.sum("n").alias("gone"))
+    d = slim.select("rid", *[f"_{i}" for i in range(len(carry))], *measures).join(gone, "rid", "left")
+    d = d.withColumn("n_kept_words", F.col("n_words") - F.coalesce("gone", F.lit(0)).cast("long"))
+    named = [F.col(f"_{i}").alias(c) for i, c in enumerate(carry)]
+    out = [*named, *measures, "n_kept_words", (~F.col("base_failed") & (F.col("n_kept_words") >= least_kept * F.col("n_words"))).alias("kept")]
+    if not texts:
+        return d.select(*out)
+    # Texts that lose a line are put together again from their other lines; the rest stay as they are.
+    at = slim.join(materialise(gone.select("rid"), "quality-gone"), "rid", "left_semi").select("rid", "host", F.posexplode(F.arrays_zip(F.col("raw"), F.col("lines.h").alias("h"))).alias("i", "x"))
+    at = materialise(at.select("rid", "host", "i", F.col("x.raw").alias("raw"), F.col("x.h").alias("h")), "quality-struck")
+    struck = _hits(at.where("h is not null").select("rid", "host", "h", "i"), often, broadcast_lines).select("rid", "i")
+    left = at.join(struck, ["rid", "i"], "left_anti").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("i", "raw"))).alias("left"))
+    d = d.join(slim.select("rid", "raw"), "rid").join(left, "rid", "left")
+    text = F.when(F.col("gone").isNull(), F.array_join("raw", "\n")).otherwise(F.coalesce(F.array_join("left.raw", "\n"), F.lit("")))
+    return d.select(*out, text.alias("kept_text"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,9 +146,8 @@ cover AS (SELECT rid, count(DISTINCT pos + o) AS n FROM rep, (VALUES (0), (1), (
 line AS (SELECT rid, host, unnest(raw) AS x, generate_subscripts(raw, 1) AS pos FROM d),
 norm AS (SELECT rid, host, pos, x, nullif(trim(lower(x), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '') AS k,
                 len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS nw FROM line),
-ctx AS (SELECT *, lag(pos) OVER o AS has_prev, lag(k) OVER o AS prev, lead(pos) OVER o AS has_next, lead(k) OVER o AS next FROM norm WINDOW o AS (PARTITION BY rid ORDER BY pos)),
-often AS (SELECT host, k FROM ctx WHERE k IS NOT NULL GROUP BY host, k
-          HAVING count(DISTINCT rid) > 20 AND count(DISTINCT (CASE WHEN has_prev IS NULL THEN '<' ELSE coalesce('=' || prev, '0') END || chr(10) || CASE WHEN has_next IS NULL THEN '>' ELSE coalesce('=' || next, '0') END)) > 20),
+copy AS (SELECT rid, md5(coalesce(string_agg(k, chr(10) ORDER BY pos), '')) AS copy FROM norm GROUP BY rid),
+often AS (SELECT host, k FROM norm JOIN copy USING (rid) WHERE k IS NOT NULL GROUP BY host, k HAVING count(DISTINCT copy) > 20),
 left_words AS (SELECT rid, sum(CASE WHEN often.k IS NULL THEN nw ELSE 0 END) AS n FROM norm LEFT JOIN often ON norm.host = often.host AND norm.k = often.k GROUP BY rid),
 dup AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM norm WHERE nw > 0 GROUP BY rid),
 m AS (SELECT rid, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM d)
