@@ -1,8 +1,9 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 The lexicon (words and starts of words that mark labelled documents) is learned from a bounded sample of labelled
-rows, in which copies of a document count once. Features are made in folds, each from the lexicon of the others, so
-that trees see densities as they are on unseen text; the calibration is fitted to predictions made in the same way.
+rows, in which equal texts (but for case and white space) count once. Features are made in folds, each from the lexicon
+of the others, so that trees see densities as they are on unseen text; the calibration is fitted to predictions made in
+the same way. Near copies mostly share the least hash of their word triples, and with it their fold.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ LEAST_SHARE = 0.008
 #: Natural log of how much likelier an entry is in a toxic document: strong and mild entries.
 STRONG, MILD = 3.8, 2.5
 ENTRIES = 4000
+#: Longer words (characters) are no entries; their starts can be.
+LONGEST = 48
 THRESHOLD = 0.7
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
 
@@ -40,9 +43,9 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 DISGUISE = str.maketrans("@$013457!", "asoieasti")
 
 _WORD = re.compile(r"[^\W\d_]+")
-_DISGUISED = re.compile(r"[^\W\d_]+(?:[*@$!0-9._-]+[^\W\d_]+)+")
+_DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[*@$!0-9._-]++[^\W\d_]++)+")  # from a word's first letter, without going back: linear
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
-_CAPITALS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
+_CAPITALS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}+\b")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~]")
 
@@ -71,7 +74,7 @@ class Lexicon:
 def units(text: str) -> set[str]:
     """Words, and starts of words with a dash behind."""
     words = set(_WORD.findall(text.lower()))
-    return words | {w[:k] + "-" for w in words for k in STARTS if k < len(w)}
+    return {w for w in words if len(w) <= LONGEST} | {w[:k] + "-" for w in words for k in STARTS if k < len(w)}
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
@@ -198,21 +201,36 @@ def _lexicon(rows, folds: list[int]) -> Lexicon:
     return Lexicon({u: t for _, u, t in found if u[-1] != "-"}, {u[:-1]: t for _, u, t in found if u[-1] == "-"})
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from at most `sample` labelled documents. labels: doc_id, toxic (0 or 1; null: not labelled)."""
-    spark = docs.sparkSession
+def sketch(text: str) -> int:
+    """The least hash of a text's word triples; near copies mostly have it in common, other texts hardly ever."""
+    w = text.lower().encode().split()
+    return min((xxhash.xxh64_intdigest(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1
+
+
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """text, toxic, fold, digest: of at most `sample` labelled documents, each different text of each label once."""
     told = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(told), "doc_id").select("text", "toxic")
+    rows = rows.withColumn("digest", F.md5(F.btrim(F.regexp_replace(F.lower("text"), r"\s+", " ")).cast("binary")))
+    rows = rows.groupBy("digest", "toxic").agg(F.min("text").alias("text"))
 
-    def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The least hash of a text's words: near copies have it in common."""
+    def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            least = [min((xxhash.xxh64_intdigest(w) for w in set(x.as_py().lower().encode().split())), default=0) >> 1 for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["text", "toxic", "sketch"])
+            folds = [sketch(x.as_py()) % FOLDS for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(folds, pa.int32())], names=["digest", "toxic", "text", "fold"])
+
+    return materialise(mapped(rows, fold, "digest string, toxic int, text string, fold int"), "toxic-sample")
 
-    rows = mapped(rows, sketch, "text string, toxic int, sketch long").groupBy("sketch", "toxic").agg(F.min("text").alias("text"))
-    rows = materialise(rows.withColumn("fold", (F.col("sketch") % FOLDS).cast("int")), "toxic-sample")
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Learns from at most `sample` labelled documents. labels: doc_id, toxic (0 or 1; null: not labelled).
+
+    Rows of one doc_id are each a text of that label; where labels of one id differ, toxic wins. Labels without a
+    document, and documents without a label, teach nothing.
+    """
+    spark = docs.sparkSession
+    rows = sampled(docs, labels, sample)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -226,8 +244,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     cells = [F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)]
     toxic = sum((F.col(f"c{2 * f + 1}") for f in range(FOLDS)), F.lit(0))
     clean = sum((F.col(f"c{2 * f}") for f in range(FOLDS)), F.lit(0))
-    counted = mapped(rows, count, "unit string, cell int, n long").groupBy("unit").agg(*cells)
-    found = {r["unit"]: [[r[f"c{2 * f}"], r[f"c{2 * f + 1}"]] for f in range(FOLDS)] for r in counted.where((F.col("unit") == "") | ((toxic >= 3) & (toxic * 2 >= clean))).collect()}
+    counted = materialise(mapped(rows, count, "unit string, cell int, n long").groupBy("unit").agg(*cells), "toxic-units")
+    of_folds = lambda r: [[r[f"c{2 * f}"], r[f"c{2 * f + 1}"]] for f in range(FOLDS)]
+    # No unit in fewer toxic documents can be an entry of any fold; so what comes to the driver is bounded by their mean length.
+    told = [of_folds(r) for r in counted.where("unit = ''").collect()]
+    least = max(3.0, LEAST_SHARE * (sum(of[1] for of in told[0]) - max(of[1] for of in told[0]))) if told else 3.0
+    found = {r["unit"]: of_folds(r) for r in counted.where((F.col("unit") == "") | ((toxic >= least) & (toxic * 2 >= clean))).collect()}
     if not found or not all(sum(of[k] for of in found[""]) for k in (0, 1)):
         only = sum(of[1] for of in found[""]) > 0 if found else None
         return Model(Lexicon({}, {}), None, (np.zeros(1), np.array([0.0 if only is None else float(only)])))
@@ -237,9 +259,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             x = [features(t, sent.value[f]) for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("sketch"), batch.column("fold"), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["sketch", "fold", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("fold"), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["digest", "fold", "toxic", "x"])
 
-    got = mapped(rows, measure, "sketch long, fold int, toxic int, x array<double>").orderBy("sketch", "toxic").collect()
+    got = mapped(rows, measure, "digest string, fold int, toxic int, x array<double>").orderBy("digest", "toxic").collect()
     x, y, fold = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float), np.array([r["fold"] for r in got])
     out = np.zeros(len(y))
     for f in range(FOLDS):
@@ -252,7 +274,8 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -
     """carry..., score (0 to 1), predicted (score >= THRESHOLD) of every whole text.
 
     docs: text and the columns of `carry`; others are ignored, whatever their names. A null text is an empty one and
-    gets what the trees give a text without words; rows alike are scored alike; an empty table gives an empty result.
+    gets what the trees give a text without words; rows alike are scored alike; a very long text, also of one word, is
+    read whole, in time in proportion to its length; an empty table gives an empty result.
     Without labels of both kinds, all scores are the kind there is, or 0.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
