@@ -27,11 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own on a local
+    master (tests); a cluster without it is an error, as its executors would write to folders that no other reads."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(told)
         return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="rastrel-")
@@ -67,6 +70,17 @@ def ascii_lower(s: Column) -> Column:
     return F.translate(s, UPPER, LOWER)
 
 
+def least_count(counts: DataFrame, n: str, most: int) -> int | None:
+    """The least value of n such that no more than `most` rows have it or a larger one; null where not even the largest is that rare."""
+    total, least = 0, None
+    for r in counts.groupBy(F.col(n).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).toLocalIterator():
+        total += r["rows"]
+        if total > most:
+            break
+        least = r["n"]
+    return least
+
+
 #: Rows of an Arrow batch, so that long texts don't pile up in a worker.
 BATCH = 1000
 
