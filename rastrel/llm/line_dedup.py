@@ -3,7 +3,8 @@
 The index has, for each shard of the key hashes, a table of keys with the number of documents that hold each, and a
 cuckoo filter of the keys that reached the limit. Adding and removing documents changes the counts, and a key that
 crosses the limit enters or leaves its shard's filter, so what was added can be taken back exactly. To drop lines,
-a document's keys are looked up in the filters, and the hits alone in the exact table.
+a document's keys are looked up in the filters, and the hits alone in the exact table: its most frequent keys lie with the
+filters in memory, the others meet the hits by shuffle, in which for that reason no key is hot.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import WS_BYTES, mapped, materialise, table
+from rastrel.llm.common import WS_BYTES, least_count, mapped, materialise, table
 
 MIN_DOCS = 10
 MIN_CHARS = 1
 #: Keys of a shard, about; the number of shards follows from the number of keys.
 SHARD_KEYS = 1_000_000
-#: Up to so many keys at the limit (24 bytes each) filters and keys go to every worker; beyond, lines are joined by shuffle.
+#: So many keys at the limit (16 bytes each), the most frequent, go to every worker; hits of the filters meet the others by shuffle.
 BROADCAST_KEYS = 500_000
+#: Bytes of filters that go to every worker at once; where there are more, documents are read once for each such part.
+FILTER_BYTES = 64 << 20
 #: Keys that a task counts before it hands them on.
 FLUSH = 200_000
 SLOTS = 4
@@ -201,93 +204,104 @@ def change(index: LineIndex, added: DataFrame | None = None, removed: DataFrame
     return LineIndex(counts, filters, index.shards, index.min_docs, index.min_chars)
 
 
-def _join_kept(lines: list[bytes], gone: list[bool]) -> tuple[str, int]:
-    return b"\n".join(x for x, g in zip(lines, gone, strict=True) if not g).decode(), sum(gone)
+class _Filters:
+    """Filters of some shards, and the exact keys that lie beside them."""
 
+    def __init__(self, filters: dict[int, tuple[int, bytes]], exact: bytes, shards: int, min_chars: int):
+        self.filters = {s: CuckooFilter(b, np.frombuffer(x, np.uint16).reshape(-1, SLOTS)) for s, (b, x) in filters.items()}
+        self.exact = {exact[i : i + 16] for i in range(0, len(exact), 16)}
+        self.shards, self.min_chars = shards, min_chars
 
-def drop_lines(index: LineIndex, docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    def hits(self, keys: list[bytes], digests: list[bytes]) -> np.ndarray:
+        """Which of the keys pass their filters and are long enough."""
+        h = _pairs(digests)
+        hit, shard = np.zeros(len(keys), bool), h[:, 0] % self.shards  # numpy's % is not negative here, as pmod
+        for s, f in self.filters.items():
+            of = np.flatnonzero(shard == s)
+            hit[of] = f.contains(h[of, 1])
+        for i in np.flatnonzero(hit).tolist():
+            hit[i] = _long_enough(keys[i], self.min_chars)
+        return hit
+
+
+def _kept(batch: pa.RecordBatch, carry: tuple[str, ...], lines_of: list[list[bytes]], gone_of: list[list[bool]]) -> pa.RecordBatch:
+    texts = [b"\n".join(x for x, g in zip(lines, gone, strict=True) if not g).decode() for lines, gone in zip(lines_of, gone_of, strict=True)]
+    made = [pa.array(texts, pa.string()), pa.array([len(x) for x in lines_of], pa.int64()), pa.array([sum(x) for x in gone_of], pa.int64())]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], *made], names=[*carry, "text", "n_lines", "n_dropped"])
+
+
+def drop_lines(index: LineIndex, docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), broadcast_keys: int = BROADCAST_KEYS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Every document without the lines whose keys reached the index's limit.
 
     docs: text and the columns of `carry`; others are ignored, whatever their names. Returns carry..., text (the kept
     lines, joined by \\n), n_lines, n_dropped. A null or empty text is one empty line; empty keys are below one code
-    point and stay; each row is a document, also one that repeats another; an empty table gives an empty result.
+    point and stay; a key in exactly the limit's number of documents goes; each row is a document, also one that repeats
+    another; very long texts and lines are read whole, in time in proportion; an empty table gives an empty result.
     """
     hot = index.counts.where(F.col("n") >= index.min_docs)
     schema = docs.select(*carry).schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long")
-    if hot.count() > broadcast_keys:
-        return _drop_by_join(index, docs, carry)
     spark, shards, min_chars = docs.sparkSession, index.shards, index.min_chars
-    sent = spark.sparkContext.broadcast(
-        (
-            {r.shard: (r.buckets, bytes(r.slots)) for r in index.filters.collect()},
-            b"".join(np.array([r.h1, r.h2], "<i8").tobytes() for r in hot.select("h1", "h2").collect()),
-        )
-    )
-
-    def drop(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, keys = sent.value
-        filters = {s: CuckooFilter(b, np.frombuffer(x, np.uint16).reshape(-1, SLOTS)) for s, (b, x) in raw.items()}
-        exact = {keys[i : i + 16] for i in range(0, len(keys), 16)}
-        for batch in it:
-            docs_lines = [x.split(b"\n") for x in _texts(batch)]
-            flat = [line_key(x) for lines in docs_lines for x in lines]
-            digests = [_hash(k) for k in flat]
-            h = _pairs(digests)
-            hit = np.zeros(len(flat), bool)
-            shard = h[:, 0] % shards  # numpy's % is not negative here, as pmod
-            for s, f in filters.items():
-                of = np.flatnonzero(shard == s)
-                hit[of] = f.contains(h[of, 1])
-            for i in np.flatnonzero(hit):
-                hit[i] = digests[i] in exact and _long_enough(flat[i], min_chars)
-            gone, at, texts, dropped = hit.tolist(), 0, [], []
-            for lines in docs_lines:
-                text, n = _join_kept(lines, gone[at : at + len(lines)])
-                texts.append(text)
-                dropped.append(n)
-                at += len(lines)
-            cols = [batch.column(c) for c in carry]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(x) for x in docs_lines], pa.int64()), pa.array(dropped, pa.int64())], names=[*carry, "text", "n_lines", "n_dropped"])
-
-    return mapped(docs.select(*carry, *(["text"] if "text" not in carry else [])), drop, schema)
-
-
-def _drop_by_join(index: LineIndex, docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """The same where the keys at the limit are too many to send: lines of distinct texts meet their keys by shuffle."""
-    min_chars, shards = index.min_chars, index.shards
-    id_of = F.sha2(F.coalesce("text", F.lit("")), 256)
-    texts = docs.select(id_of.alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
-
-    def explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            tid, pos, digests = [], [], []
-            for t, text in zip(batch.column("tid").to_pylist(), _texts(batch), strict=True):
-                for i, x in enumerate(text.split(b"\n")):
-                    if _long_enough(k := line_key(x), min_chars):
-                        tid.append(t)
-                        pos.append(i)
-                        digests.append(_hash(k))
-            h = _pairs(digests)
-            yield pa.RecordBatch.from_arrays([pa.array(tid, pa.string()), pa.array(pos, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["tid", "pos", "h1", "h2"])
-
-    lines = mapped(texts, explode, "tid string, pos int, h1 long, h2 long").withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
-    hot = index.counts.where(F.col("n") >= index.min_docs).select("shard", "h1", "h2")
-    gone = lines.join(hot, ["shard", "h1", "h2"], "left_semi").groupBy("tid").agg(F.collect_set("pos").alias("gone"))
+    least = least_count(hot, "n", broadcast_keys)
+    frequent = hot.where(F.col("n") >= least) if least is not None else hot.limit(0)
+    exact = b"".join(np.array([r.h1, r.h2], "<i8").tobytes() for r in frequent.select("h1", "h2").collect())
+    parts = max(1, -(-int(index.filters.agg(F.sum(F.col("buckets") * 2 * SLOTS)).first()[0] or 0) // filter_bytes))
+    every = hot.agg(F.min("n")).first()[0] == least and parts == 1
+
+    def sent_of(part: int):
+        return spark.sparkContext.broadcast(({r.shard: (r.buckets, bytes(r.slots)) for r in index.filters.where(F.col("shard") % parts == part).collect()}, exact, shards, min_chars))
+
+    def drop(sent):
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = _Filters(*sent.value)
+            for batch in it:
+                lines_of = [x.split(b"\n") for x in _texts(batch)]
+                keys = [line_key(x) for lines in lines_of for x in lines]
+                digests = [_hash(k) for k in keys]
+                hit = known.hits(keys, digests).tolist()
+                gone, at = [h and d in known.exact for h, d in zip(hit, digests, strict=True)], np.cumsum([0, *map(len, lines_of)]).tolist()
+                yield _kept(batch, carry, lines_of, [gone[a:b] for a, b in zip(at, at[1:], strict=False)])
+
+        return run
+
+    if every:
+        return mapped(docs.select(*carry, *(["text"] if "text" not in carry else [])), drop(sent_of(0)), schema)
+
+    def find(sent):
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each document's distinct keys that pass the filters; sure: they are among the exact ones at hand."""
+            known = _Filters(*sent.value)
+            for batch in it:
+                keys_of = [sorted({line_key(x) for x in text.split(b"\n")}) for text in _texts(batch)]
+                keys = [k for x in keys_of for k in x]
+                digests = [_hash(k) for k in keys]
+                at = np.flatnonzero(known.hits(keys, digests))
+                rid = np.repeat(batch.column("rid").to_numpy(), [len(x) for x in keys_of])[at]
+                h, sure = _pairs(digests)[at], [digests[i] in known.exact for i in at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(sure, pa.bool_())], names=["rid", "h1", "h2", "sure"])
+
+        return run
+
+    own = [f"_{i}" for i in range(len(carry))]
+    rows = materialise(docs.select(*[F.col(c).alias(o) for c, o in zip(carry, own, strict=True)], "text", F.monotonically_increasing_id().alias("rid")), "line-rows")
+    found = None
+    for part in range(parts):
+        one = mapped(rows.select("rid", "text"), find(sent_of(part)), "rid long, h1 long, h2 long, sure boolean")
+        found = one if found is None else found.unionByName(one)
+    found = materialise(found, "line-hits")
+    rest = hot.where(F.col("n") < least) if least is not None else hot
+    gone = found.where("sure").select("rid", "h1", "h2").unionByName(found.where("not sure").select("rid", "h1", "h2").join(rest.select("h1", "h2"), ["h1", "h2"], "left_semi"))
+    gone = gone.groupBy("rid").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
 
     def strike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            texts, n_lines, dropped = [], [], []
-            for text, out in zip(_texts(batch), batch.column("gone").to_pylist(), strict=True):
-                lines, out = text.split(b"\n"), set(out or ())
-                kept, n = _join_kept(lines, [i in out for i in range(len(lines))])
-                texts.append(kept)
-                n_lines.append(len(lines))
-                dropped.append(n)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*carry, "text", "n_lines", "n_dropped"])
-
-    schema = docs.select(*carry).schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long")
-    rows = docs.select(*carry, F.col("text"), id_of.alias("tid")).join(gone, "tid", "left")
-    return mapped(rows.select(*carry, "text", "gone"), strike, schema)
+            named = pa.RecordBatch.from_arrays([batch.column(o) for o in own], names=list(carry))
+            lines_of, gone_of = [x.split(b"\n") for x in _texts(batch)], []
+            for lines, out in zip(lines_of, batch.column("gone").to_pylist(), strict=True):
+                away = {np.array([x["h1"], x["h2"]], "<i8").tobytes() for x in out or ()}
+                gone_of.append([bool(away) and _hash(k) in away and _long_enough(k, min_chars) for k in map(line_key, lines)])
+            yield _kept(named, carry, lines_of, gone_of)
+
+    return mapped(rows.join(gone, "rid", "left").select(*own, "text", "gone"), strike, schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
