@@ -21,20 +21,21 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import fresh_path, mapped, materialise, remove_path, table
+from rastrel.llm.common import fresh_path, least_count, mapped, materialise, remove_path, table
 
 #: Payloads of at least so many bytes are stored once.
 MIN_BYTES = 0
 #: Bytes of records after which a writer begins another archive.
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 20
-#: Up to so many repeated payloads (60 bytes each) are broadcast; beyond, pages meet them by shuffle.
+#: So many repeated payloads (60 bytes each), the most frequent, are broadcast; pages meet the others by shuffle, in which no payload is hot then.
 BROADCAST_REPEATS = 100_000
 _RECORD = "urn:x-page:"
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+    """A file system of pyarrow and the path in it. Hadoop's names of schemes are given those of pyarrow."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/(?!/)", "file:///", uri)))
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None) -> bytes:
@@ -113,10 +114,16 @@ def judged(pages: DataFrame, min_bytes: int = MIN_BYTES, broadcast_repeats: int
     payload = F.coalesce("html", F.lit("")).cast("binary")
     d = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"))
     long_enough = pages.where(F.octet_length(payload) >= min_bytes).select("page_id", F.sha1(payload).alias("digest"))
-    first = long_enough.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    first = long_enough.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     first = materialise(first, "warc-repeats")
-    d = d.join(F.broadcast(first) if first.count() <= broadcast_repeats else first, "digest", "left")
-    return d.select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first")).alias("refers_to"))
+    least = least_count(first, "n", broadcast_repeats)
+    often = first.where(F.col("n") >= least) if least is not None else first.limit(0)
+    d = d.join(F.broadcast(often.select("digest", F.col("first").alias("told"))), "digest", "left")
+    if first.agg(F.min("n")).first()[0] != least:
+        rest = first.where(F.col("n") < least) if least is not None else first
+        near, far = d.where("told is not null"), d.where("told is null").drop("told").join(rest.select("digest", F.col("first").alias("told")), "digest", "left")
+        d = near.unionByName(far)
+    return d.select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("told")), F.lit(None)).otherwise(F.col("told")).alias("refers_to"))
 
 
 def write_monolithic(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -222,7 +229,8 @@ def archive(pages: DataFrame, min_bytes: int = MIN_BYTES, archive_bytes: int = A
     pages: page_id, url, html, and whatever else (ignored). A null html is an empty payload, a null url has no
     WARC-Target-URI, control characters of a URL are escaped. Of equal payloads of at least min_bytes, the smallest
     page_id (and what repeats it) is the response; where all their ids are null, all are. A null id comes after all
-    others. An empty table gives no archive. The files stay in the shared folder.
+    others. A very long payload is one record, held whole. An empty table gives no archive. The files stay in the shared
+    folder until the caller removes them.
     """
     spark, folder = pages.sparkSession, fresh_path(pages.sparkSession, "warc")
     written = write_monolithic(judged(pages, min_bytes), f"{folder}/monolithic", archive_bytes)
@@ -232,7 +240,12 @@ def archive(pages: DataFrame, min_bytes: int = MIN_BYTES, archive_bytes: int = A
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(archive(table(spark, sf_dir, "pages")))
+    """The archives are removed once their records are read."""
+    archives = archive(table(spark, sf_dir, "pages"))
+    rows = materialise(read(archives), "warc-records")
+    for r in archives.select(F.regexp_extract("archive", "^(.*)/members/[^/]*$", 1).alias("folder")).distinct().collect():
+        remove_path(spark, r["folder"])
+    return rows
 
 
 #: Upper-case base32 of SHA-1 (32 characters, no padding), from its hexadecimal digits, 5 digits to 4 characters.
