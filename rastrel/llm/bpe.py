@@ -13,7 +13,6 @@ import json
 import mmap
 import re
 import struct
-import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
@@ -21,10 +20,11 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import mapped, materialise, table
+from rastrel.llm.common import fresh_path, least_count, mapped, materialise, table, write_bytes
 
 #: Words of the lexicon, at most; with all that share the least count left out.
 LEXICON_WORDS = 100_000
@@ -314,7 +314,7 @@ def _parts(text: str, specials: list[str]) -> list[str]:
 
 
 class Tokenizer:
-    """A compiled lexicon and the rules for what it lacks; small enough to send: the vocabulary and a bounded lexicon."""
+    """The rules of a vocabulary, and a lexicon compiled for all workers: a file that Spark hands to each of them once."""
 
     def __init__(self, path: str, lexicon: bytes):
         with open(path, encoding="utf-8") as f:
@@ -322,6 +322,16 @@ class Tokenizer:
         if self.spec.get("normalizer") or self.spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             raise ValueError("not a byte-level BPE tokenizer of the supported kind")
         self.lexicon = lexicon
+        self.sent = None
+
+    def shipped(self, spark: SparkSession):
+        """A broadcast of the rules, and the name under which workers find the lexicon's file."""
+        if self.sent is None:
+            path = fresh_path(spark, "bpe-lexicon")
+            write_bytes(spark, path, self.lexicon)
+            spark.sparkContext.addFile(path)
+            self.sent = spark.sparkContext.broadcast(self.spec), path.rpartition("/")[2]
+        return self.sent
 
 
 def fit(docs: DataFrame, path: str | None = None, words: int = LEXICON_WORDS) -> Tokenizer:
@@ -330,28 +340,30 @@ def fit(docs: DataFrame, path: str | None = None, words: int = LEXICON_WORDS) ->
     tokenizer = Tokenizer(path, b"")
     rules = Merges(tokenizer.spec)
     counts = materialise(word_counts(docs, list(rules.specials)).where(F.length("word") <= LONGEST), "bpe-words")
-    # The least count at which no more words than allowed have it: found on the (short) table of counts of counts.
-    of_n = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n"))
-    total, least = 0, None
-    for r in of_n.toLocalIterator():
-        total += r["words"]
-        if total > words:
-            break
-        least = r["n"]
+    least = least_count(counts, "n", words)
     kept = [] if least is None else sorted(bytes(r["word"]) for r in counts.where(F.col("n") >= least).select("word").collect())
     tokenizer.lexicon = Transducer.compiled((w, rules.merge(w)) for w in kept)
     return tokenizer
 
 
+#: What this process has parsed and mapped, by the lexicon's name; the last one alone, as workers serve many tasks.
+_parsed: dict[str, tuple[Merges, Transducer]] = {}
+
+
+def _tools(sent) -> tuple[Merges, Transducer]:
+    spec, name = sent
+    if name not in _parsed:
+        _parsed.clear()
+        with open(SparkFiles.get(name), "rb") as f:
+            _parsed[name] = Merges(spec.value), Transducer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+    return _parsed[name]
+
+
 class _Worker:
-    """What a task needs of a tokenizer: the mapped lexicon, the rules, and the ids of words met lately."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        self.rules = Merges(tokenizer.spec)
-        self.file = tempfile.TemporaryFile()  # noqa: SIM115  has no name and goes with the task
-        self.file.write(tokenizer.lexicon)
-        self.file.flush()
-        self.lexicon = Transducer(mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ))
+    """What a task needs of a tokenizer: the rules, the mapped lexicon, and the ids of words met lately."""
+
+    def __init__(self, sent):
+        self.rules, self.lexicon = _tools(sent)
         self.known: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
@@ -386,7 +398,7 @@ def _encoding(sent, carry: tuple[str, ...]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = None
         for batch in it:
-            worker = worker or _Worker(sent.value)
+            worker = worker or _Worker(sent)
             a, column = 0, batch.column("text")
             while a < batch.num_rows:
                 texts, chars, b = [], 0, a
@@ -407,7 +419,7 @@ def _decoding(sent):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = None
         for batch in it:
-            tokens = tokens or Merges(sent.value.spec).tokens
+            tokens = tokens or _tools(sent)[0].tokens
             get, top, texts = tokens.__getitem__, len(tokens), []
             for raw in batch.column("ids"):
                 ids = np.frombuffer(raw.as_buffer(), "<u4") if raw.is_valid else np.empty(0, "<u4")
@@ -425,22 +437,23 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, carry: tuple[str, ...] = ("doc
     """carry..., ids (binary: little-endian unsigned 32-bit integers) of every whole text.
 
     docs: text and the columns of `carry`; others are ignored, whatever their names. A null or empty text has no ids;
-    the strings of special tokens become those tokens; repeated rows are encoded alike; an empty table gives an empty
-    result.
+    the strings of special tokens become those tokens; repeated rows are encoded alike; a very long text is encoded whole,
+    a very long word by a heap of its pairs; words that tie at the lexicon's end are all left out of it, which changes no
+    id; an empty table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    sent = tokenizer.shipped(docs.sparkSession)
     return mapped(_with_text(docs, carry), _encoding(sent, carry), docs.select(*carry).schema.add("ids", "binary"))
 
 
 def decode(encoded: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """The same rows with decoded (string), special tokens kept; ids without a token are skipped, bytes that aren't UTF-8 replaced."""
-    sent = encoded.sparkSession.sparkContext.broadcast(tokenizer)
+    sent = tokenizer.shipped(encoded.sparkSession)
     return mapped(encoded, _decoding(sent), encoded.select("*").schema.add("decoded", "string"))
 
 
 def token_digests(docs: DataFrame, tokenizer: Tokenizer, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """carry..., n_tokens, ids_sha256, decoded_sha256: encoded and decoded by one worker."""
-    sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    sent = tokenizer.shipped(docs.sparkSession)
     there, back = _encoding(sent, carry), _decoding(sent)
     both = mapped(_with_text(docs, carry), lambda it: back(there(it)), docs.select(*carry).schema.add("ids", "binary").add("decoded", "string"))
     return both.select(*carry, F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
