@@ -1,22 +1,22 @@
 """Hierarchical Pitman-Yor language model, seated by Gibbs sampling.
 
-Words are modelled by two hierarchies of restaurants that meet in one:
-
-* symbols: each of the SYMBOLS most frequent words is a symbol of its own, all others are the symbol "rare". The
-  restaurant of a context, the last frequent word before, shares its parent with all other contexts, whose own base is
-  uniform.
-* rare words: one restaurant, whose tables order their words from a hierarchy over bytes: contexts of up to 5 bytes,
-  each the child of the context without its first byte, down to a uniform base.
-
-So the probability of a rare word is that of "rare" in its context times that of its spelling among rare words, and
-everything sums to one. Customers sit at tables by the Chinese restaurant process; Gibbs sampling takes single
-customers up and seats them anew; a restaurant's tables are its parent's customers. Predictive probabilities are
-averaged over the samples.
-
-Counts cover the whole corpus. Tokens stay in chunks; a chunk asks the shards, to which words are dealt by hash, for
-the counts and probabilities of its distinct words, so a word costs one entry a chunk however frequent it is. Only
-tables of bounded size reach one task: symbol pairs (SYMBOLS squared) and byte contexts (of each
-length the CONTEXTS most frequent, and all of up to 2 bytes; what a dropped context held goes to the next shorter one).
+Restaurants of contexts that get shorter, each the child of the next:
+
+* one for every preceding word (a document's end before its first word), over all words;
+* one for words without context, the parent of all those, whose customers are their tables;
+* its base spells words: restaurants for the two bytes before a byte or the word's end, for the one before, for none, and
+  a uniform base. They learn from the tables of words.
+
+So the probability of every text sums to one, words never seen included. Seating, discounts and strengths are sampled in
+`restaurants`; what a dish's tables hold and what a restaurant leaves to its parent are averaged over the samples.
+
+All words and all word pairs take part. Tokens stay in chunks; words are dealt to shards by hash, pairs to other shards by
+their context, and a chunk asks both for its distinct words and pairs, so a frequent word costs one entry a chunk. A
+context with more than SPLIT tokens is dealt to several shards by its words; each of them takes the restaurant's tables to
+be its own times their number. Only the byte contexts, 65,793 at most, are in one task and broadcast.
+
+The levels are sampled in blocks: pairs are first seated over the chances that a shard sees; their tables are the
+customers of the word restaurant; its tables teach the spelling; words are then seated over that, and pairs over those.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,172 +33,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastrel.llm.common import fresh_path, mapped, materialise, table
+from rastrel.llm.restaurants import Restaurants, sampled
 
-SYMBOLS = 1000
-CONTEXTS = 30_000
-ORDER = 5
-#: Contexts of up to so many bytes are all kept.
-SHORT = 2
+#: Bytes before a byte that its context has.
+ORDER = 2
 #: Tokens of a chunk, about.
 CHUNK = 2_000_000
-#: Shards of the words: one for so many documents, and so many at least.
-SHARD_DOCS, LEAST_SHARDS = 3_000, 32
-BURN_IN, SAMPLES, MOVES = 2, 4, 4
+#: Shards of words: one for so many documents, and so many at least. Shards of pairs: one for so many tokens.
+SHARD_DOCS, LEAST_SHARDS = 8_000, 16
+PAIR_TOKENS, LEAST_PAIR_SHARDS = 2_000_000, 8
+#: Tokens of a context that go to one shard.
+SPLIT = 500_000
+BURN_IN, SAMPLES = 3, 4
 SEED = 20
-RARE, END = 0, 1
-#: Symbols of the byte hierarchy: bytes, and the end of a word.
+#: Symbols of the spelling: bytes, and the end of a word.
 BYTES = 257
 
 
-class Seating:
-    """Tables of dishes in restaurants: dish i stands in restaurant at[i] and has c[i] customers."""
-
-    def __init__(self, rng, at: np.ndarray, c: np.ndarray, restaurants: int, d: float, theta: float):
-        self.rng, self.at, self.c, self.d, self.theta, self.restaurants = rng, at, c.astype(np.int64), d, theta, restaurants
-        self.customers = np.bincount(at, self.c, restaurants)
-        self.t = np.ones(len(c), np.int64)
-        self.size = None
-
-    def tables(self) -> np.ndarray:
-        """Of each restaurant."""
-        return np.bincount(self.at, self.t, self.restaurants)
-
-    def begin(self, p: np.ndarray) -> None:
-        """Seats all customers, given the parent's probability of each dish: one by one at first, then in larger and larger
-        groups. A dish's customers go to its tables in shares broken from a stick, as those of the process do."""
-        c, d = self.c, self.d
-        t, j, on = np.ones(len(c)), 1, np.flatnonzero(c > 1)
-        while len(on):
-            step = 1 if j < 16 else j // 4
-            take = np.minimum(step, c[on] - j)
-            weight = (self.theta + d * np.bincount(self.at, t, self.restaurants)[self.at[on]]) * p[on]
-            mean = take * weight / (weight + j - d * t[on])
-            t[on] += np.minimum(take, self.rng.poisson(mean)) if step > 1 else self.rng.random(len(on)) < mean
-            j += step
-            on = on[c[on] > j]
-        self.t = np.minimum(t.astype(np.int64), c)
-        owner = np.repeat(np.arange(len(c)), self.t)
-        first = np.cumsum(self.t) - self.t
-        weight = (self.theta + d * (self.tables()[self.at] - self.t)) * p  # for the first table; each adds d * p
-        broken = self.rng.beta(1 - d, np.maximum(weight[owner] + d * p[owner] * (np.arange(len(owner)) - first[owner] + 1), 1e-6))
-        left = np.log1p(-np.minimum(broken, 1 - 1e-12))
-        before = np.cumsum(left) - left
-        share = broken * np.exp(before - before[first][owner])
-        extra = np.floor(share / np.maximum(np.bincount(owner, share, len(c))[owner], 1e-300) * (c - self.t)[owner]).astype(np.int64)
-        size = 1 + extra
-        size[first] += c - np.bincount(owner, size, len(c)).astype(np.int64)  # what rounding leaves
-        self._lay(owner, size, 0)
-
-    def _lay(self, owner: np.ndarray, size: np.ndarray, spare: int) -> None:
-        """Lays the tables out by dish, with room for new ones where customers can move."""
-        self.room = self.t + np.where(self.c > 1, spare, 0)
-        self.first = np.cumsum(self.room) - self.room
-        self.used = self.t.copy()
-        self.size = np.zeros(int(self.room.sum()), np.int64)
-        self.size[self.first[owner] + np.arange(len(owner)) - (np.cumsum(self.t) - self.t)[owner]] = size
-
-    def _pick(self, dishes: np.ndarray, total: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A random customer's table, for each of these dishes."""
-        before = np.where(self.first[dishes] > 0, ends[self.first[dishes] - 1], 0)
-        return np.searchsorted(ends, before + (self.rng.random(len(dishes)) * total).astype(np.int64), "right")
-
-    def move(self, p: np.ndarray) -> None:
-        """Takes one random customer of each dish up and seats them by the others, given the parent's probabilities."""
-        dishes = np.flatnonzero(self.c > 1)
-        if not len(dishes):
-            return
-        c = self.c[dishes]
-        slot = self._pick(dishes, c, np.cumsum(self.size))
-        self.size[slot] -= 1
-        self.t[dishes] -= self.size[slot] == 0
-        new = (self.theta + self.d * self.tables()[self.at[dishes]]) * p[dishes]
-        opens = self.rng.random(len(dishes)) * (new + c - 1 - self.d * self.t[dishes]) < new
-        at = dishes[opens]
-        self.size[self.first[at] + self.used[at]] = 1
-        self.used[at] += 1
-        self.t[at] += 1
-        # Others sit down with weight size - d: beside a random customer, refused with chance d / size.
-        left, ends = dishes[~opens], np.cumsum(self.size)
-        for turn in range(30):
-            if not len(left):
-                break
-            total = ends[self.first[left] + self.room[left] - 1] - np.where(self.first[left] > 0, ends[self.first[left] - 1], 0)
-            slot = self._pick(left, total, ends)
-            ok = self.rng.random(len(left)) >= self.d / self.size[slot] if turn < 29 else np.ones(len(left), bool)
-            np.add.at(self.size, slot[ok], 1)
-            left = left[~ok]
-
-    def moves(self, p: np.ndarray, n: int) -> None:
-        taken = np.flatnonzero(self.size)
-        self._lay(np.repeat(np.arange(len(self.c)), self.room)[taken], self.size[taken], n)
-        for _ in range(n):
-            self.move(p)
-
-
-def discount(c: np.ndarray) -> float:
-    """Kneser-Ney's estimate, from the dishes with one customer and with two."""
-    one, two = int((c == 1).sum()), int((c == 2).sum())
-    return float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one + two else 0.5
-
-
-@dataclass
-class Level:
-    """Sorted codes of a level's dishes in context and of its contexts, with their averaged probabilities and shares for the level below."""
-
-    gram: np.ndarray
-    p: np.ndarray
-    context: np.ndarray
-    back: np.ndarray
-
-
-def sample_hierarchy(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], base: float, seed: int = SEED, theta: float = 1.0) -> list[Level]:
-    """Samples restaurants of nested contexts and averages their predictions.
-
-    levels, from the shortest contexts on: sorted codes of dishes in context, of their contexts, each one's row among the
-    dishes of the level below (its parent's dish), and customers of its own that come from outside (0 where all come
-    as tables of the level above).
-    """
-    rng = np.random.default_rng(seed)
-    own = [np.asarray(x[3], np.int64) for x in levels]
-    ctx = [np.unique(x[1], return_inverse=True) for x in levels]
-    n = len(levels)
-    # To begin with, every dish has one table, whose customer is the parent's.
-    c = [x.copy() for x in own]
-    for k in range(n - 1, 0, -1):
-        c[k - 1] += np.bincount(levels[k][2], minlength=len(own[k - 1])).astype(np.int64)
-    d = [discount(x) for x in c]
-    seats: list[Seating] = []
-    for k in range(n):
-        seats.append(Seating(rng, ctx[k][1], c[k], len(ctx[k][0]), d[k], theta))
-    sums = [[np.zeros(len(own[k])), np.zeros(len(ctx[k][0]))] for k in range(n)]
-
-    def predictions() -> list[np.ndarray]:
-        p, out = None, []
-        for k, s in enumerate(seats):
-            below = np.full(len(s.c), base) if k == 0 else p[levels[k][2]]
-            scale = s.theta + s.customers[s.at]
-            p = (s.c - s.d * s.t + (s.theta + s.d * s.tables()[s.at]) * below) / scale
-            out.append(p)
-        return out
-
-    p = predictions()
-    for turn in range(BURN_IN + SAMPLES):
-        for k in range(n - 1, -1, -1):
-            below = np.full(len(own[k]), base) if k == 0 else p[k - 1][levels[k][2]]
-            if k < n - 1:  # the tables above are its customers
-                c = own[k] + np.bincount(levels[k + 1][2], seats[k + 1].t, len(own[k])).astype(np.int64)
-                seats[k] = Seating(rng, ctx[k][1], c, len(ctx[k][0]), d[k], theta)
-            if seats[k].size is None or k < n - 1:
-                seats[k].begin(below)
-            seats[k].moves(below, MOVES)
-        p = predictions()
-        if turn >= BURN_IN:
-            for k, s in enumerate(seats):
-                sums[k][0] += p[k] / SAMPLES
-                sums[k][1] += (s.theta + s.d * s.tables()) / (s.theta + s.customers) / SAMPLES
-    return [Level(levels[k][0], sums[k][0], ctx[k][0], sums[k][1]) for k in range(n)]
-
-
 def _find(codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the wanted codes among sorted ones, and which are there."""
     if not len(codes):
@@ -208,8 +58,11 @@ def _find(codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, codes[at] == wanted
 
 
+# --- spelling
+
+
 def _spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each word and its end: code of the ORDER bytes before it and itself; and the word's first row."""
+    """For each byte of each word and its end: code of the ORDER bytes before it (0 before the first) and itself; and the word's first row."""
     n = np.fromiter(map(len, words), np.int64, len(words)) + 1
     flat = np.frombuffer(b"\n".join(words) + b"\n", np.uint8).astype(np.int64)  # words have no white space
     first = np.cumsum(n) - n
@@ -221,364 +74,439 @@ def _spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code, first
 
 
-def _level_codes(code: np.ndarray, k: int) -> np.ndarray:
-    return code & ((1 << (9 + 8 * k)) - 1)
-
-
 class Spelling:
-    """The byte hierarchy's averaged predictions."""
+    """For each length of context: sorted codes of dishes in context with their chance beside the parent's, and of contexts
+    with what they leave to the parent."""
 
-    def __init__(self, levels: list[Level]):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
         self.levels = levels
 
     @classmethod
-    def fit(cls, level: np.ndarray, code: np.ndarray, n: np.ndarray) -> Spelling:
-        """From the customers n of codes, each at the level of its context's length."""
-        grams = [np.zeros(0, np.int64)] * (ORDER + 1)
-        for k in range(ORDER, -1, -1):
-            above = _level_codes(grams[k + 1], k) if k < ORDER else grams[ORDER]
-            grams[k] = np.unique(np.concatenate([code[level == k], above]))
-        levels = []
-        for k, g in enumerate(grams):
-            own = np.zeros(len(g), np.int64)
-            np.add.at(own, _find(g, code[level == k])[0], n[level == k])
-            levels.append((g, g >> 9, _find(grams[k - 1], _level_codes(g, k - 1))[0] if k else np.zeros(len(g), np.int64), own))
-        return cls(sample_hierarchy(levels, 1.0 / BYTES))
+    def fit(cls, code: np.ndarray, n: np.ndarray, seed: int = SEED) -> Spelling:
+        """From the customers n of codes, sorted, each with its whole context."""
+        rng = np.random.default_rng(seed)
+        grams, below = [code], []
+        for k in range(ORDER - 1, -1, -1):
+            shorter = np.unique(grams[0] & ((1 << (9 + 8 * k)) - 1))
+            below.insert(0, np.searchsorted(shorter, grams[0] & ((1 << (9 + 8 * k)) - 1)))
+            grams.insert(0, shorter)
+        contexts = [np.unique(g >> 9, return_inverse=True) for g in grams]
+        levels: list[Restaurants] = [None] * (ORDER + 1)
+        c = n
+        for k in range(ORDER, -1, -1):  # to begin with, each dish has one table
+            levels[k] = Restaurants(rng, contexts[k][1], c, len(contexts[k][0]))
+            if k:
+                c = np.bincount(below[k - 1], levels[k].t, len(grams[k - 1])).astype(np.int64)
+        sums = [[np.zeros(len(g)), np.zeros(len(x[0]))] for g, x in zip(grams, contexts, strict=True)]
+
+        def chances() -> list[np.ndarray]:
+            p = np.full(len(grams[0]), 1.0 / BYTES)
+            out = [p]
+            for k, r in enumerate(levels):
+                seen, rest = r.shares()
+                p = seen + rest[r.at] * p
+                out.append(p[below[k]] if k < ORDER else p)
+                p = out[-1]
+            return out
+
+        for turn in range(BURN_IN + SAMPLES):
+            for k in range(ORDER, -1, -1):
+                if k < ORDER:  # the tables above are its customers
+                    levels[k].refill(np.bincount(below[k], levels[k + 1].t, len(grams[k])))
+                levels[k].sweep(chances()[k])
+            if turn >= BURN_IN:
+                for s, r in zip(sums, levels, strict=True):
+                    seen, rest = r.shares()
+                    s[0] += seen / SAMPLES
+                    s[1] += rest / SAMPLES
+        return cls([(g, s[0], x[0], s[1]) for g, s, x in zip(grams, sums, contexts, strict=True)])
+
+    def chances(self, code: np.ndarray) -> np.ndarray:
+        p = np.full(len(code), 1.0 / BYTES)
+        for k, (gram, seen, context, rest) in enumerate(self.levels):
+            g = code & ((1 << (9 + 8 * k)) - 1)
+            at, there = _find(context, g >> 9)
+            if len(context):
+                p = np.where(there, rest[at] * p, p)
+            at, there = _find(gram, g)
+            p[there] += seen[at[there]]
+        return p
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         """Of each word's spelling and end."""
         if not words:
             return np.zeros(0)
         code, first = _spelled(words)
-        p = np.zeros(len(code))
-        factor, todo = np.ones(len(code)), np.arange(len(code))
-        for k in range(ORDER, -1, -1):
-            lv, g = self.levels[k], _level_codes(code[todo], k)
-            at, seen = _find(lv.gram, g)
-            p[todo[seen]] = factor[todo[seen]] * lv.p[at[seen]]
-            todo, g = todo[~seen], g[~seen]
-            at, known = _find(lv.context, g >> 9)
-            factor[todo[known]] *= lv.back[at[known]]
-        p[todo] = factor[todo] / BYTES
-        return np.add.reduceat(np.log10(p), first)
+        distinct, at = np.unique(code, return_inverse=True)
+        return np.add.reduceat(np.log10(self.chances(distinct))[at], first)
+
+
+# --- blobs
+
+
+def _pack(x, kind: str) -> bytes:
+    """Numbers in planes of bytes, compressed."""
+    x = np.asarray(x).astype(kind)
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1) if len(x) else b""
+
 
+def _unpack(blob: bytes, kind: str) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, kind)
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-def _ints(values, kind: str) -> bytes:
-    return np.asarray(values).astype(kind).tobytes()
 
+def _pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted numbers, as differences."""
+    return _pack(np.diff(x.astype(np.uint64), prepend=np.uint64(0)), "<u8")
 
-def _pack(ids: np.ndarray) -> bytes:
-    """Ids in four planes of bytes, compressed."""
-    return zlib.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
+def _unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(blob, "<u8"), dtype=np.uint64)
 
-def _unpack(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
+def _words(words: list[bytes]) -> bytes:
+    return zlib.compress(b"\n".join(words), 1)
 
-def _split(blob: bytes) -> list[bytes]:
-    return blob.split(b"\n") if blob else []
 
+def _unwords(blob: bytes) -> list[bytes]:
+    return zlib.decompress(blob).split(b"\n")
 
-_CHUNK = "kind int, chunk string, shard int, words binary, counts binary, doc_id array<long>, held_out array<boolean>, lengths array<int>, ids binary"
 
+#: Rows that go to a chunk, a shard of words (w) or a shard of pairs (p): what they are, from whom, and their numbers.
+_ROW = "chunk string, shard int, kind string, other int, a binary, b binary, c binary, doc_id array<long>, held_out array<boolean>, lengths array<int>"
+_TYPES = {"chunk": pa.string(), "shard": pa.int32(), "kind": pa.string(), "other": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary(), "doc_id": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int32())}
 
-def chunked(docs: DataFrame, shards: int, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """Chunks (chunk, words, doc_id, held_out, lengths, ids) and what they ask of shards (chunk, shard, words, counts).
 
-    docs: doc_id (long), held_out, text. A chunk's words come in the order of their shards; counts are those of tokens
-    to learn from.
+def _table(rows: list[dict]) -> pa.Table:
+    return pa.table({n: pa.array([r.get(n) for r in rows], t) for n, t in _TYPES.items()})
+
+
+def _rows(t: pa.Table) -> dict[str, list[dict]]:
+    out: dict[str, list[dict]] = {}
+    for r in t.to_pylist():
+        out.setdefault(r["kind"], []).append(r)
+    return out
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table by kind, so that each kind is read alone."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    df.write.partitionBy("kind").parquet(path)
+    return spark.read.schema(_ROW).parquet(path)
+
+
+# --- chunks and words
+
+
+def chunked(docs: DataFrame, shards: int, chunk: int = CHUNK) -> DataFrame:
+    """Rows "chunk" (a: ids of its tokens among its words, an end, the word b"", behind each document) and "words" (to a
+    shard of words; a: words, b: their tokens to learn from). A chunk's words come in the order of their shards.
+
+    docs: doc_id (long), held_out, text.
     """
 
-    def close(vocabulary: dict[bytes, int], ids: list[np.ndarray], doc_ids: list, held: list[bool]) -> Iterator[pa.RecordBatch]:
+    def close(vocabulary: dict[bytes, int], ids: list[np.ndarray], doc_ids: list, held: list[bool]) -> pa.RecordBatch:
         name, words = uuid.uuid4().hex, list(vocabulary)
         shard = np.fromiter((xxhash.xxh64_intdigest(w) % shards for w in words), np.int64, len(words))
         order = np.argsort(shard, kind="stable")
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
-        words, shard = [words[i] for i in order], shard[order]
-        lengths = [len(x) for x in ids]
-        flat = place[np.concatenate(ids)] if sum(lengths) else np.zeros(0, np.int64)
+        lengths = np.array([len(x) for x in ids])
+        flat = place[np.concatenate(ids)]
         counts = np.bincount(flat[~np.repeat(np.array(held, bool), lengths)], minlength=len(words))
-        row = {"kind": [0], "chunk": [name], "shard": [-1], "words": [b"\n".join(words)], "counts": [b""], "doc_id": [doc_ids], "held_out": [held], "lengths": [lengths], "ids": [_pack(flat)]}
-        starts = np.searchsorted(shard, np.arange(shards + 1))
+        rows = [{"chunk": name, "kind": "chunk", "a": _pack(flat, "<u4"), "doc_id": doc_ids, "held_out": held, "lengths": lengths.tolist()}]
+        words, starts = [words[i] for i in order], np.searchsorted(shard[order], np.arange(shards + 1))
         for s in range(shards):
             a, b = starts[s], starts[s + 1]
             if a < b:
-                for k, v in {"kind": 1, "chunk": name, "shard": s, "words": b"\n".join(words[a:b]), "counts": _ints(counts[a:b], "<u4"), "doc_id": None, "held_out": None, "lengths": None, "ids": None}.items():
-                    row[k].append(v)
-        kinds = {"kind": pa.int32(), "chunk": pa.string(), "shard": pa.int32(), "words": pa.binary(), "counts": pa.binary(), "doc_id": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int32()), "ids": pa.binary()}
-        yield pa.RecordBatch.from_arrays([pa.array(row[k], t) for k, t in kinds.items()], names=list(kinds))
+                rows.append({"chunk": name, "kind": "words", "shard": s, "a": _words(words[a:b]), "b": _pack(counts[a:b], "<u4")})
+        return _table(rows).combine_chunks().to_batches()[0]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, ids, doc_ids, held, n = {}, [], [], [], 0
+        new = lambda: ({b"": 0}, [], [], [])
+        (vocabulary, ids, doc_ids, held), n = new(), 0
         for batch in it:
             texts = batch.column("text").cast(pa.binary())
             for doc_id, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts, strict=True):
-                words = (text.as_py() or b"").lower().split()  # bytes: A-Z, and white space [\x20\x09-\x0D], alone
+                words = [*(text.as_py() or b"").lower().split(), b""]  # bytes: A-Z, and white space [\x20\x09-\x0D], alone
                 ids.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words)))
                 doc_ids.append(doc_id)
                 held.append(out)
-                n += len(words) + 1
+                n += len(words)
                 if n >= chunk:
-                    yield from close(vocabulary, ids, doc_ids, held)
-                    vocabulary, ids, doc_ids, held, n = {}, [], [], [], 0
+                    yield close(vocabulary, ids, doc_ids, held)
+                    (vocabulary, ids, doc_ids, held), n = new(), 0
         if doc_ids:
-            yield from close(vocabulary, ids, doc_ids, held)
+            yield close(vocabulary, ids, doc_ids, held)
 
-    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "lm-chunks")
-    mapped(docs.select("doc_id", "held_out", "text"), run, _CHUNK).write.partitionBy("kind").parquet(path)
-    both = spark.read.schema(_CHUNK).parquet(path)
-    return both.where("kind = 0").select("chunk", "words", "doc_id", "held_out", "lengths", "ids"), both.where("kind = 1").select("chunk", "shard", "words", "counts")
+    return _written(mapped(docs.select("doc_id", "held_out", "text"), run, _ROW), "lm-chunks")
 
 
-def _gathered(asked: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, list[int]]:
-    """A shard's distinct words in byte order and their counts; each asked word's row, and how many each chunk asks."""
-    lists = [_split(x) for x in asked["words"].to_pylist()]
-    every = pa.array([w for x in lists for w in x], pa.binary())
-    counts = np.concatenate([np.frombuffer(x, "<u4") for x in asked["counts"].to_pylist()]).astype(np.int64)
-    coded = every.dictionary_encode()
+def _gathered(t: pa.Table) -> pa.Table:
+    """A shard of words: "vocabulary" (a: distinct words in byte order, b: their counts) and, for each chunk, "codes" (a: its
+    words' places among them, b: their counts)."""
+    asked = t.to_pylist()
+    lists = [_unwords(r["a"]) for r in asked]
+    counts = np.concatenate([_unpack(r["b"], "<u4") for r in asked]).astype(np.int64)
+    coded = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
     distinct, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     order = pc.sort_indices(distinct).to_numpy().astype(np.int64)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     code = rank[code]
-    return distinct.take(pa.array(order)).to_pylist(), np.bincount(code, counts, len(order)).astype(np.int64), code, [len(x) for x in lists]
-
-
-@dataclass
-class Corpus:
-    """What is known of the whole corpus: its frequent words with their symbols, and its totals."""
-
-    symbols: dict[bytes, int]
-    tokens: int
-    types: int
-    docs: int
-    rare_tokens: int
-    rare_types: int
-    rare_discount: float
-
-
-def survey(chunks: DataFrame, asked: DataFrame, symbols: int = SYMBOLS) -> Corpus:
-    """Finds the most frequent words (ties to the lesser bytes) and the totals; shards hand on their most frequent alone."""
-
-    def top(t: pa.Table) -> pa.Table:
-        words, c, _, _ = _gathered(t)
-        best = np.lexsort((np.arange(len(c)), -c))[:symbols]
-        best = best[c[best] > 0]
-        total = [int(c.sum()), int((c > 0).sum()), int((c == 1).sum()), int((c == 2).sum())]
-        return pa.table({"word": pa.array([words[i] for i in best] + [None] * 4, pa.binary()), "n": pa.array([*c[best].tolist(), *total], pa.int64()), "what": pa.array([-1] * len(best) + [0, 1, 2, 3], pa.int32())})
-
-    found = materialise(asked.groupBy("shard").applyInArrow(top, "word binary, n long, what int"), "lm-top")
-    totals = {r["what"]: r["n"] for r in found.where("what >= 0").groupBy("what").agg(F.sum("n").alias("n")).collect()}
-    best = [(bytes(r["word"]), r["n"]) for r in found.where("what < 0").orderBy(F.desc("n"), "word").limit(symbols).collect()]
-    docs = chunks.select(F.explode("held_out").alias("h")).where("not h").count()
-    tokens, types, one, two = (totals.get(i, 0) for i in range(4))
-    return Corpus(
-        {w: i + 2 for i, (w, _) in enumerate(best)}, tokens + docs, types + (docs > 0), docs, tokens - sum(n for _, n in best), types - len(best),
-        float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one + two else 0.5,
-    )
-
-
-def _stream(ids: np.ndarray, lengths: np.ndarray, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of a chunk's tokens with an end behind each document, their contexts, and the places of the words among them."""
-    n = int(lengths.sum()) + len(lengths)
-    ends = np.cumsum(lengths + 1) - 1
-    is_word = np.ones(n, bool)
-    is_word[ends] = False
-    symbol = np.full(n, END, np.int64)
-    symbol[is_word] = of_word[ids]
-    last = np.maximum.accumulate(np.where(symbol >= END, np.arange(n), -1))
-    before = np.concatenate([[-1], last[:-1]])
-    return symbol, np.where(before >= 0, symbol[before], END), is_word
-
-
-def _chunk_arrays(t: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
-    return _unpack(t["ids"][i].as_py()), np.array(t["lengths"][i].as_py(), np.int64)
-
-
-def symbol_model(chunks: DataFrame, corpus: Corpus) -> np.ndarray:
-    """log10 probabilities of symbols (columns) after contexts (rows)."""
-    spark, size = chunks.sparkSession, len(corpus.symbols) + 2
-    sent = spark.sparkContext.broadcast(corpus.symbols)
-
-    def pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for i in range(batch.num_rows):
-                row = pa.Table.from_batches([batch.slice(i, 1)])
-                ids, lengths = _chunk_arrays(row, 0)
-                of_word = np.array([sent.value.get(w, RARE) for w in _split(row["words"][0].as_py())], np.int64)
-                symbol, context, _ = _stream(ids, lengths, of_word)
-                learn = np.repeat(~np.array(row["held_out"][0].as_py(), bool), lengths + 1)
-                code, n = np.unique(context[learn] * size + symbol[learn], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
-
-    counted = mapped(chunks, pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-    def sample(t: pa.Table) -> pa.Table:
-        code, n = t["code"].to_numpy(), t["n"].to_numpy()
-        order = np.argsort(code)
-        code, n = code[order], n[order]
-        dish = code % size
-        base = np.unique(dish)
-        levels = [(base, np.zeros(len(base), np.int64), np.zeros(len(base), np.int64), np.zeros(len(base), np.int64)), (dish, code // size, _find(base, dish)[0], n)]
-        low, high = sample_hierarchy(levels, 1.0 / size)
-        root = np.full(size, low.back[0] / size)
-        root[low.gram] = low.p
-        p = np.tile(root, (size, 1))
-        p[high.context] = high.back[:, None] * root[None, :]
-        p[code // size, dish] = high.p
-        return pa.table({"p": pa.array([np.log10(p).astype("<f4").tobytes()], pa.binary())})
-
-    got = counted.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: sample(t), "p binary").collect()
-    return np.frombuffer(got[0]["p"], "<f4").reshape(size, size) if got else np.full((size, size), np.log10(1.0 / size), np.float32)
-
-
-def _rare(words: list[bytes], c: np.ndarray, symbols: dict[bytes, int]) -> np.ndarray:
-    """Rows of the words that are learned from and rare."""
-    frequent = np.fromiter((w in symbols for w in words), bool, len(words))
-    return np.flatnonzero((c > 0) & ~frequent)
-
-
-def _seat_rare(c: np.ndarray, p: np.ndarray, corpus: Corpus, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of a shard's rare words: averaged over samples, and of the last. Shards are dealt by hash, so each takes the
-    restaurant's tables to be its own times the share of all rare words that it holds."""
-    rng = np.random.default_rng([SEED, seed])
-    scale = corpus.rare_types / max(1, len(c))
-    s = Seating(rng, np.zeros(len(c), np.int64), c, 1, corpus.rare_discount, 1.0)
-    s.tables = lambda: np.array([s.t.sum() * scale])
-    s.begin(p)
-    mean = np.zeros(len(c))
-    for turn in range(BURN_IN + SAMPLES):
-        s.moves(p, MOVES)
-        if turn >= BURN_IN:
-            mean += s.t / SAMPLES
-    return mean, s.t
-
-
-def _bounded(counted: DataFrame, contexts: int) -> DataFrame:
-    """level, code, n: the customers of codes at the longest context that is kept; ties between contexts go to the lesser."""
-    rest, kept = materialise(counted, "lm-spelled"), None
-    for k in range(ORDER, SHORT, -1):
-        rest = rest.withColumn("ctx", F.shiftright("code", 9))
-        top = rest.groupBy("ctx").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "ctx").limit(contexts).select("ctx")
-        stay = rest.join(F.broadcast(top), "ctx", "left_semi").select(F.lit(k).alias("level"), "code", "n")
-        kept = stay if kept is None else kept.unionByName(stay)
-        gone = rest.join(F.broadcast(top), "ctx", "left_anti").select(F.col("code").bitwiseAND(F.lit((1 << (9 + 8 * (k - 1))) - 1)).alias("code"), "n")
-        rest = materialise(gone.groupBy("code").agg(F.sum("n").alias("n")), "lm-spelled")
-    return kept.unionByName(rest.select(F.lit(SHORT).alias("level"), "code", "n"))
-
-
-def spelling_model(asked: DataFrame, corpus: Corpus, contexts: int = CONTEXTS) -> Spelling:
-    """Learns the byte hierarchy from the tables of rare words, as seated over a base that spells uniformly."""
-    sent = asked.sparkSession.sparkContext.broadcast(corpus)
-
-    def spell(t: pa.Table) -> pa.Table:
-        words, c, _, _ = _gathered(t)
-        rows = _rare(words, c, sent.value.symbols)
-        if not len(rows):
-            return pa.table({"code": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        rare = [words[i] for i in rows]
-        base = 30.0 ** -(np.fromiter(map(len, rare), np.float64, len(rare)) + 1)
-        _, tables = _seat_rare(c[rows], base, sent.value, t["shard"][0].as_py())
-        code, first = _spelled(rare)
-        grams, at = np.unique(code, return_inverse=True)
-        n = np.bincount(at, np.repeat(tables, np.diff(np.append(first, len(code)))), len(grams)).astype(np.int64)
-        return pa.table({"code": pa.array(grams), "n": pa.array(n)})
-
-    counted = _bounded(asked.groupBy("shard").applyInArrow(spell, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), contexts)
-
-    def sample(t: pa.Table) -> pa.Table:
-        level, code, n = (t[k].to_numpy().astype(np.int64) for k in ("level", "code", "n"))
-        order = np.lexsort((code, level))
-        levels = Spelling.fit(level[order], code[order], n[order]).levels
-        return pa.table({k: pa.array([_ints(getattr(lv, k), kind) for lv in levels], pa.binary()) for k, kind in (("gram", "<i8"), ("p", "<f4"), ("context", "<i8"), ("back", "<f4"))} | {"k": pa.array(range(len(levels)), pa.int32())})
-
-    got = counted.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: sample(t), "gram binary, p binary, context binary, back binary, k int").collect()
-    got = sorted(got, key=lambda r: r["k"])
-    levels = [Level(*(np.frombuffer(r[k], kind) for k, kind in (("gram", "<i8"), ("p", "<f4"), ("context", "<i8"), ("back", "<f4")))) for r in got]
-    none = Level(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
-    return Spelling(levels or [none] * (ORDER + 1))
-
-
-def answers(asked: DataFrame, corpus: Corpus, spelling: Spelling) -> DataFrame:
-    """chunk, shard, counts, symbols, rare (log10 among rare words): a shard's words as each chunk asks for them.
-
-    Rare words are seated anew over their spelling. The restaurant's tables are summed over all shards first.
-    """
-    sent = asked.sparkSession.sparkContext.broadcast((corpus, spelling))
-
-    def seat(t: pa.Table) -> pa.Table:
-        corpus, spelling = sent.value
-        words, c, code, sizes = _gathered(t)
-        p = 10.0 ** np.maximum(spelling.log10(words), -300)
-        rows = _rare(words, c, corpus.symbols)
-        mean = np.zeros(len(c))
-        if len(rows):
-            mean[rows] = _seat_rare(c[rows], p[rows], corpus, t["shard"][0].as_py())[0]
-        symbol = np.fromiter((corpus.symbols.get(w, RARE) for w in words), np.int64, len(words))
-        seen = np.where(symbol == RARE, c - corpus.rare_discount * mean, 0)
-        ends = np.cumsum(sizes)
-        cut = [slice(a, b) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
-        out = {"chunk": t["chunk"], "shard": t["shard"]}
-        for k, v, kind in (("counts", c, "<i8"), ("symbols", symbol, "<u2"), ("seen", seen, "<f4"), ("spelled", spelling.log10(words), "<f4")):
-            out[k] = pa.array([_ints(v[code[s]], kind) for s in cut], pa.binary())
-        out["tables"] = pa.array([float(mean.sum())] + [0.0] * (len(cut) - 1))
-        return pa.table(out)
-
-    return materialise(asked.groupBy("shard").applyInArrow(seat, "chunk string, shard int, counts binary, symbols binary, seen binary, spelled binary, tables double"), "lm-answers")
-
-
-def score(docs: DataFrame, held_out, symbols: int = SYMBOLS, chunk: int = CHUNK, shards: int | None = None) -> DataFrame:
+    n = np.bincount(code, counts, len(order)).astype(np.int64)
+    words = distinct.take(pa.array(order)).to_pylist()
+    shard = asked[0]["shard"]
+    rows = [{"shard": shard, "kind": "vocabulary", "other": len(words), "a": _words(words), "b": _pack(n, "<u8"), "lengths": [int((n > 0).sum())], "doc_id": [int(n.sum())]}]
+    ends = np.cumsum([len(x) for x in lists])
+    for r, a, b in zip(asked, np.concatenate([[0], ends[:-1]]), ends, strict=True):
+        rows.append({"chunk": r["chunk"], "shard": shard, "kind": "codes", "a": _pack(code[a:b], "<u4"), "b": _pack(n[code[a:b]], "<u8")})
+    return _table(rows)
+
+
+class _Tokens:
+    """A chunk's tokens: ids of all words of the corpus, training counts, and its distinct pairs by shard."""
+
+    def __init__(self, kinds: dict[str, list[dict]], first: np.ndarray, pair_shards: int):
+        row = kinds["chunk"][0]
+        codes = sorted(kinds["codes"], key=lambda r: r["shard"])
+        self.doc_id, self.held, self.lengths = row["doc_id"], row["held_out"], np.array(row["lengths"], np.int64)
+        self.ids = _unpack(row["a"], "<u4").astype(np.int64)
+        self.word = np.concatenate([_unpack(r["a"], "<u4").astype(np.uint64) + np.uint64(first[r["shard"]]) for r in codes])
+        self.count = np.concatenate([_unpack(r["b"], "<u8") for r in codes]).astype(np.int64)
+        before = np.concatenate([self.ids[-1:], self.ids[:-1]])  # the chunk's last token is an end, as are those before documents
+        pair = self.word[before] << np.uint64(32) | self.word[self.ids]
+        self.pair, self.of = np.unique(pair, return_inverse=True)
+        where = np.unique(self.of, return_index=True)[1]
+        self.context_at, self.word_at = before[where], self.ids[where]  # places among the chunk's words
+        parts = np.clip(-(-self.count // SPLIT), 1, pair_shards)
+        mix = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        home = mix(self.word) % np.uint64(pair_shards)
+        part = mix(self.word[self.word_at] ^ np.uint64(0x5BD1E995)) % parts[self.context_at].astype(np.uint64)
+        self.shard = ((home[self.context_at] + part) % np.uint64(pair_shards)).astype(np.int64)
+        self.split = {}  # of each shard: split contexts of this chunk that it has a part of
+        for w in np.unique(self.context_at[parts[self.context_at] > 1]).tolist():
+            for j in range(int(parts[w])):
+                self.split.setdefault(int((home[w] + np.uint64(j)) % np.uint64(pair_shards)), []).append(w)
+
+    def asked(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each shard: places of the pairs that it is asked for, by code, and of split contexts (by id)."""
+        order = np.lexsort((self.pair, self.shard))
+        starts = np.searchsorted(self.shard[order], np.arange(self.shard.max(initial=0) + 2))
+        for s in sorted({*np.unique(self.shard).tolist(), *self.split}):
+            at = order[starts[s] : starts[s + 1]] if s + 1 < len(starts) else order[:0]
+            split = np.array(self.split.get(s, []), np.int64)
+            yield s, at, split[np.argsort(self.word[split])]
+
+
+def _contexts(pairs: np.ndarray, split: np.ndarray) -> np.ndarray:
+    """The contexts that a shard answers a chunk for, sorted."""
+    return np.union1d(pairs >> np.uint64(32), split)
+
+
+# --- pairs
+
+
+class _Shard:
+    """A shard's pairs with their counts, and their restaurants."""
+
+    def __init__(self, asks: list[dict], seed: int):
+        self.asks = asks
+        self.pairs = [_unpack_sorted(r["a"]) for r in asks]
+        every, at = np.unique(np.concatenate(self.pairs), return_inverse=True)
+        c = np.bincount(at, np.concatenate([_unpack(r["b"], "<u4") for r in asks]), len(every)).astype(np.int64)
+        self.code, self.c = every[c > 0], c[c > 0]
+        self.splits = [_unpack(r["c"], "<u8").reshape(-1, 3) for r in asks]  # context, its tokens, its parts
+        told = np.unique(np.concatenate(self.splits), axis=0)
+        self.context, of = np.unique(self.code >> np.uint64(32), return_inverse=True)
+        customers, share = np.bincount(of, self.c, len(self.context)).astype(np.int64), np.ones(len(self.context))
+        at, there = _find(self.context, told[:, 0])
+        customers[at[there]], share[at[there]] = told[there, 1], told[there, 2]
+        self.seats = Restaurants(np.random.default_rng([SEED, seed]), of, self.c, len(self.context), share, customers)
+        self.words, self.of_word = np.unique(self.code & np.uint64(0xFFFFFFFF), return_inverse=True)
+
+
+def _tables(t: pa.Table, first: np.ndarray) -> pa.Table:
+    """Seats a shard's pairs over the chances that it sees, and tells the shards of words their tables (b) of each word (a)."""
+    rows = t.to_pylist()
+    s = _Shard(rows, rows[0]["shard"])
+    seen = np.bincount(s.of_word, minlength=len(s.words)).astype(np.float64)
+    p = (seen / max(1.0, seen.sum()))[s.of_word]
+    for _ in range(BURN_IN):
+        s.seats.sweep(p)
+    tables = np.bincount(s.of_word, s.seats.t, len(s.words)).astype(np.int64)
+    cuts = np.searchsorted(s.words, np.append(first, 1 << 40).astype(np.uint64))
+    out = [{"shard": w, "kind": "tables", "other": rows[0]["shard"], "a": _pack_sorted(s.words[a:b]), "b": _pack(tables[a:b], "<u4"), "doc_id": [int(tables[a:b].sum())]} for w, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+    return _table(out)
+
+
+def _answers(t: pa.Table) -> pa.Table:
+    """Seats a shard's pairs over the chances of words, and tells each chunk what its pairs (a) and contexts (b) get."""
+    kinds = _rows(t)
+    if "pairs" not in kinds:
+        return _table([])
+    shard = kinds["pairs"][0]["shard"]
+    s = _Shard(kinds["pairs"], shard)
+    told = sorted(kinds.get("chances", []), key=lambda r: r["other"])
+    p = np.concatenate([_unpack(r["b"], "<f4") for r in told]).astype(np.float64) if told else np.zeros(0)
+    seen, rest = sampled(s.seats, p[s.of_word], BURN_IN, SAMPLES)
+    out = []
+    for r, pairs, split in zip(s.asks, s.pairs, s.splits, strict=True):
+        at, there = _find(s.code, pairs)
+        mine = np.zeros(len(pairs), np.float32)
+        mine[there] = seen[at[there]]
+        contexts = _contexts(pairs, split[:, 0])
+        at, there = _find(s.context, contexts)
+        left = np.zeros(len(contexts), np.float32)
+        left[there] = rest[at[there]]
+        out.append({"chunk": r["chunk"], "shard": shard, "kind": "seen", "a": _pack(mine, "<f4"), "b": _pack(left, "<f4")})
+    return _table(out)
+
+
+# --- words
+
+
+def _word_seats(kinds: dict[str, list[dict]], first: int, share: float, customers: int) -> tuple[list[bytes], np.ndarray, Restaurants]:
+    """A shard's words, which of them have customers, and their restaurant."""
+    row = kinds["vocabulary"][0]
+    words = _unwords(row["a"])
+    m = np.zeros(len(words), np.int64)
+    for r in kinds.get("tables", []):
+        m[(_unpack_sorted(r["a"]) - np.uint64(first)).astype(np.int64)] += _unpack(r["b"], "<u4")
+    on = np.flatnonzero(m)
+    seats = Restaurants(np.random.default_rng([SEED, row["shard"], 1]), np.zeros(len(on), np.int64), m[on], 1, np.array([share]), np.array([customers]))
+    return words, on, seats
+
+
+def _plainly(words: list[bytes]) -> np.ndarray:
+    """Log10 of what words get by their lengths alone."""
+    return -1.5 * (np.fromiter(map(len, words), np.float64, len(words)) + 1)
+
+
+def score(docs: DataFrame, held_out, chunk: int = CHUNK, shards: int | None = None, pair_shards: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every document.
 
     docs: doc_id, text, and whatever else (ignored); held_out: a column, true for documents that nothing is learned from
-    (null: false). A null or empty text is its end alone; rows that repeat are documents of their own; an empty table
-    gives an empty result; where nothing is learned, probabilities are those of the uniform bases.
+    (null: false). A null or empty text is its end alone; a very long text is read whole, and is one chunk if need be, a
+    very long word is spelled whole; rows that repeat are documents of their own; ties play no part; an empty table gives
+    an empty result; where nothing is learned, words are spelled by uniform bytes. More than 2^32 distinct words are an
+    error.
     """
     spark = docs.sparkSession
     shards = shards or max(LEAST_SHARDS, -(-docs.count() // SHARD_DOCS))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    chunks, asked = chunked(rows, shards, chunk)
-    corpus = survey(chunks, asked, symbols)
-    by_context = symbol_model(chunks, corpus)
-    answered = answers(asked, corpus, spelling_model(asked, corpus))
-    tables = answered.agg(F.coalesce(F.sum("tables"), F.lit(0.0))).first()[0]
-    sent = spark.sparkContext.broadcast((by_context, corpus, tables))
-
-    def run(chunk: pa.Table, answer: pa.Table) -> pa.Table:
-        logs, corpus, tables = sent.value
-        d, scale = corpus.rare_discount, 1.0 + corpus.rare_tokens
-        back = (1.0 + d * tables) / scale
-        ids, lengths = _chunk_arrays(chunk, 0)
-        order = np.argsort(answer["shard"].to_numpy()) if answer.num_rows else np.zeros(0, np.int64)
-        read = lambda k, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(answer[k][int(i)].as_py(), kind) for i in order]])
-        c, of_word = read("counts", "<i8"), read("symbols", "<u2").astype(np.int64)
-        spelled = read("spelled", "<f4").astype(np.float64)
-        seen = read("seen", "<f4").astype(np.float64) / scale
-        # log10(seen + back * 10**spelled), also where the spelling's probability is too small for a double
-        fresh = spelled + np.log10(back)
-        rare = np.where(seen > 0, np.log10(np.maximum(seen, 1e-300) + 10.0 ** np.maximum(fresh, -300)), fresh)
-        symbol, context, is_word = _stream(ids, lengths, of_word)
-        lp = logs[context, symbol].astype(np.float64)
-        lp[is_word] += np.where(of_word[ids] == RARE, rare[ids], 0)
-        n, v = corpus.tokens, corpus.types
-        base_of = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-        base, known = np.full(len(lp), base_of(corpus.docs)), np.full(len(lp), corpus.docs > 0)
-        base[is_word], known[is_word] = base_of(c)[ids], (c > 0)[ids]
-        first = np.cumsum(lengths + 1) - lengths - 1
-        total = lambda x: np.add.reduceat(x, first)
-        score = total(lp)
+    chunks = chunked(rows, shards, chunk)
+    of = lambda df, kind: df.where(F.col("kind") == kind)
+    known = _written(of(chunks, "words").groupBy("shard").applyInArrow(_gathered, _ROW), "lm-words")
+    sizes = np.zeros((3, shards), np.int64)
+    for r in of(known, "vocabulary").select("shard", "other", F.col("lengths")[0].alias("types"), F.col("doc_id")[0].alias("tokens")).collect():  # rows: shards
+        sizes[:, r["shard"]] = r["other"], r["types"], r["tokens"]
+    first = np.cumsum(sizes[0]) - sizes[0]
+    types, tokens = int(sizes[1].sum()), int(sizes[2].sum())
+    if sizes[0].sum() >= 1 << 32:
+        raise ValueError("more than 2^32 distinct words")
+    pair_shards = pair_shards or max(LEAST_PAIR_SHARDS, -(-tokens // PAIR_TOKENS))
+
+    def ask(t: pa.Table) -> pa.Table:
+        x = _Tokens(_rows(t), first, pair_shards)
+        learn = np.bincount(x.of, np.repeat(~np.array(x.held, bool), x.lengths), len(x.pair)).astype(np.int64)
+        out = []
+        for s, at, split in x.asked():
+            told = np.stack([x.word[split], x.count[split].astype(np.uint64), np.clip(-(-x.count[split] // SPLIT), 1, pair_shards).astype(np.uint64)], 1)
+            out.append({"chunk": x_name(t), "shard": s, "kind": "pairs", "a": _pack_sorted(x.pair[at]), "b": _pack(learn[at], "<u4"), "c": _pack(told.ravel(), "<u8")})
+        return _table(out)
+
+    def x_name(t: pa.Table) -> str:
+        return t["chunk"][0].as_py()
+
+    own = of(chunks, "chunk").unionByName(of(known, "codes"))
+    asks = materialise(own.groupBy("chunk").applyInArrow(lambda t: ask(t), _ROW), "lm-pairs")
+    tables = materialise(asks.groupBy("shard").applyInArrow(lambda t: _tables(t, first), _ROW), "lm-tables")
+    customers = tables.agg(F.sum(F.col("doc_id")[0])).first()[0] or 0
+    vocabulary = of(known, "vocabulary").select("chunk", "shard", F.lit("vocabulary").alias("kind"), *[F.col(c) for c in list(_TYPES)[3:]])
+
+    def seats(t: pa.Table):
+        kinds = _rows(t)
+        shard = kinds["vocabulary"][0]["shard"]
+        words, on, r = _word_seats(kinds, int(first[shard]), types / max(1, int(sizes[1][shard])), customers)
+        return kinds, shard, words, on, r
+
+    def spell(t: pa.Table) -> pa.Table:
+        _, _, words, on, r = seats(t)
+        if len(on):
+            names = [words[i] for i in on.tolist()]
+            for _ in range(BURN_IN):
+                r.sweep(10.0 ** np.maximum(_plainly(names), -300))
+            code, begin = _spelled(names)
+            grams, at = np.unique(code, return_inverse=True)
+            n = np.bincount(at, np.repeat(r.t, np.diff(np.append(begin, len(code)))), len(grams)).astype(np.int64)
+            return pa.table({"code": pa.array(grams), "n": pa.array(n)})
+        return pa.table({"code": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+
+    by_shard = vocabulary.unionByName(tables).groupBy("shard")
+    grams = by_shard.applyInArrow(lambda t: spell(t), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    grams = grams.orderBy("code").toArrow()  # rows: byte contexts times bytes, bounded by the order
+    spelling = Spelling.fit(grams["code"].to_numpy(), grams["n"].to_numpy()) if grams.num_rows else Spelling([])
+    sent = spark.sparkContext.broadcast(spelling)
+
+    def unigram(t: pa.Table) -> pa.Table:
+        _, shard, words, on, r = seats(t)
+        spelled = sent.value.log10(words)
+        seen = np.zeros(len(words))
+        rest = 0.0
+        if len(on):
+            mine, left = sampled(r, 10.0 ** np.maximum(spelled[on], -300), BURN_IN, SAMPLES)
+            seen[on], rest = mine, float(left[0])
+        return _table([{"shard": shard, "kind": "unigram", "a": _pack(seen, "<f8"), "b": _pack(spelled, "<f8"), "c": _pack([rest], "<f8")}])
+
+    unigrams = materialise(by_shard.applyInArrow(lambda t: unigram(t), _ROW), "lm-unigrams")
+    rest = sum(float(_unpack(bytes(r["c"]), "<f8")[0]) for r in unigrams.select("c").collect()) if customers else 1.0  # rows: shards
+
+    def chances(t: pa.Table) -> pa.Table:
+        """Log10 probabilities of words to the chunks that hold them, probabilities to the shards of pairs."""
+        kinds = _rows(t)
+        row = kinds["unigram"][0]
+        seen, spelled = _unpack(row["a"], "<f8"), _unpack(row["b"], "<f8")
+        fresh = spelled + np.log10(rest)  # also where it is too small for a double
+        log = np.where(seen > 0, np.log10(np.maximum(seen + 10.0 ** np.maximum(fresh, -300), 1e-300)), fresh)
+        out = [{"chunk": r["chunk"], "shard": row["shard"], "kind": "log", "a": _pack(log[_unpack(r["a"], "<u4")], "<f4")} for r in kinds.get("codes", [])]
+        for r in kinds.get("tables", []):
+            at = (_unpack_sorted(r["a"]) - np.uint64(first[row["shard"]])).astype(np.int64)
+            out.append({"shard": r["other"], "kind": "chances", "other": row["shard"], "b": _pack(np.maximum(10.0 ** log[at], 1e-37), "<f4")})
+        return _table(out)
+
+    told = _written(unigrams.unionByName(of(known, "codes").drop("b").withColumn("b", F.lit(None).cast("binary"))).unionByName(tables).groupBy("shard").applyInArrow(lambda t: chances(t), _ROW), "lm-chances")
+    answered = asks.unionByName(of(told, "chances")).groupBy("shard").applyInArrow(_answers, _ROW)
+
+    def finish(t: pa.Table) -> pa.Table:
+        kinds = _rows(t)
+        x = _Tokens(kinds, first, pair_shards)
+        log = np.concatenate([_unpack(r["a"], "<f4") for r in sorted(kinds["log"], key=lambda r: r["shard"])]).astype(np.float64)
+        seen, left = np.zeros(len(x.pair)), np.zeros(len(x.word))
+        of_shard = {r["shard"]: r for r in kinds.get("seen", [])}
+        by_id = np.argsort(x.word)
+        for s, at, split in x.asked():
+            seen[at] = _unpack(of_shard[s]["a"], "<f4")
+            contexts = _contexts(x.pair[at], x.word[split])
+            left[by_id[np.searchsorted(x.word[by_id], contexts)]] += _unpack(of_shard[s]["b"], "<f4")
+        back = np.where(x.count > 0, left, 1.0)  # what is no context in training has no restaurant
+        fresh = log[x.word_at] + np.log10(np.maximum(back[x.context_at], 1e-300))
+        pair = np.where(seen > 0, np.log10(np.maximum(seen + 10.0 ** np.maximum(fresh, -300), 1e-300)), fresh)
+        base = np.log10((x.count + 0.5) / (tokens + 0.5 * (types + 1)))
+        begin = np.cumsum(x.lengths) - x.lengths
+        total = lambda v: np.add.reduceat(v, begin)
+        score = total(pair[x.of])
         return pa.table(
             {
-                "doc_id": pa.array(chunk["doc_id"][0].as_py(), pa.int64()), "held_out": pa.array(chunk["held_out"][0].as_py(), pa.bool_()),
-                "n_tokens": pa.array(lengths + 1), "n_known": pa.array(total(known.astype(np.int64))), "train_tokens": pa.array(np.full(len(lengths), n, np.int64)),
-                "base_score": pa.array(total(base)), "score": pa.array(score), "perplexity": pa.array(10.0 ** np.minimum(-score / (lengths + 1), 300)),
+                "doc_id": pa.array(x.doc_id, pa.int64()), "held_out": pa.array(x.held, pa.bool_()), "n_tokens": pa.array(x.lengths),
+                "n_known": pa.array(total((x.count[x.ids] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(begin), tokens, np.int64)),
+                "base_score": pa.array(total(base[x.ids])), "score": pa.array(score), "perplexity": pa.array(10.0 ** np.minimum(-score / x.lengths, 300)),
             }
         )
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return chunks.select("chunk", "doc_id", "held_out", "lengths", "ids").groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, out)
+    return own.unionByName(of(told, "log")).unionByName(answered).groupBy("chunk").applyInArrow(lambda t: finish(t), out)
 
 
 def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
