@@ -1,8 +1,7 @@
 """The corpus pipeline: quality rules, line dedup, SimHash near-dedup, source mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
-of `documents`. Stages hold for any docs with those columns: nulls, empty texts, repeated rows and empty tables as in
-the operators' docstrings.
+of `documents`. Every row is a document of its own, also one that repeats another.
 """
 
 from __future__ import annotations
@@ -17,13 +16,23 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, with their whole texts."""
-    judged = quality_rules.judge(docs, carry=COLUMNS)
-    return judged.where("kept").select(*COLUMNS)
+    """Documents that the rules keep, without the lines that more than 20 distinct documents of their source hold.
+
+    Null, empty and blank texts fail the base rules and go; a null source is one source, null ids and other columns stay as
+    they are; repeated rows are judged alike; a line in exactly 20 documents stays; texts of any length are read whole; an
+    empty table stays empty.
+    """
+    judged = quality_rules.judge(docs, carry=("doc_id", "lang", "source"), texts=True)
+    return judged.where("kept").select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that 10 and more share."""
+    """All documents, without the lines that 10 and more share.
+
+    A null or empty text is one empty line and becomes an empty text; a document whose lines all go stays, with an empty
+    text; a line in exactly 10 documents goes; repeated rows count as documents; texts and lines of any length are read
+    whole; an empty table stays empty.
+    """
     kept = line_dedup.drop_lines(line_dedup.build(docs), docs, carry=("doc_id", "lang", "source"))
     return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
@@ -31,7 +40,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: that with the smallest id, of rows that share it the least by hash.
 
-    Five words a shingle, and a similarity of 0.8 or more. Rows equal in all columns are one.
+    Five words a shingle, and a similarity of 0.8 or more. Rows equal in all columns are one. Null, empty and blank texts
+    are alike; texts of under five words have one shingle; a null id comes after all others, and unlike texts without id, or
+    with one id, all stay; texts of any length are read whole; an empty table stays empty.
     """
     tie = F.xxhash64(*COLUMNS)
     found = materialise(simhash.near_duplicates(docs.withColumn("tie", tie), carry=("doc_id", "tie"), shingle=5, similarity=0.8), "pipeline-near")
@@ -45,12 +56,20 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken."""
+    """The mix: each document as often as it is taken.
+
+    Texts without words (null, empty, blank) are never taken; a null source is one source, the last; rows that repeat are
+    taken one by one; a text of any length is taken whole or not; an empty table stays empty.
+    """
     return mixing.mixed(docs, carry=COLUMNS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids_sha256, decoded_sha256 of each document of the mix."""
+    """doc_id, source, n_tokens, ids_sha256, decoded_sha256 of each document of the mix.
+
+    A null or empty text has no tokens; rows that repeat are encoded alike; texts of any length are encoded whole; an empty
+    table stays empty.
+    """
     return bpe.token_digests(docs, bpe.fit(docs), carry=("doc_id", "source"))
 
 
