@@ -1,8 +1,8 @@
 """Connected components of pixel sets, eight neighbours to a pixel.
 
-Runs of pixels in a row are joined first, by a window; runs that touch are links, and labels spread over links with
-pointer jumping, so the number of rounds grows with the logarithm of a component's length in runs. Each round is a
-table in the shared folder.
+Pixels are labelled within tiles first, each tile in one pass over its runs. Labels that touch across the tiles' borders
+are links, few beside the pixels, and their components decide: on the driver while the links are few, else by stars that
+contract in the shared folder until none is left to contract.
 """
 
 from __future__ import annotations
@@ -10,16 +10,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows and columns of a tile, and links across tiles (24 bytes each) that the driver joins itself.
+TILE, FEW_LINKS = 1024, 500_000
+#: A pixel's place in raster order: its row, then its column.
+ROW = 1 << 31
+
 _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of its own in the one that spark.checkpoint.dir names (in one of ours where it is unset)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="rastrel-"))
+    """A folder of its own in the one that spark.checkpoint.dir names. Where that is unset: in one of ours on a local
+    master; a cluster without it is an error, as no folder of one machine serves the others."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = folder or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="rastrel-"))
     return f"{folder.rstrip('/')}/rastrel/{uuid.uuid4().hex}"
 
 
@@ -40,38 +51,90 @@ def shared_file(spark: SparkSession, name: str, raw: bytes) -> str:
     return path
 
 
-def runs(px: DataFrame) -> DataFrame:
-    """raster_id, r, c, run: pixels with the id of their run, its row and first column in one long."""
-    along = W.partitionBy("raster_id", "r").orderBy("c")
-    start = F.when(F.col("c") == F.lag("c").over(along) + 1, None).otherwise(F.col("c"))
-    d = px.select("raster_id", "r", "c").withColumn("_s", start)
-    first = F.last("_s", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, 0))
-    return d.select("raster_id", "r", "c", (F.col("r").cast("long") * (1 << 31) + first).alias("run"))
-
-
-def label(px: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """raster_id, r, c, label (that of the component's first run, in raster order)."""
-    d = shared_table(runs(px), "runs")
-    spans = d.groupBy("raster_id", "r", "run").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
-    # A run touches one in the row below if they overlap, ends and corners included; rows meet on equal keys of 64 columns.
-    cell = lambda a, b: F.explode(F.sequence(F.floor(a / 64).cast("int"), F.floor(b / 64).cast("int")))
-    up = spans.select("raster_id", (F.col("r") + 1).alias("r"), F.col("run").alias("a"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), cell(F.col("c0") - 1, F.col("c1") + 1).alias("k"))
-    low = spans.select("raster_id", "r", F.col("run").alias("b"), F.col("c0").alias("b0"), F.col("c1").alias("b1"), cell(F.col("c0"), F.col("c1")).alias("k"))
-    links = up.join(low, ["raster_id", "r", "k"]).where((F.col("a0") <= F.col("b1") + 1) & (F.col("b0") <= F.col("a1") + 1)).select("raster_id", "a", "b").distinct()
-    links = shared_table(links.unionByName(links.select("raster_id", F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = shared_table(spans.select("raster_id", "run", F.col("run").alias("label")), "labels")
-    before = None
-    for _ in range(most_rounds):
-        other = labels.select("raster_id", F.col("run").alias("b"), F.col("label").alias("there"))
-        least = links.join(other, ["raster_id", "b"]).groupBy("raster_id", F.col("a").alias("run")).agg(F.min("there").alias("there"))
-        hooked = labels.join(least, ["raster_id", "run"], "left").select("raster_id", "run", F.least("label", F.coalesce("there", "label")).alias("label"))
-        jump = hooked.select("raster_id", F.col("run").alias("label"), F.col("label").alias("root"))
-        labels = shared_table(hooked.join(jump, ["raster_id", "label"]).select("raster_id", "run", F.col("root").alias("label")), "labels")
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            break
-        before = now
-    return d.join(labels, ["raster_id", "run"]).select("raster_id", "r", "c", "label")
+def joined(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each of the sorted nodes reaches over links a - b."""
+    root = np.arange(len(nodes))
+    a, b = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+    while len(a):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(root, high, low)  # roots hook to the least root beside them
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return nodes[root]
+
+
+def flood(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Label of each pixel: the place of its component's first pixel in raster order."""
+    place = r.astype(np.int64) * ROW + c
+    place, back = np.unique(place, return_inverse=True)
+    if not len(place):
+        return place
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(place) != 1]))
+    run = np.cumsum(np.isin(np.arange(len(place)), starts)) - 1
+    first, last = place[starts], place[np.append(starts[1:], len(place)) - 1]
+    # Runs that begin in the row above before this one's end, a corner included, and that haven't ended before it begins.
+    low, high = np.searchsorted(last, first - ROW - 1), np.searchsorted(first, last - ROW + 1, "right")
+    n = np.maximum(high - low, 0)
+    above = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return joined(first, first[above], np.repeat(first, n))[run][back]
+
+
+def star(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """raster_id, label, root (the least label it reaches) of all labels with links (raster_id, a, b). Each round every label
+    links what is above it to the least that it reaches, then what it reaches below; an error if that doesn't end."""
+    key, state = ["raster_id", "a"], None
+    now = shared_table(links.select("raster_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    for _ in range(rounds):
+        both = now.unionByName(now.select("raster_id", F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(key).agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+        large = both.join(least, key).where("b > a").select("raster_id", F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy(key).agg(F.min("b").alias("m"))
+        below = large.join(low, key).where("b <> m").select("raster_id", F.col("b").alias("a"), F.col("m").alias("b"))
+        now = shared_table(below.unionByName(low.select("raster_id", "a", F.col("m").alias("b"))).distinct(), "links")
+        told = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("raster_id", "a", "b").cast("decimal(38,0)"))).first())
+        if told == state:
+            return now.select("raster_id", F.col("a").alias("label"), F.col("b").alias("root"))
+        state = told
+    raise RuntimeError(f"components didn't settle in {rounds} rounds")
+
+
+def label(px: DataFrame, tile: int = TILE, few_links: int = FEW_LINKS) -> DataFrame:
+    """raster_id, r, c, label (the place of the component's first pixel in raster order: row * 2^31 + column)."""
+    d = px.select("raster_id", F.col("r").cast("int"), F.col("c").cast("int"))
+    schema = d.schema.add("label", "long")
+
+    def one(t: pa.Table) -> pa.Table:
+        r, c = t["r"].to_numpy(), t["c"].to_numpy()
+        return pa.table({"raster_id": t["raster_id"], "r": t["r"], "c": t["c"], "label": pa.array(flood(r, c))})
+
+    cell = lambda x: F.floor(F.col(x) / tile).cast("int")
+    tiled = d.withColumns({"_tr": cell("r"), "_tc": cell("c")}).groupBy("raster_id", "_tr", "_tc").applyInArrow(one, schema)
+    tiled = shared_table(tiled, "tiled")
+    # Pixels in a tile's last row or column, and what touches them in the next tiles.
+    at = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    edge = tiled.where((F.pmod("r", F.lit(tile)) == tile - 1) | (F.pmod("c", F.lit(tile)).isin(0, tile - 1)))
+    near = edge.withColumn("n", F.explode(at)).select("raster_id", (F.col("r") + F.col("n.i")).alias("r"), (F.col("c") + F.col("n.j")).alias("c"), F.col("label").alias("a"))
+    far = tiled.where(F.pmod("r", F.lit(tile)).isin(0, tile - 1) | F.pmod("c", F.lit(tile)).isin(0, tile - 1)).select("raster_id", "r", "c", F.col("label").alias("b"))
+    links = shared_table(near.join(far, ["raster_id", "r", "c"]).where("a <> b").select("raster_id", "a", "b").distinct(), "links")
+    n = links.count()
+    if not n:
+        return tiled
+    if n > few_links:
+        roots = star(links)
+    else:
+        rows = []
+        by_raster: dict = {}
+        for x in links.collect():
+            by_raster.setdefault(x["raster_id"], []).append((x["a"], x["b"]))
+        for raster, pairs in by_raster.items():
+            a, b = np.array(pairs, np.int64).T
+            nodes = np.unique(np.concatenate([a, b]))
+            rows += zip([raster] * len(nodes), nodes.tolist(), joined(nodes, a, b).tolist(), strict=True)
+        roots = px.sparkSession.createDataFrame(rows, links.select("raster_id", F.col("a").alias("label"), F.col("b").alias("root")).schema)
+    return tiled.join(roots, ["raster_id", "label"], "left").select("raster_id", "r", "c", F.coalesce("root", "label").alias("label"))
 
 
 def statistics(labelled: DataFrame) -> DataFrame:

@@ -99,9 +99,9 @@ def f7_aoi_hectares(spark, sf_dir):
     return d.select("id", F.round(wide * (F.col("max_lat") - F.col("min_lat")) * crs.METRES / 1e4, 3).alias("hectares"))
 
 
-@query(EVENTS + " SELECT id, i::INTEGER AS i, round(x + greatest(1.8, least(4, height / 10)) / 2 / (111320 * cos(radians(y))) * cos(i * 2 * pi() / 10), 9) AS px, round(y + greatest(1.8, least(4, height / 10)) / 2 / 111320 * sin(i * 2 * pi() / 10), 9) AS py FROM e, range(10) t(i) WHERE id % 7 = 0")
+@query(EVENTS + " SELECT id, i::INTEGER AS i, round(x + greatest(1.8, least(4, height / 10)) / 2 / (111320 * cos(radians(y))) * cos(i * 2 * pi() / 10), 9) AS px, round(y + greatest(1.8, least(4, height / 10)) / 2 / 111320 * sin(i * 2 * pi() / 10), 9) AS py FROM e, range(10) t(i)")
 def f12_tree_crown_ring(spark, sf_dir):
-    d = scenes.event_points(spark, sf_dir).where("id % 7 = 0")
+    d = scenes.event_points(spark, sf_dir)
     d = d.select("id", F.posexplode(F.slice(geometry.crown_ring(F.col("x"), F.col("y"), F.col("height") / 10), 1, 10)).alias("i", "p"))
     return d.select("id", "i", F.round("p.x", 9).alias("px"), F.round("p.y", 9).alias("py"))
 
@@ -150,7 +150,7 @@ def j7_water_off_buildings_and_roads(spark, sf_dir):
     water = r.where("kind = 2")
     on_roofs = conflate.ring_share_in_rings(water, r.where("kind = 1").withColumn("ring", F.transform("ring", lambda p: geometry.point(p["x"] + 5e-5, p["y"] + 1e-5))))
     kept = conflate.without(water, on_roofs, conflate.ROOF_OVERLAP)
-    on_roads = conflate.ring_share_in_corridors(kept, _lines(spark, sf_dir).where("id % 10 = 0"), conflate.WATER_CORRIDOR)
+    on_roads = conflate.ring_share_in_corridors(kept, _lines(spark, sf_dir), conflate.WATER_CORRIDOR)
     return conflate.without(kept, on_roads, conflate.PAVED_OVERLAP).select("id")
 
 
@@ -158,7 +158,7 @@ _NEAR = "sqrt(pow(e.x - (o.x0 + t * (o.x1 - o.x0)), 2) + pow(e.y - (o.y0 + t * (
 
 
 @query(
-    f"""WITH p AS ({PART_SQL}), e AS ({EVENT_SQL}), o AS (SELECT *, pow(x1 - x0, 2) + pow(y1 - y0, 2) AS n FROM ({ORDER_SQL}) WHERE id % 40 = 0),
+    f"""WITH p AS ({PART_SQL}), e AS ({EVENT_SQL}), o AS (SELECT *, pow(x1 - x0, 2) + pow(y1 - y0, 2) AS n FROM ({ORDER_SQL})),
 onroad AS (SELECT DISTINCT id FROM (SELECT e.id, e.x, e.y, o.x0, o.y0, o.x1, o.y1, CASE WHEN n > 0 THEN greatest(0, least(1, ((e.x - o.x0) * (o.x1 - o.x0) + (e.y - o.y0) * (o.y1 - o.y0)) / n)) ELSE 0 END AS t
   FROM e JOIN o ON e.x > least(o.x0, o.x1) - 5e-5 AND e.x < greatest(o.x0, o.x1) + 5e-5 AND e.y > least(o.y0, o.y1) - 5e-5 AND e.y < greatest(o.y0, o.y1) + 5e-5) s WHERE {_NEAR.replace('e.', '').replace('o.', '')})
 SELECT id FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE e.x > x0 AND e.x < x1 AND e.y > y0 AND e.y < y1) AND id NOT IN (SELECT id FROM onroad)"""
@@ -167,7 +167,7 @@ def j8_tree_exclusion(spark, sf_dir):
     """Trees that stand neither in buildings or water nor in a road's corridor."""
     e = scenes.event_points(spark, sf_dir)
     in_boxes = conflate.points_in_boxes(e, _boxes(spark, sf_dir))
-    on_roads = conflate.points_near_segments(e, scenes.order_segments(spark, sf_dir).where("id % 40 = 0"), conflate.TREE_CORRIDOR)
+    on_roads = conflate.points_near_segments(e, scenes.order_segments(spark, sf_dir), conflate.TREE_CORRIDOR)
     return e.join(in_boxes, "id", "left_anti").join(on_roads, "id", "left_anti").select("id")
 
 
@@ -183,12 +183,12 @@ def j9_terrain_at_centre(spark, sf_dir):
 
 
 @query(
-    f"""WITH p AS (SELECT id, (x0 - 72.87::DOUBLE) / 2e-6::DOUBLE AS x0, (x1 - 72.87::DOUBLE) / 2e-6::DOUBLE AS x1, (19.1::DOUBLE - y1) / 2e-6::DOUBLE AS y0, (19.1::DOUBLE - y0) / 2e-6::DOUBLE AS y1 FROM ({PART_SQL}) WHERE id % 20 = 0),
+    f"""WITH p AS (SELECT id, (x0 - 72.87::DOUBLE) / 2e-6::DOUBLE AS x0, (x1 - 72.87::DOUBLE) / 2e-6::DOUBLE AS x1, (19.1::DOUBLE - y1) / 2e-6::DOUBLE AS y0, (19.1::DOUBLE - y0) / 2e-6::DOUBLE AS y1 FROM ({PART_SQL})),
 a AS (SELECT *, unnest(range(ceil(y0)::BIGINT, floor(y1)::BIGINT + 1)) AS r FROM p), b AS (SELECT *, unnest(range(ceil(x0)::BIGINT, floor(x1)::BIGINT + 1)) AS c FROM a)
 SELECT id, count(*) AS pixels, min(r)::INTEGER AS r0, max(c)::INTEGER AS c1 FROM b WHERE r >= y0 AND r < y1 AND c >= x0 AND c < x1 GROUP BY id"""
 )
 def v8_rasterise(spark, sf_dir):
     """V8: the pixels of polygons, each from its own box."""
-    f = _rings(spark, sf_dir).where("id % 20 = 0").select(F.lit("s").alias("raster_id"), "id", "ring")
+    f = _rings(spark, sf_dir).select(F.lit("s").alias("raster_id"), "id", "ring")
     d = vectorize.polygon_pixels(f, (72.87, 19.1), (2e-6, 2e-6))
     return d.groupBy("id").agg(F.count("*").alias("pixels"), F.min("r").alias("r0"), F.max("c").alias("c1"))
