@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rastrel.operators import tiles
+
 
 def rows():
     return W.partitionBy("raster_id", "r").orderBy("c")
@@ -138,8 +140,9 @@ def contrast(px: DataFrame, new: str, old: str, size: int = 15) -> DataFrame:
 def ground(px: DataFrame, new: str, old: str, pixel_metres: float, reach: float = 35.0) -> DataFrame:
     """Terrain from a surface: opening by an ellipse of odd size, at least 5 and at most 201."""
     size = min(201, max(5, int(reach / pixel_metres)) | 1)
-    px = ellipse(px, "_g", old, size, F.min)
-    return ellipse(px, new, "_g", size, F.max).drop("_g")
+    half = half_widths(size)
+    made = tiles.on_tiles(px, lambda v: {"_g": tiles.ellipse(tiles.ellipse(v[old], half, False), half, True)}, (old,), ("_g",), 2 * (size // 2))
+    return px.join(made, ["raster_id", "r", "c"]).withColumnRenamed("_g", new)
 
 
 def window_max(points: DataFrame, px: DataFrame, value: str, radius: int) -> DataFrame:

@@ -15,7 +15,7 @@ from rastrel.plans.registry import query
 from rastrel.sources import rasters, scenes, vectors
 
 #: Side of the demonstration scene in queries, and its pixel: degrees and metres.
-SIDE = 150
+SIDE = 600
 STEP = (0.006 / SIDE, 0.006 / SIDE)
 ORIGIN = (scenes.DEMO_BOUNDS[0], scenes.DEMO_BOUNDS[3])
 METRES = 0.006 * 111320 / SIDE
