@@ -78,7 +78,7 @@ def conflated(found: DataFrame, reference: DataFrame) -> DataFrame:
     roads = conflate.without(roads, conflate.line_share_in_corridors(lines(roads), lines(named(given, "roads")), conflate.ROAD_CORRIDOR), conflate.ROAD_OVERLAP)
     roads = components.shared_table(named(given, "roads").unionByName(roads), "roads")
     houses = named(new, "buildings").where("area_sqm between 15 and 65000")
-    houses = conflate.without(houses, conflate.ring_share_in_rings(houses, named(given, "buildings")), conflate.BUILDING_OVERLAP)
+    houses = conflate.without(houses, conflate.ring_share_in_rings(houses, named(given, "buildings"), conflate.BUILDING_OVERLAP), conflate.BUILDING_OVERLAP)
     houses = components.shared_table(conflate.without_linear(named(given, "buildings").unionByName(houses)), "buildings")
     number = F.row_number().over(W.partitionBy("layer").orderBy("given", "feature_id"))
     h = attributes.tiered_height(F.col("height_max"), F.col("building_levels"), F.lit(None).cast("double"), F.col("building_type"), F.col("name"), number)
@@ -87,8 +87,8 @@ def conflated(found: DataFrame, reference: DataFrame) -> DataFrame:
     roads = conflate.without(roads, conflate.line_share_in_rings(lines(roads), houses), conflate.INSIDE_OVERLAP)
     roads = components.shared_table(roads, "roads")
     water = named(new, "water").where("area_sqm >= 120").unionByName(named(given, "water").where("geom_type = 'Polygon'"))
-    water = conflate.without(water, conflate.ring_share_in_rings(water, houses), conflate.ROOF_OVERLAP)
-    water = conflate.without(water, conflate.ring_share_in_corridors(water, lines(roads), conflate.WATER_CORRIDOR), conflate.PAVED_OVERLAP)
+    water = conflate.without(water, conflate.ring_share_in_rings(water, houses, conflate.ROOF_OVERLAP), conflate.ROOF_OVERLAP)
+    water = conflate.without(water, conflate.ring_share_in_corridors(water, lines(roads), conflate.WATER_CORRIDOR, conflate.PAVED_OVERLAP), conflate.PAVED_OVERLAP)
     water = components.shared_table(water, "water")
     trees = named(new, "trees")
     at = trees.select("id", F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y"))

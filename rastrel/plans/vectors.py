@@ -148,9 +148,9 @@ def j7_water_off_buildings_and_roads(spark, sf_dir):
     """Water no more than 8 % on roofs together and 12 % on roads' corridors."""
     r = _rings(spark, sf_dir)
     water = r.where("kind = 2")
-    on_roofs = conflate.ring_share_in_rings(water, r.where("kind = 1").withColumn("ring", F.transform("ring", lambda p: geometry.point(p["x"] + 5e-5, p["y"] + 1e-5))))
+    on_roofs = conflate.ring_share_in_rings(water, r.where("kind = 1").withColumn("ring", F.transform("ring", lambda p: geometry.point(p["x"] + 5e-5, p["y"] + 1e-5))), conflate.ROOF_OVERLAP)
     kept = conflate.without(water, on_roofs, conflate.ROOF_OVERLAP)
-    on_roads = conflate.ring_share_in_corridors(kept, _lines(spark, sf_dir), conflate.WATER_CORRIDOR)
+    on_roads = conflate.ring_share_in_corridors(kept, _lines(spark, sf_dir), conflate.WATER_CORRIDOR, conflate.PAVED_OVERLAP)
     return conflate.without(kept, on_roads, conflate.PAVED_OVERLAP).select("id")
 
 
