@@ -9,7 +9,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import functions as F
 
-from rastrel.operators import attributes, components, features, mapalgebra, skeleton, vectorize
+from rastrel.operators import attributes, components, features, mapalgebra, skeleton, stencil, vectorize
 from rastrel.plans import pipeline
 from rastrel.plans.registry import query
 from rastrel.sources import rasters, scenes, vectors
@@ -35,19 +35,121 @@ def s7_demo_scene(spark, sf_dir):
     return scenes.demo_scene(spark).groupBy("red", "green", "blue").agg(F.count("*").alias("pixels"), F.sum(F.col("dsm") - F.col("dtm")).alias("height"))
 
 
+_R, _C = "OVER (PARTITION BY r ORDER BY c", "OVER (PARTITION BY c ORDER BY r"
+_D, _A = "OVER (PARTITION BY r - c ORDER BY r", "OVER (PARTITION BY r + c ORDER BY r"
+_BANDS = f"""d AS (SELECT *, (red + green + blue) / 3.0::DOUBLE AS bright, greatest(dsm - dtm, 0) AS h FROM ({scenes.demo_sql(SIDE)})),
+t AS (SELECT *, sqrt((pow(red - bright, 2) + pow(green - bright, 2) + pow(blue - bright, 2)) / 3.0::DOUBLE) AS dev FROM d)"""
+
+
+def _span(f: str, x: str, k: int, over: str) -> str:
+    return f"{f}({x}) {over} ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)"
+
+
+def _rectangle(name: str, of: str, new: str, old: str, height: int, width: int, fs=("min", "max")) -> str:
+    """Table expressions that add new: old, eroded and dilated (or one of them) by a rectangle."""
+    out, at = "", of
+    for i, f in enumerate(fs):
+        last = i + 1 == len(fs)
+        out += f", {name}{i}a AS (SELECT *, {_span(f, old if not i else f'{new}_', width // 2, _R)} AS {new}_w{i} FROM {at}), {name}{i} AS (SELECT *, {_span(f, f'{new}_w{i}', height // 2, _C)} AS {new if last else new + '_'} FROM {name}{i}a)"
+        at = f"{name}{i}"
+    return out
+
+
+def _corridors(of: str) -> str:
+    """Table expressions that add road to `of`'s columns with paved."""
+    out = _rectangle("ca", of, "c1", "paved", 3, 13) + _rectangle("cb", "ca1", "c2", "paved", 13, 3)
+    out += f", cc AS (SELECT *, {_span('min', 'paved', 5, _D)} AS e3, {_span('min', 'paved', 5, _A)} AS e4 FROM cb1), cd AS (SELECT *, greatest(c1, c2, {_span('max', 'e3', 5, _D)}, {_span('max', 'e4', 5, _A)}) AS way FROM cc)"
+    return out + _quarters("cw", "cd", "way", "ways") + ", road AS (SELECT *, least(0.95::DOUBLE, greatest(0, ways * 1.8::DOUBLE)) AS road FROM cwb)"
+
+
+def _quarters(name: str, of: str, old: str, new: str) -> str:
+    """A blur of a quarter, a half, a quarter, mirrored, each way."""
+    side = lambda x, w: f"coalesce(lag({x}) {w}), lead({x}) {w})) * 0.25::DOUBLE + {x} * 0.5::DOUBLE + coalesce(lead({x}) {w}), lag({x}) {w})) * 0.25::DOUBLE"
+    return f", {name}a AS (SELECT *, {side(old, _R)} AS {new}_ FROM {of}), {name}b AS (SELECT *, {side(f'{new}_', _C)} AS {new} FROM {name}a)"
+
+
+def _kernel(name: str, of: str, old: str, new: str, weights: list[float]) -> str:
+    """A mirrored blur by a kernel, each way, by a join with where each pixel's weights lie."""
+    k, last = len(weights) // 2, SIDE - 1
+    values = ", ".join(f"({i - k}, {w!r}::DOUBLE)" for i, w in enumerate(weights))
+    out = f", {name}k AS (SELECT x::INTEGER AS x, ({last} - abs({last} - abs(x + o)))::INTEGER AS y, w FROM range({SIDE}) a(x), (VALUES {values}) b(o, w))"
+    out += f", {name}a AS (SELECT q.r, k.x AS c, sum(k.w * q.{old}) AS v FROM {of} q JOIN {name}k k ON q.c = k.y GROUP BY q.r, k.x)"
+    return out + f", {name}b AS (SELECT k.x AS r, q.c, sum(k.w * q.v) AS {new} FROM {name}a q JOIN {name}k k ON q.r = k.y GROUP BY k.x, q.c), {name} AS (SELECT * FROM {of} JOIN {name}b USING (r, c))"
+
+
+def _grown(name: str, of: str, old: str, new: str, size: int) -> str:
+    """Dilation by an ellipse: by the width of each of its rows, then over the rows."""
+    half = stencil.half_widths(size)
+    wide = ", ".join(f"{_span('max', old, w, _R)} AS w{w}" for w in sorted(set(half.values())))
+    rows = ", ".join(f"{'lag' if dy < 0 else 'lead'}(w{w}, {abs(dy)}) {_C})" for dy, w in half.items())
+    return f", {name}w AS (SELECT *, {wide} FROM {of}), {name} AS (SELECT * EXCLUDE ({', '.join(f'w{w}' for w in sorted(set(half.values())))}), greatest({rows}) AS {new} FROM {name}w)"
+
+
+def _classes(of: str) -> str:
+    parts = " UNION ALL ".join(f"SELECT '{k}' AS layer, count(*) FILTER ({k} >= {cut}) AS pixels, round(sum({k}), 4) AS score FROM {of}" for k, cut in mapalgebra.CUTS.items())
+    return f" SELECT layer, pixels::BIGINT AS pixels, score::DOUBLE AS score FROM ({parts})"
+
+
+_QUICK = (
+    f"""WITH {_BANDS}, g AS (SELECT * REPLACE (dev * pow(1.5::DOUBLE, 0.5::DOUBLE) AS dev), (2 * green - red - blue) / (red + green + blue + 1e-6) AS excess, coalesce(abs(bright - lag(bright) {_R})), 0) + coalesce(abs(bright - lag(bright) {_C})), 0) AS grad,
+ (sum(bright) {_R} ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) + greatest(0, 7 - c) * first_value(bright) {_R}) + greatest(0, c + 7 - {SIDE - 1}) * first_value(bright) OVER (PARTITION BY r ORDER BY c DESC)) / 15.0::DOUBLE AS m1 FROM t),
+m AS (SELECT *, abs(bright - (sum(m1) {_C} ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) + greatest(0, 7 - r) * first_value(m1) {_C}) + greatest(0, r + 7 - {SIDE - 1}) * first_value(m1) OVER (PARTITION BY c ORDER BY r DESC)) / 15.0::DOUBLE) AS contrast, green > red AND green > blue AS leafy FROM g),
+w AS (SELECT *, CASE WHEN leafy AND excess > 0.01 THEN greatest(0.4::DOUBLE, least(1.0::DOUBLE, excess * 4.5::DOUBLE)) ELSE 0.0::DOUBLE END AS tree,
+ CASE WHEN ((blue > green - 5 AND blue > red + 2 AND excess < 0.02) OR (grad < 8 AND NOT leafy AND bright > 30 AND bright < 170 AND dev < 18) OR (bright < 36 AND NOT leafy)) AND grad < 16 AND NOT leafy THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END AS water,
+ red > green + 3 AND red > blue + 5 AND bright > 50 AND bright < 200 AND grad < 7 AND NOT leafy AS bare FROM m),
+k AS (SELECT *, tree < 0.3 AND water < 0.2 AS clear FROM w),
+roofs AS (SELECT *, bright > 130 AND contrast > 5 AND clear AS tin, red > green + 8 AND red > blue + 10 AND bright > 55 AND bright < 185 AND grad > 8 AND clear AND NOT bare AS clay, bright > 65 AND bright < 245 AND dev < 30 AND contrast > 2.8 AND grad > 6 AND clear AS flat FROM k),
+pave AS (SELECT *, (dev < 24 AND bright > 35 AND bright < 185 AND clear AND NOT clay AND NOT bare)::INTEGER AS paved FROM roofs)"""
+    + _corridors("pave")
+    + """, x AS (SELECT *, CASE WHEN flat AND contrast > 4.5 THEN 0.0::DOUBLE ELSE road END AS way1 FROM road),
+y AS (SELECT *, CASE WHEN (tin OR clay OR flat OR grad > 12) AND clear AND NOT bare AND way1 <= 0.45 THEN 0.90::DOUBLE ELSE 0.0::DOUBLE END AS built FROM x),
+z AS (SELECT *, CASE WHEN h >= 1.8 THEN tree ELSE tree * 0.15::DOUBLE END AS trees, CASE WHEN excess > 0.05 AND tree < 0.35 AND built < 0.2 AND NOT bare AND h < 1.0 THEN 0.85::DOUBLE ELSE 0.0::DOUBLE END AS farms, CASE WHEN h < 1.2 THEN way1 ELSE 0.0::DOUBLE END AS roads FROM y),
+f AS (SELECT *, greatest(built, CASE WHEN h >= 2.5 AND trees < 0.3 AND NOT bare THEN 0.94::DOUBLE ELSE 0.0::DOUBLE END) AS buildings FROM z)"""
+    + _classes("f")
+)
+
+_SCORES = (
+    f"""WITH {_BANDS}, g AS (SELECT *, (2.0::DOUBLE * green - red - blue) / greatest(red + green + blue, 1.0::DOUBLE) AS excess, floor(0.299::DOUBLE * red + 0.587::DOUBLE * green + 0.114::DOUBLE * blue + 0.5::DOUBLE) AS gray FROM t)"""
+    + _rectangle("lo", "g", "low", "gray", 3, 3, ("min",))
+    + _rectangle("hi", "lo0", "high", "gray", 3, 3, ("max",))
+    + f""", l AS (SELECT *, high - low AS grad, abs(coalesce(lag(gray) {_R}), lead(gray) {_R})) + coalesce(lead(gray) {_R}), lag(gray) {_R})) + coalesce(lag(gray) {_C}), lead(gray) {_C})) + coalesce(lead(gray) {_C}), lag(gray) {_C})) - 4 * gray) AS lap FROM hi0)"""
+    + _kernel("tx", "l", "lap", "texture", stencil.gaussian(15))
+    + _kernel("ct", "tx", "bright", "mean", [1.0 / 15] * 15)
+    + """, v AS (SELECT *, abs(bright - mean) AS contrast, green > red + 4 AND green > blue + 4 AND excess > 0.03 AS leafy FROM ct),
+b AS (SELECT *, (red > green + 3 AND red > blue + 5 AND bright > 50 AND bright < 200 AND texture < 5 AND grad < 12 AND NOT leafy)::INTEGER AS bare, (leafy AND texture < 3.5 AND grad < 8)::INTEGER AS lawn FROM v)"""
+    + _grown("gb", "b", "bare", "bares", 11)
+    + _grown("gl", "gb", "lawn", "lawns", 7)
+    + """, w AS (SELECT *, greatest(bares, lawns) = 1 AS open_, CASE WHEN leafy THEN greatest(0.4::DOUBLE, least(1.0::DOUBLE, excess * 4.5::DOUBLE)) ELSE 0.0::DOUBLE END * CASE WHEN h >= 1.8 THEN 1.0::DOUBLE ELSE 0.15::DOUBLE END AS trees, grad < 8 AND NOT leafy AS calm FROM gl),
+wet AS (SELECT *, CASE WHEN ((blue > red + 5 AND blue > green - 5 AND bright < 160 AND excess < 0.05) OR (green > red + 3 AND green > blue + 3 AND excess >= 0 AND excess < 0.12 AND bright < 110 AND texture < 4 AND calm)
+  OR (bright < 100 AND texture < 3.5 AND calm AND red - blue < 25 AND dev < 16 AND bare = 0)) AND NOT leafy AND NOT open_ AND grad <= 12 THEN 0.96::DOUBLE ELSE 0.0::DOUBLE END AS water FROM w),
+k AS (SELECT *, trees < 0.3 AND water < 0.25 AS clear FROM wet), pave AS (SELECT *, (dev < 26 AND bright > 35 AND bright < 195 AND clear)::INTEGER AS paved FROM k)"""
+    + _corridors("pave")
+    + """, roofs AS (SELECT *, CASE WHEN h < 1.4 THEN road ELSE 0.0::DOUBLE END * CASE WHEN open_ THEN 0.15::DOUBLE ELSE 1.0::DOUBLE END AS way1, bright > 130 AND contrast > 5 AND clear AS tin,
+  red > green + 8 AND red > blue + 10 AND bright > 55 AND bright < 185 AND trees < 0.25 AND grad > 8 AND contrast > 4 AND bare = 0 AS clay, bright > 65 AND bright < 245 AND dev < 30 AND contrast > 2.8 AND grad > 6 AND clear AS flat FROM road),
+x AS (SELECT *, CASE WHEN flat AND contrast > 4.5 THEN 0.0::DOUBLE ELSE way1 END AS roads, (tin OR clay OR flat OR (grad > 12 AND clear AND contrast > 6))::INTEGER AS roof FROM roofs)"""
+    + _rectangle("so", "x", "solid", "roof", 3, 3)
+    + _quarters("rb", "so1", "solid", "roofed")
+    + """, y AS (SELECT *, greatest(CASE WHEN roads > 0.45 OR water > 0.25 OR trees > 0.4 OR open_ THEN 0.0::DOUBLE ELSE greatest(0, least(0.95::DOUBLE, roofed * 1.5::DOUBLE)) END, CASE WHEN h >= 2.5 AND trees < 0.3 AND NOT open_ THEN 0.94::DOUBLE ELSE 0.0::DOUBLE END) AS buildings FROM rbb),
+z AS (SELECT *, (excess > 0.06 AND trees < 0.35 AND buildings < 0.2 AND NOT open_ AND texture < 8 AND h < 1.0)::INTEGER AS farm FROM y)"""
+    + _rectangle("fi", "z", "field", "farm", 11, 11)
+    + ", f AS (SELECT *, CASE WHEN farm = 1 AND field = 1 THEN 0.85::DOUBLE ELSE 0.0::DOUBLE END AS farms FROM fi1)"
+    + _classes("f")
+)
+
+
 def _by_class(d):
     parts = [F.struct(F.lit(k).alias("layer"), F.col(k).alias("score"), (F.col(k) >= cut).cast("int").alias("held")) for k, cut in mapalgebra.CUTS.items()]
     d = d.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
     return d.groupBy("layer").agg(F.sum("held").alias("pixels"), F.round(F.sum("score"), 4).alias("score"))
 
 
-@query()
+@query(_SCORES)
 def p6_p14_class_scores(spark, sf_dir):
     """Pixels and sums of scores of each class on the demonstration scene."""
     return _by_class(mapalgebra.scores(_demo(spark)))
 
 
-@query()
+@query(_QUICK)
 def p13_quick_scores(spark, sf_dir):
     """The same by the second set of thresholds."""
     return _by_class(mapalgebra.quick_scores(_demo(spark)))

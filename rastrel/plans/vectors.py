@@ -125,7 +125,30 @@ def j4_building_conflation(spark, sf_dir):
     return conflate.without_overlapping_boxes(moved, p.where("kind = 0")).select("id")
 
 
-@query()
+_LINES = f"""WITH o AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy, round(sqrt(pow((x1 - x0) * 111320 * cos(radians((y0 + y1) / 2)), 2) + pow((y1 - y0) * 111320, 2)), 2) AS length_m FROM ({ORDER_SQL}))"""
+#: Share of a line in the union of intervals (id, low, high) along it: each adds what lies beyond all before it.
+_UNION = """u AS (SELECT id, greatest(0, high - greatest(low, coalesce(max(high) OVER (PARTITION BY id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS more FROM i WHERE high > low),
+s AS (SELECT id, sum(more) AS share FROM u GROUP BY id)"""
+
+
+@query(
+    _LINES
+    + f""", a AS (SELECT * FROM o WHERE id % 5 <> 0 AND length_m >= 45), b AS (SELECT *, sqrt(dx * dx + dy * dy) AS n FROM o WHERE id % 5 = 0),
+m AS (SELECT a.id, a.x0 - b.x0 AS fx, a.y0 - b.y0 AS fy, a.x0 - b.x1 AS gx, a.y0 - b.y1 AS gy, a.dx, a.dy, a.dx * a.dx + a.dy * a.dy AS nn, b.n, CASE WHEN b.n > 0 THEN b.dx / b.n END AS ux, CASE WHEN b.n > 0 THEN b.dy / b.n END AS uy
+  FROM a JOIN b ON least(a.x0, a.x1) - {conflate.ROAD_CORRIDOR} <= greatest(b.x0, b.x1) AND least(b.x0, b.x1) <= greatest(a.x0, a.x1) + {conflate.ROAD_CORRIDOR}
+   AND least(a.y0, a.y1) - {conflate.ROAD_CORRIDOR} <= greatest(b.y0, b.y1) AND least(b.y0, b.y1) <= greatest(a.y0, a.y1) + {conflate.ROAD_CORRIDOR}),
+q AS (SELECT *, fx * dx + fy * dy AS h, gx * dx + gy * dy AS k, fx * ux + fy * uy AS la, dx * ux + dy * uy AS ls, fy * ux - fx * uy AS pa, dy * ux - dx * uy AS ps FROM m),
+w AS (SELECT *, h * h - nn * (fx * fx + fy * fy - pow({conflate.ROAD_CORRIDOR}::DOUBLE, 2)) AS r1, k * k - nn * (gx * gx + gy * gy - pow({conflate.ROAD_CORRIDOR}::DOUBLE, 2)) AS r2,
+  CASE WHEN n = 0 THEN 1e9 WHEN abs(ls) < 1e-300 THEN CASE WHEN la BETWEEN 0 AND n THEN -1e9 ELSE 1e9 END ELSE least(-la / ls, (n - la) / ls) END AS l1,
+  CASE WHEN n = 0 THEN -1e9 WHEN abs(ls) < 1e-300 THEN CASE WHEN la BETWEEN 0 AND n THEN 1e9 ELSE -1e9 END ELSE greatest(-la / ls, (n - la) / ls) END AS h1,
+  CASE WHEN n = 0 THEN 1e9 WHEN abs(ps) < 1e-300 THEN CASE WHEN abs(pa) <= {conflate.ROAD_CORRIDOR} THEN -1e9 ELSE 1e9 END ELSE least((-{conflate.ROAD_CORRIDOR} - pa) / ps, ({conflate.ROAD_CORRIDOR} - pa) / ps) END AS l2,
+  CASE WHEN n = 0 THEN -1e9 WHEN abs(ps) < 1e-300 THEN CASE WHEN abs(pa) <= {conflate.ROAD_CORRIDOR} THEN 1e9 ELSE -1e9 END ELSE greatest((-{conflate.ROAD_CORRIDOR} - pa) / ps, ({conflate.ROAD_CORRIDOR} - pa) / ps) END AS h2 FROM q),
+z AS (SELECT id, CASE WHEN r1 >= 0 THEN (-h - sqrt(r1)) / nn END AS a1, CASE WHEN r1 >= 0 THEN (-h + sqrt(r1)) / nn END AS b1, CASE WHEN r2 >= 0 THEN (-k - sqrt(r2)) / nn END AS a2, CASE WHEN r2 >= 0 THEN (-k + sqrt(r2)) / nn END AS b2,
+  CASE WHEN greatest(l1, l2) <= least(h1, h2) THEN greatest(l1, l2) END AS a3, CASE WHEN greatest(l1, l2) <= least(h1, h2) THEN least(h1, h2) END AS b3 FROM w),
+i AS (SELECT id, greatest(0, least(1, least(a1, a2, a3))) AS low, greatest(0, least(1, greatest(b1, b2, b3))) AS high FROM z WHERE coalesce(a1, a2, a3) IS NOT NULL),
+{_UNION}
+SELECT id, length_m, 'reference' AS source FROM b UNION ALL SELECT a.id, length_m, 'found' FROM a LEFT JOIN s USING (id) WHERE coalesce(share, 0) <= {conflate.ROAD_OVERLAP}"""
+)
 def j1_road_conflation(spark, sf_dir):
     """Reference roads, and found ones of 45 m and more that run no more than 12 % in their corridors."""
     d = _lines(spark, sf_dir).withColumn("length_m", geometry.road_length(F.col("line")))
@@ -135,7 +158,15 @@ def j1_road_conflation(spark, sf_dir):
     return reference.select("id", "length_m", F.lit("reference").alias("source")).unionByName(kept.select("id", "length_m", F.lit("found").alias("source")))
 
 
-@query()
+@query(
+    _LINES
+    + f""", p AS ({PART_SQL}), a AS (SELECT * FROM o WHERE length_m >= 25),
+m AS (SELECT a.id, a.dx, a.dy, p.x0 - a.x0 AS l, p.x1 - a.x0 AS r, p.y0 - a.y0 AS d, p.y1 - a.y0 AS t FROM a JOIN p ON least(a.x0, a.x1) <= p.x1 AND p.x0 <= greatest(a.x0, a.x1) AND least(a.y0, a.y1) <= p.y1 AND p.y0 <= greatest(a.y0, a.y1)),
+i AS (SELECT id, greatest(0, CASE WHEN dx = 0 THEN 0 ELSE least(l / dx, r / dx) END, CASE WHEN dy = 0 THEN 0 ELSE least(d / dy, t / dy) END) AS low,
+  least(1, CASE WHEN dx = 0 THEN 1 ELSE greatest(l / dx, r / dx) END, CASE WHEN dy = 0 THEN 1 ELSE greatest(d / dy, t / dy) END) AS high FROM m),
+{_UNION}
+SELECT a.id, length_m FROM a LEFT JOIN s USING (id) WHERE coalesce(share, 0) <= {conflate.INSIDE_OVERLAP}"""
+)
 def j6_roads_off_buildings(spark, sf_dir):
     """Roads of 25 m and more, no more than 12 % of them in buildings together."""
     d = _lines(spark, sf_dir).withColumn("length_m", geometry.road_length(F.col("line"))).where("length_m >= 25")
