@@ -102,6 +102,17 @@ def tidy() -> None:
         libc.malloc_trim(0)
 
 
+def lean(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """f for applyInArrow, by workers that tidy up behind each group."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t)
+        tidy()
+        return out
+
+    return run
+
+
 def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow(f, schema) in short batches, by workers that tidy up."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import fresh_path, mapped, materialise, table
+from rastrel.llm.common import fresh_path, lean, mapped, materialise, remove_path, table
 from rastrel.llm.restaurants import Restaurants, sampled
 
 #: Bytes before a byte that its context has.
@@ -196,31 +196,35 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(_ROW).parquet(path)
 
 
+def _gone(df: DataFrame, kind: str | None = None) -> None:
+    """Removes a written table, or its rows of a kind, that nothing needs any longer."""
+    for folder in {f.rpartition("/")[0] for f in (df if kind is None else df.where(F.col("kind") == kind)).inputFiles()}:
+        if kind is None or folder.endswith(f"kind={kind}"):
+            remove_path(df.sparkSession, folder)
+
+
 # --- chunks and words
 
 
 def chunked(docs: DataFrame, shards: int, chunk: int = CHUNK) -> DataFrame:
-    """Rows "chunk" (a: ids of its tokens among its words, an end, the word b"", behind each document) and "words" (to a
-    shard of words; a: words, b: their tokens to learn from). A chunk's words come in the order of their shards.
+    """Rows "chunk" (a: ids of its tokens among its words, an end, the word b"", behind each document; b: the words' shards)
+    and "words" (to a shard of words; a: words, b: their tokens to learn from). Frequent words have small ids.
 
     docs: doc_id (long), held_out, text.
     """
 
     def close(vocabulary: dict[bytes, int], ids: list[np.ndarray], doc_ids: list, held: list[bool]) -> pa.RecordBatch:
-        name, words = uuid.uuid4().hex, list(vocabulary)
-        shard = np.fromiter((xxhash.xxh64_intdigest(w) % shards for w in words), np.int64, len(words))
-        order = np.argsort(shard, kind="stable")
+        name, words, flat = uuid.uuid4().hex, list(vocabulary), np.concatenate(ids)
+        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
-        lengths = np.array([len(x) for x in ids])
-        flat = place[np.concatenate(ids)]
+        words, flat, lengths = [words[i] for i in order.tolist()], place[flat], np.array([len(x) for x in ids])
+        shard = np.fromiter((xxhash.xxh64_intdigest(w) % shards for w in words), np.int64, len(words))
         counts = np.bincount(flat[~np.repeat(np.array(held, bool), lengths)], minlength=len(words))
-        rows = [{"chunk": name, "kind": "chunk", "a": _pack(flat, "<u4"), "doc_id": doc_ids, "held_out": held, "lengths": lengths.tolist()}]
-        words, starts = [words[i] for i in order], np.searchsorted(shard[order], np.arange(shards + 1))
-        for s in range(shards):
-            a, b = starts[s], starts[s + 1]
-            if a < b:
-                rows.append({"chunk": name, "kind": "words", "shard": s, "a": _words(words[a:b]), "b": _pack(counts[a:b], "<u4")})
+        rows = [{"chunk": name, "kind": "chunk", "a": _pack(flat, "<u4"), "b": _pack(shard, "<u4"), "doc_id": doc_ids, "held_out": held, "lengths": lengths.tolist()}]
+        by_shard = np.argsort(shard, kind="stable")
+        for s, at in zip(np.unique(shard).tolist(), np.split(by_shard, np.flatnonzero(np.diff(shard[by_shard])) + 1), strict=True):
+            rows.append({"chunk": name, "kind": "words", "shard": s, "a": _words([words[i] for i in at.tolist()]), "b": _pack(counts[at], "<u4")})
         return _table(rows).combine_chunks().to_batches()[0]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,18 +248,19 @@ def chunked(docs: DataFrame, shards: int, chunk: int = CHUNK) -> DataFrame:
 
 
 def _gathered(t: pa.Table) -> pa.Table:
-    """A shard of words: "vocabulary" (a: distinct words in byte order, b: their counts) and, for each chunk, "codes" (a: its
-    words' places among them, b: their counts)."""
+    """A shard of words: "vocabulary" (a: distinct words, frequent ones first, then in byte order, b: their counts) and, for
+    each chunk, "codes" (a: its words' places among them, b: their counts)."""
     asked = t.to_pylist()
     lists = [_unwords(r["a"]) for r in asked]
     counts = np.concatenate([_unpack(r["b"], "<u4") for r in asked]).astype(np.int64)
     coded = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
     distinct, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    n = np.bincount(code, counts, len(distinct)).astype(np.int64)
     order = pc.sort_indices(distinct).to_numpy().astype(np.int64)
+    order = order[np.argsort(-n[order], kind="stable")]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    code = rank[code]
-    n = np.bincount(code, counts, len(order)).astype(np.int64)
+    code, n = rank[code], n[order]
     words = distinct.take(pa.array(order)).to_pylist()
     shard = asked[0]["shard"]
     rows = [{"shard": shard, "kind": "vocabulary", "other": len(words), "a": _words(words), "b": _pack(n, "<u8"), "lengths": [int((n > 0).sum())], "doc_id": [int(n.sum())]}]
@@ -268,13 +273,13 @@ def _gathered(t: pa.Table) -> pa.Table:
 class _Tokens:
     """A chunk's tokens: ids of all words of the corpus, training counts, and its distinct pairs by shard."""
 
-    def __init__(self, kinds: dict[str, list[dict]], first: np.ndarray, pair_shards: int):
+    def __init__(self, kinds: dict[str, list[dict]], shards: int, pair_shards: int):
         row = kinds["chunk"][0]
-        codes = sorted(kinds["codes"], key=lambda r: r["shard"])
         self.doc_id, self.held, self.lengths = row["doc_id"], row["held_out"], np.array(row["lengths"], np.int64)
         self.ids = _unpack(row["a"], "<u4").astype(np.int64)
-        self.word = np.concatenate([_unpack(r["a"], "<u4").astype(np.uint64) + np.uint64(first[r["shard"]]) for r in codes])
-        self.count = np.concatenate([_unpack(r["b"], "<u8") for r in codes]).astype(np.int64)
+        self.word_shard = _unpack(row["b"], "<u4")
+        self.word = self.of_words(kinds["codes"], "a", "<u4").astype(np.uint64) * np.uint64(shards) + self.word_shard
+        self.count = self.of_words(kinds["codes"], "b", "<u8").astype(np.int64)
         before = np.concatenate([self.ids[-1:], self.ids[:-1]])  # the chunk's last token is an end, as are those before documents
         pair = self.word[before] << np.uint64(32) | self.word[self.ids]
         self.pair, self.of = np.unique(pair, return_inverse=True)
@@ -290,6 +295,13 @@ class _Tokens:
             for j in range(int(parts[w])):
                 self.split.setdefault(int((home[w] + np.uint64(j)) % np.uint64(pair_shards)), []).append(w)
 
+    def of_words(self, rows: list[dict], field: str, kind: str) -> np.ndarray:
+        """What the shards say of the chunk's words, each of its own in their order."""
+        got = np.concatenate([_unpack(r[field], kind) for r in sorted(rows, key=lambda r: r["shard"])])
+        out = np.empty_like(got)
+        out[np.argsort(self.word_shard, kind="stable")] = got
+        return out
+
     def asked(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each shard: places of the pairs that it is asked for, by code, and of split contexts (by id)."""
         order = np.lexsort((self.pair, self.shard))
@@ -327,8 +339,8 @@ class _Shard:
         self.words, self.of_word = np.unique(self.code & np.uint64(0xFFFFFFFF), return_inverse=True)
 
 
-def _tables(t: pa.Table, first: np.ndarray) -> pa.Table:
-    """Seats a shard's pairs over the chances that it sees, and tells the shards of words their tables (b) of each word (a)."""
+def _tables(t: pa.Table, shards: int) -> pa.Table:
+    """Seats a shard's pairs over the chances that it sees, and tells the shards of words their tables (b) of words (a: places)."""
     rows = t.to_pylist()
     s = _Shard(rows, rows[0]["shard"])
     seen = np.bincount(s.of_word, minlength=len(s.words)).astype(np.float64)
@@ -336,20 +348,23 @@ def _tables(t: pa.Table, first: np.ndarray) -> pa.Table:
     for _ in range(BURN_IN):
         s.seats.sweep(p)
     tables = np.bincount(s.of_word, s.seats.t, len(s.words)).astype(np.int64)
-    cuts = np.searchsorted(s.words, np.append(first, 1 << 40).astype(np.uint64))
-    out = [{"shard": w, "kind": "tables", "other": rows[0]["shard"], "a": _pack_sorted(s.words[a:b]), "b": _pack(tables[a:b], "<u4"), "doc_id": [int(tables[a:b].sum())]} for w, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+    home, out = s.words % np.uint64(shards), []
+    for w in np.unique(home).tolist():
+        of = home == w
+        out.append({"shard": w, "kind": "tables", "other": rows[0]["shard"], "a": _pack_sorted(s.words[of] // np.uint64(shards)), "b": _pack(tables[of], "<u4"), "doc_id": [int(tables[of].sum())]})
     return _table(out)
 
 
-def _answers(t: pa.Table) -> pa.Table:
+def _answers(t: pa.Table, shards: int) -> pa.Table:
     """Seats a shard's pairs over the chances of words, and tells each chunk what its pairs (a) and contexts (b) get."""
     kinds = _rows(t)
     if "pairs" not in kinds:
         return _table([])
     shard = kinds["pairs"][0]["shard"]
     s = _Shard(kinds["pairs"], shard)
-    told = sorted(kinds.get("chances", []), key=lambda r: r["other"])
-    p = np.concatenate([_unpack(r["b"], "<f4") for r in told]).astype(np.float64) if told else np.zeros(0)
+    home, p = s.words % np.uint64(shards), np.zeros(len(s.words))
+    for r in kinds.get("chances", []):
+        p[home == r["other"]] = _unpack(r["b"], "<f4")
     seen, rest = sampled(s.seats, p[s.of_word], BURN_IN, SAMPLES)
     out = []
     for r, pairs, split in zip(s.asks, s.pairs, s.splits, strict=True):
@@ -367,13 +382,13 @@ def _answers(t: pa.Table) -> pa.Table:
 # --- words
 
 
-def _word_seats(kinds: dict[str, list[dict]], first: int, share: float, customers: int) -> tuple[list[bytes], np.ndarray, Restaurants]:
+def _word_seats(kinds: dict[str, list[dict]], share: float, customers: int) -> tuple[list[bytes], np.ndarray, Restaurants]:
     """A shard's words, which of them have customers, and their restaurant."""
     row = kinds["vocabulary"][0]
     words = _unwords(row["a"])
     m = np.zeros(len(words), np.int64)
     for r in kinds.get("tables", []):
-        m[(_unpack_sorted(r["a"]) - np.uint64(first)).astype(np.int64)] += _unpack(r["b"], "<u4")
+        m[_unpack_sorted(r["a"]).astype(np.int64)] += _unpack(r["b"], "<u4")
     on = np.flatnonzero(m)
     seats = Restaurants(np.random.default_rng([SEED, row["shard"], 1]), np.zeros(len(on), np.int64), m[on], 1, np.array([share]), np.array([customers]))
     return words, on, seats
@@ -390,26 +405,26 @@ def score(docs: DataFrame, held_out, chunk: int = CHUNK, shards: int | None = No
     docs: doc_id, text, and whatever else (ignored); held_out: a column, true for documents that nothing is learned from
     (null: false). A null or empty text is its end alone; a very long text is read whole, and is one chunk if need be, a
     very long word is spelled whole; rows that repeat are documents of their own; ties play no part; an empty table gives
-    an empty result; where nothing is learned, words are spelled by uniform bytes. More than 2^32 distinct words are an
-    error.
+    an empty result; where nothing is learned, words are spelled by uniform bytes. Words too many
+    for ids of 32 bits are an error. Tables of what is no longer needed are removed on the way.
     """
     spark = docs.sparkSession
     shards = shards or max(LEAST_SHARDS, -(-docs.count() // SHARD_DOCS))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     chunks = chunked(rows, shards, chunk)
     of = lambda df, kind: df.where(F.col("kind") == kind)
-    known = _written(of(chunks, "words").groupBy("shard").applyInArrow(_gathered, _ROW), "lm-words")
+    known = _written(of(chunks, "words").groupBy("shard").applyInArrow(lean(_gathered), _ROW), "lm-words")
+    _gone(chunks, "words")
     sizes = np.zeros((3, shards), np.int64)
     for r in of(known, "vocabulary").select("shard", "other", F.col("lengths")[0].alias("types"), F.col("doc_id")[0].alias("tokens")).collect():  # rows: shards
         sizes[:, r["shard"]] = r["other"], r["types"], r["tokens"]
-    first = np.cumsum(sizes[0]) - sizes[0]
     types, tokens = int(sizes[1].sum()), int(sizes[2].sum())
-    if sizes[0].sum() >= 1 << 32:
+    if (sizes[0].max() + 1) * shards >= 1 << 32:
         raise ValueError("more than 2^32 distinct words")
     pair_shards = pair_shards or max(LEAST_PAIR_SHARDS, -(-tokens // PAIR_TOKENS))
 
     def ask(t: pa.Table) -> pa.Table:
-        x = _Tokens(_rows(t), first, pair_shards)
+        x = _Tokens(_rows(t), shards, pair_shards)
         learn = np.bincount(x.of, np.repeat(~np.array(x.held, bool), x.lengths), len(x.pair)).astype(np.int64)
         out = []
         for s, at, split in x.asked():
@@ -421,15 +436,15 @@ def score(docs: DataFrame, held_out, chunk: int = CHUNK, shards: int | None = No
         return t["chunk"][0].as_py()
 
     own = of(chunks, "chunk").unionByName(of(known, "codes"))
-    asks = materialise(own.groupBy("chunk").applyInArrow(lambda t: ask(t), _ROW), "lm-pairs")
-    tables = materialise(asks.groupBy("shard").applyInArrow(lambda t: _tables(t, first), _ROW), "lm-tables")
+    asks = materialise(own.groupBy("chunk").applyInArrow(lean(lambda t: ask(t)), _ROW), "lm-pairs")
+    tables = materialise(asks.groupBy("shard").applyInArrow(lean(lambda t: _tables(t, shards)), _ROW), "lm-tables")
     customers = tables.agg(F.sum(F.col("doc_id")[0])).first()[0] or 0
     vocabulary = of(known, "vocabulary").select("chunk", "shard", F.lit("vocabulary").alias("kind"), *[F.col(c) for c in list(_TYPES)[3:]])
 
     def seats(t: pa.Table):
         kinds = _rows(t)
         shard = kinds["vocabulary"][0]["shard"]
-        words, on, r = _word_seats(kinds, int(first[shard]), types / max(1, int(sizes[1][shard])), customers)
+        words, on, r = _word_seats(kinds, types / max(1, int(sizes[1][shard])), customers)
         return kinds, shard, words, on, r
 
     def spell(t: pa.Table) -> pa.Table:
@@ -445,7 +460,7 @@ def score(docs: DataFrame, held_out, chunk: int = CHUNK, shards: int | None = No
         return pa.table({"code": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
 
     by_shard = vocabulary.unionByName(tables).groupBy("shard")
-    grams = by_shard.applyInArrow(lambda t: spell(t), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    grams = by_shard.applyInArrow(lean(lambda t: spell(t)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     grams = grams.orderBy("code").toArrow()  # rows: byte contexts times bytes, bounded by the order
     spelling = Spelling.fit(grams["code"].to_numpy(), grams["n"].to_numpy()) if grams.num_rows else Spelling([])
     sent = spark.sparkContext.broadcast(spelling)
@@ -460,7 +475,7 @@ def score(docs: DataFrame, held_out, chunk: int = CHUNK, shards: int | None = No
             seen[on], rest = mine, float(left[0])
         return _table([{"shard": shard, "kind": "unigram", "a": _pack(seen, "<f8"), "b": _pack(spelled, "<f8"), "c": _pack([rest], "<f8")}])
 
-    unigrams = materialise(by_shard.applyInArrow(lambda t: unigram(t), _ROW), "lm-unigrams")
+    unigrams = materialise(by_shard.applyInArrow(lean(lambda t: unigram(t)), _ROW), "lm-unigrams")
     rest = sum(float(_unpack(bytes(r["c"]), "<f8")[0]) for r in unigrams.select("c").collect()) if customers else 1.0  # rows: shards
 
     def chances(t: pa.Table) -> pa.Table:
@@ -472,17 +487,20 @@ def score(docs: DataFrame, held_out, chunk: int = CHUNK, shards: int | None = No
         log = np.where(seen > 0, np.log10(np.maximum(seen + 10.0 ** np.maximum(fresh, -300), 1e-300)), fresh)
         out = [{"chunk": r["chunk"], "shard": row["shard"], "kind": "log", "a": _pack(log[_unpack(r["a"], "<u4")], "<f4")} for r in kinds.get("codes", [])]
         for r in kinds.get("tables", []):
-            at = (_unpack_sorted(r["a"]) - np.uint64(first[row["shard"]])).astype(np.int64)
+            at = _unpack_sorted(r["a"]).astype(np.int64)
             out.append({"shard": r["other"], "kind": "chances", "other": row["shard"], "b": _pack(np.maximum(10.0 ** log[at], 1e-37), "<f4")})
         return _table(out)
 
-    told = _written(unigrams.unionByName(of(known, "codes").drop("b").withColumn("b", F.lit(None).cast("binary"))).unionByName(tables).groupBy("shard").applyInArrow(lambda t: chances(t), _ROW), "lm-chances")
-    answered = asks.unionByName(of(told, "chances")).groupBy("shard").applyInArrow(_answers, _ROW)
+    told = _written(unigrams.unionByName(of(known, "codes").drop("b").withColumn("b", F.lit(None).cast("binary"))).unionByName(tables).groupBy("shard").applyInArrow(lean(lambda t: chances(t)), _ROW), "lm-chances")
+    _gone(known, "vocabulary")
+    _gone(tables)
+    _gone(unigrams)
+    answered = asks.unionByName(of(told, "chances")).groupBy("shard").applyInArrow(lean(lambda t: _answers(t, shards)), _ROW)
 
     def finish(t: pa.Table) -> pa.Table:
         kinds = _rows(t)
-        x = _Tokens(kinds, first, pair_shards)
-        log = np.concatenate([_unpack(r["a"], "<f4") for r in sorted(kinds["log"], key=lambda r: r["shard"])]).astype(np.float64)
+        x = _Tokens(kinds, shards, pair_shards)
+        log = x.of_words(kinds["log"], "a", "<f4").astype(np.float64)
         seen, left = np.zeros(len(x.pair)), np.zeros(len(x.word))
         of_shard = {r["shard"]: r for r in kinds.get("seen", [])}
         by_id = np.argsort(x.word)
@@ -506,7 +524,7 @@ def score(docs: DataFrame, held_out, chunk: int = CHUNK, shards: int | None = No
         )
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return own.unionByName(of(told, "log")).unionByName(answered).groupBy("chunk").applyInArrow(lambda t: finish(t), out)
+    return own.unionByName(of(told, "log")).unionByName(answered).groupBy("chunk").applyInArrow(lean(lambda t: finish(t)), out)
 
 
 def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
