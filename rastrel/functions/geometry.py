@@ -32,8 +32,9 @@ def _over_segments(line: Column, f) -> Column:
 
 
 def area(ring: Column, kx=1.0, ky=1.0) -> Column:
-    """Shoelace area of a closed ring whose axes are scaled."""
-    return F.abs(_over_segments(ring, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])) / 2.0 * kx * ky
+    """Shoelace area of a closed ring whose axes are scaled; seen from its first point, where products keep their digits."""
+    x, y = ring[0]["x"], ring[0]["y"]
+    return F.abs(_over_segments(ring, lambda a, b: (a["x"] - x) * (b["y"] - y) - (b["x"] - x) * (a["y"] - y))) / 2.0 * kx * ky
 
 
 def length(line: Column, kx=1.0, ky=1.0) -> Column:

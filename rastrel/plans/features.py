@@ -42,10 +42,10 @@ def h2_compound_filter(spark, sf_dir):
 
 
 @query(
-    ELEMENTS + """ SELECT id, round(coalesce(round(try_cast(trim(replace(tags['height'], 'm', '')) AS DOUBLE), 1), round(try_cast(tags['building:levels'] AS DOUBLE) * 3.3::DOUBLE, 1)), 1) AS height FROM el WHERE id % 6 < 2"""
+    ELEMENTS + """ SELECT id, round(coalesce(round(try_cast(trim(replace(tags['height'], 'm', '')) AS DOUBLE), 1), round(try_cast(tags['building:levels'] AS DOUBLE) * 3.3::DOUBLE, 1)), 1) AS height FROM el"""
 )
 def h3_height_parse(spark, sf_dir):
-    d = elements(spark, sf_dir).where("id % 6 < 2")
+    d = elements(spark, sf_dir)
     return d.select("id", attributes.parsed_height(F.col("tags")["height"], F.col("tags")["building:levels"]).alias("height"))
 
 
@@ -185,7 +185,19 @@ def k4_manifest(spark, sf_dir):
     return vectors.manifest(layers(spark, sf_dir))
 
 
-@query()
+@query(
+    ELEMENTS
+    + f""", b AS (SELECT el.id, tags, p.x0, p.y0, p.x1, p.y1, cos(radians((3 * p.y0 + 2 * p.y1) / 5)) * 111320 AS kx,
+  CASE WHEN map_contains(tags, 'building') OR map_contains(tags, 'building:part') THEN 'buildings' WHEN map_contains(tags, 'highway') THEN 'roads' WHEN map_contains(tags, 'natural') OR map_contains(tags, 'landuse') THEN 'water' END AS layer
+  FROM el JOIN ({PART_SQL}) p ON p.id = el.id),
+k AS (SELECT *, layer = 'buildings' AS house, (x1 - x0) * 105000 AS wide, (y1 - y0) * 111320 AS tall FROM b WHERE layer IS NOT NULL)
+SELECT layer, id, CASE WHEN house THEN 'Polygon' ELSE 'LineString' END AS geom_type, CASE WHEN house THEN 'OpenStreetMap / Municipal Ground Truth' ELSE 'OpenStreetMap Ground Truth' END AS source,
+  coalesce(tags['name'], CASE layer WHEN 'buildings' THEN 'Building' WHEN 'roads' THEN 'Unnamed Road' ELSE 'Water Body' END) AS name, CASE WHEN house THEN coalesce(tags['building'], tags['building:part'], 'yes') END AS building_type,
+  CASE WHEN house THEN round((x1 - x0) * kx * (y1 - y0) * 111320, 2) END AS area_sqm,
+  CASE WHEN house THEN coalesce(round(try_cast(trim(replace(tags['height'], 'm', '')) AS DOUBLE), 1), round(try_cast(tags['building:levels'] AS DOUBLE) * 3.3::DOUBLE, 1)) END AS height_max, CASE WHEN house THEN tags['building:levels'] END AS building_levels,
+  CASE WHEN layer = 'roads' THEN round((x1 - x0) * 111320 * cos(radians(y0)) + (y1 - y0) * 111320 + (x1 - x0) * 111320 * cos(radians(y1)), 2) END AS length_m
+FROM k WHERE NOT house OR NOT (wide * tall > 3000 OR greatest(wide, tall) > 110)"""
+)
 def s4_reference_layers(spark, sf_dir):
     """Reference features of all layers from tagged elements."""
     d = attributes.reference_features(elements(spark, sf_dir))

@@ -146,10 +146,10 @@ def n6_ground_filter(spark, sf_dir):
     return d.select("r", "c", F.round("dtm", 9).alias("dtm"))
 
 
-@query(EMB + " SELECT p.r AS id, p.r, p.c, max(q.dsm) AS most FROM px p JOIN px q ON q.r BETWEEN p.r - 2 AND p.r + 2 AND q.c BETWEEN p.c - 2 AND p.c + 2 WHERE p.r % 10 = 0 AND p.c = p.r % 64 GROUP BY p.r, p.c")
+@query(EMB + " SELECT p.r AS id, p.r, p.c, max(q.dsm) AS most FROM px p JOIN px q ON q.r BETWEEN p.r - 2 AND p.r + 2 AND q.c BETWEEN p.c - 2 AND p.c + 2 WHERE p.c = p.r % 64 GROUP BY p.r, p.c")
 def n7_height_sample_max(spark, sf_dir):
     px = _emb(spark, sf_dir)
-    points = px.where("r % 10 = 0 and c = r % 64").select("raster_id", F.col("r").alias("id"), "r", "c")
+    points = px.where("c = r % 64").select("raster_id", F.col("r").alias("id"), "r", "c")
     return stencil.window_max(points, px, "dsm", 2).select("id", "r", "c", "most")
 
 

@@ -212,7 +212,12 @@ def g7_centrelines(spark, sf_dir):
     return skeleton.centrelines(d, METRES, _geo).select("label", "points", "length_m", "width_m", "confidence", "needs_review")
 
 
-@query()
+@query(
+    f"""WITH k AS (SELECT id, seq, 61 + (seq // 2) * (5 + id % 3) AS r, 5 + id * 7 + (seq % 2) * 4 AS c FROM range(20) a(id), range(4) b(seq)),
+ray AS (SELECT id, seq, w, min(s) FILTER (NOT (r + s * dr BETWEEN 30 AND 60 AND c + s * dc BETWEEN 0 AND {SIDE - 1})) AS miss FROM k, (VALUES (1, -1, -1), (2, -1, 0), (3, 0, -1), (4, -1, 1)) v(w, dc, dr), range(1, 90) t(s) GROUP BY id, seq, w),
+n AS (SELECT id, coalesce(miss, 90) - 1 AS steps FROM ray)
+SELECT id, greatest(5.0::DOUBLE, least(140.0::DOUBLE, round(quantile_cont(steps, 0.75) * 0.5::DOUBLE * tan(radians(58::DOUBLE)), 1))) AS shadow_m FROM n WHERE steps >= 4 GROUP BY id HAVING count(*) >= 3"""
+)
 def f13_shadow_height(spark, sf_dir):
     """heights from the dark strips beside boxes; the scene is dark north of row 60."""
     d = _demo(spark).withColumns({b: F.when(F.col("r").between(30, 60), 20.0).otherwise(200.0) for b in ("red", "green", "blue")})

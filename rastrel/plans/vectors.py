@@ -82,8 +82,7 @@ def f5_polygon_measures(spark, sf_dir):
     """area, perimeter and centre of closed rings, in metres at their mean latitude."""
     d = _rings(spark, sf_dir)
     k = geometry.metric_scale(F.col("ring"))
-    shifted = F.transform("ring", lambda p: geometry.point(p["x"] - F.col("x0"), p["y"] - F.col("y0")))  # near the origin, where products keep their digits
-    return d.select("id", F.round(geometry.area(shifted, k, crs.METRES), 2).alias("area_sqm"), F.round(geometry.length(F.col("ring"), k, crs.METRES), 2).alias("perimeter_m"), F.round(geometry.centre(F.col("ring"))[0], 9).alias("cx"))
+    return d.select("id", F.round(geometry.area(F.col("ring"), k, crs.METRES), 2).alias("area_sqm"), F.round(geometry.length(F.col("ring"), k, crs.METRES), 2).alias("perimeter_m"), F.round(geometry.centre(F.col("ring"))[0], 9).alias("cx"))
 
 
 @query(ORDERS + " SELECT id, round(sqrt(pow((x1 - x0) * 111320 * cos(radians((y0 + y1) / 2)), 2) + pow((y1 - y0) * 111320, 2)), 2) AS length_m FROM o")
