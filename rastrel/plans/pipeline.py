@@ -62,11 +62,34 @@ def process_scene(px: DataFrame, metres: float, origin: tuple[float, float], ste
     return components.shared_table(out.withColumn("feature_id", F.col("seq").cast("string")), "features")
 
 
-def conflated(found: DataFrame, reference: DataFrame) -> DataFrame:
+def uploaded(px: DataFrame, metres: float, origin: tuple[float, float], step: tuple[float, float]) -> DataFrame:
+    """Features of a scene that came with a surface (dsm) alone: the ground is estimated from it."""
+    return process_scene(stencil.ground(px.drop("dtm"), "dtm", "dsm", metres), metres, origin, step)
+
+
+def extract_aoi(px: DataFrame, elements: DataFrame, metres: float, origin: tuple[float, float], step: tuple[float, float], terrain: tuple[DataFrame, str, tuple[float, float], tuple[float, float]] | None = None) -> DataFrame:
+    """An area's features: those found on its image (one raster), conflated with a reference map's elements (id, tags,
+    points), with heights from shadows and terrain. terrain: pixels, their value, origin and step."""
+    found = process_scene(px, metres, origin, step, heights="dsm" in px.columns)
+    return conflated(found, attributes.reference_features(elements), (px, metres, origin, step), terrain)
+
+
+def _shadows(houses: DataFrame, image: tuple[DataFrame, float, tuple[float, float], tuple[float, float]]) -> DataFrame:
+    """id, shadow_m of buildings (id, ring), by the image's dark strips beside their corners."""
+    px, metres, (x0, y0), (dx, dy) = image
+    raster = px.select("raster_id").first()
+    corners = houses.select("id", F.posexplode("ring").alias("seq", "p"))
+    corners = corners.select(F.lit(raster and raster[0]).alias("raster_id"), "id", "seq", ((F.lit(y0) - F.col("p.y")) / dy).cast("int").alias("r"), ((F.col("p.x") - x0) / dx).cast("int").alias("c"))
+    return attributes.shadow_heights(corners, px, metres).select("id", "shadow_m")
+
+
+def conflated(found: DataFrame, reference: DataFrame, image: tuple | None = None, terrain: tuple | None = None) -> DataFrame:
     """Found features (process_scene's of one raster) with a reference map's (attributes.reference_features').
 
     Reference features stand; found ones stay where the reference hasn't got them. Linear structures among buildings go
-    before roads are held against buildings, then water against both, then trees against all.
+    before roads are held against buildings, then water against both, then trees against all. image (pixels, metres,
+    origin, step) gives buildings heights from shadows, terrain (pixels, value, origin, step) the elevation at their
+    centres, 12 m where there is none.
     """
     named = lambda d, layer: d.where(F.col("layer") == layer)
     ids = lambda d, base: d.withColumn("id", F.xxhash64(F.lit(base), "layer", "feature_id"))
@@ -81,8 +104,14 @@ def conflated(found: DataFrame, reference: DataFrame) -> DataFrame:
     houses = conflate.without(houses, conflate.ring_share_in_rings(houses, named(given, "buildings"), conflate.BUILDING_OVERLAP), conflate.BUILDING_OVERLAP)
     houses = components.shared_table(conflate.without_linear(named(given, "buildings").unionByName(houses)), "buildings")
     number = F.row_number().over(W.partitionBy("layer").orderBy("given", "feature_id"))
-    h = attributes.tiered_height(F.col("height_max"), F.col("building_levels"), F.lit(None).cast("double"), F.col("building_type"), F.col("name"), number)
+    houses = houses.join(_shadows(houses, image), "id", "left") if image else houses.withColumn("shadow_m", F.lit(None).cast("double"))
+    h = attributes.tiered_height(F.col("height_max"), F.col("building_levels"), F.col("shadow_m"), F.col("building_type"), F.col("name"), number)
     houses = houses.withColumn("height_max", h).withColumns({"height_min": attributes.least_height(F.col("height_max")), "height_mean": F.col("height_max")})
+    if terrain:
+        centre = geometry.centre(F.col("ring"))
+        at = conflate.sampled(houses.select("id", centre[0].alias("x"), centre[1].alias("y")), *terrain, 12.0)
+        houses = houses.join(at.select("id", F.round(terrain[1], 1).alias("terrain_elevation_m")), "id", "left")
+    houses = components.shared_table(houses, "buildings")
     roads = roads.where("length_m >= 25")
     roads = conflate.without(roads, conflate.line_share_in_rings(lines(roads), houses), conflate.INSIDE_OVERLAP)
     roads = components.shared_table(roads, "roads")
@@ -94,4 +123,7 @@ def conflated(found: DataFrame, reference: DataFrame) -> DataFrame:
     at = trees.select("id", F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y"))
     rings = houses.select("ring").unionByName(water.select("ring"))
     trees = trees.join(conflate.points_in_rings(at, rings), "id", "left_anti").join(conflate.points_near_segments(at, conflate.segments(lines(roads)), conflate.TREE_CORRIDOR), "id", "left_anti")
-    return houses.unionByName(roads).unionByName(water).unionByName(trees).unionByName(named(new, "farms")).drop("id")
+    out = houses
+    for d in (roads, water, trees, named(new, "farms")):
+        out = out.unionByName(d, allowMissingColumns=True)
+    return out.drop("id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rastrel.operators import attributes, components, features, mapalgebra, skeleton, stencil, vectorize
 from rastrel.plans import pipeline
+from rastrel.plans.features import elements
 from rastrel.plans.registry import query
 from rastrel.sources import rasters, scenes, vectors
 
@@ -239,6 +240,21 @@ def e1_demo_summary(spark, sf_dir):
     return features.summary(pipeline.process_scene(_demo(spark), METRES, ORIGIN, STEP, heights=False))
 
 
+@query()
+def e2_extract_aoi(spark, sf_dir):
+    """The demonstration's features conflated with a reference map of tagged elements."""
+    d = _demo(spark)
+    out = pipeline.extract_aoi(d, elements(spark, sf_dir), METRES, ORIGIN, STEP, (d, "dtm", ORIGIN, STEP))
+    return out.select("layer", "feature_id", "given", "geom_type", "name", "area_sqm", "length_m", "height_max", "height_min", "shadow_m", "terrain_elevation_m")
+
+
+@query()
+def e3_upload(spark, sf_dir):
+    """Features of the demonstration scene with the ground estimated from its surface."""
+    d = pipeline.uploaded(_demo(spark), METRES, ORIGIN, STEP)
+    return d.select("layer", "feature_id", "geom_type", "area_sqm", "length_m", "height_max", "height_m", "confidence")
+
+
 @query(f"WITH d AS ({scenes.demo_sql(60)}) SELECT r, c, red, green, blue FROM d")
 def s1_tiff_scan(spark, sf_dir):
     """The demonstration scene at 60 x 60, written as a TIFF file to the shared folder and scanned."""

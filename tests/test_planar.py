@@ -285,6 +285,22 @@ def test_conflated_layers(spark):
     assert (out[out.layer == "buildings"].height_max > 0).all() and (out[(out.layer == "buildings") & out.given].height_max == 12.0).all()
 
 
+def test_whole_area(spark):
+    """The chain over one area: what the map has stands with its own heights, elevations are the terrain's, and a dark strip
+    beside a building without a told height gives it one."""
+    origin, step, metres = (72.87, 19.076), (4e-5, 4e-5), 4.4528
+    d = scenes.demo_scene(spark, 150)
+    dark = F.col("r").between(20, 33) & F.col("c").between(8, 40)
+    d = d.withColumns({b: F.when(dark, 10.0).otherwise(F.col(b)) for b in ("red", "green", "blue")})
+    box = lambda r0, c0, r1, c1: [{"x": origin[0] + c * step[0], "y": origin[1] - r * step[1]} for r, c in ((r0, c0), (r0, c1), (r1, c1), (r1, c0))]
+    rows = [(1, {"building": "apartments", "height": "12 m"}, box(45, 45, 49, 52)), (2, {"building": "yes"}, box(34, 20, 36, 23))]
+    elements = spark.createDataFrame(rows, "id long, tags map<string,string>, points array<struct<x:double,y:double>>")
+    out = pipeline.extract_aoi(d, elements, metres, origin, step, (d, "dtm", origin, step)).toPandas()
+    given = out[(out.layer == "buildings") & (out.given == True)].set_index("feature_id")  # noqa: E712
+    assert given.height_max["1"] == 12.0 and (given.terrain_elevation_m == 50.0).all()
+    assert given.shadow_m["2"] > 3 and given.height_max["2"] == given.shadow_m["2"]
+
+
 def test_stream_of_files(spark, tmp_path):
     from rastrel.streaming import ingest
 
