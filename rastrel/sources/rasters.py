@@ -2,45 +2,43 @@
 
 from __future__ import annotations
 
+import io
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastrel.functions import crs
 from rastrel.operators import mapalgebra
+from rastrel.sources import tiff
 
 #: Fixed: where an image without georeference is put, and its width in degrees; grey of a tile that can't be had; side of a tile.
 FALLBACK, FALLBACK_SPAN, GREY, SIDE = (72.87, 19.07), 0.005, 128, 256
 _PIXELS = "raster_id string, r int, c int, bands array<double>"
 _META = "raster_id string, bands int, height int, width int, min_x double, min_y double, max_x double, max_y double, crs string, nodata double"
-_KINDS = {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (8, 2): "i1", (16, 2): "i2", (32, 2): "i4", (32, 3): "f4", (64, 3): "f8"}
+
+
+def opened(uri: str):
+    """A seekable stream of a file in any of pyarrow's file systems."""
+    fs, name = pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/(?!/)", "file:///", uri)))
+    return fs.open_input_file(name)
 
 
 def parse_tiff(raw: bytes) -> tuple[np.ndarray, dict[int, tuple]]:
-    """Array (bands, height, width) and tags of an uncompressed, striped, chunky TIFF."""
-    order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or struct.unpack_from(order + "H", raw, 2)[0] != 42:
-        raise ValueError("not a TIFF file")
-    (at,) = struct.unpack_from(order + "I", raw, 4)
-    (n,) = struct.unpack_from(order + "H", raw, at)
-    forms = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
-    tags: dict[int, tuple] = {}
-    for i in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", raw, at + 2 + 12 * i)
-        if kind in forms:
-            size = struct.calcsize(forms[kind]) * count
-            where = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", raw, at + 10 + 12 * i)[0]
-            tags[tag] = struct.unpack_from(f"{order}{count}{forms[kind]}", raw, where)
-    if tags.get(259, (1,))[0] != 1 or 273 not in tags:
-        raise ValueError("only uncompressed strips are read")
-    width, height, bands = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
-    kind = order + _KINDS[tags.get(258, (1,))[0], tags.get(339, (1,))[0]]
-    data = b"".join(raw[o : o + s] for o, s in zip(tags[273], tags.get(279, (len(raw),)), strict=True))
-    return np.frombuffer(data, kind, width * height * bands).reshape(height, width, bands).transpose(2, 0, 1), tags
+    """Array (bands, height, width) and tags of a whole TIFF file."""
+    f = io.BytesIO(raw)
+    t = tiff.Tiff.opened(f)
+    out = np.zeros((t.height, t.width, t.bands), t.kind)
+    for at in range(t.grid[0] * t.grid[1]):
+        r, c, data = t.read(f, at)
+        out[r : r + data.shape[0], c : c + data.shape[1]] = data
+    return out.transpose(2, 0, 1), t.tags
 
 
 def write_tiff(data: np.ndarray, bounds: tuple[float, float, float, float] | None = None) -> bytes:
@@ -77,25 +75,48 @@ def placed(width: int, height: int, tags: dict[int, tuple], bounds=None) -> tupl
 
 
 def tiffs(spark: SparkSession, path: str, bounds=None) -> tuple[DataFrame, DataFrame]:
-    """Pixels and metadata of the TIFF files at a path, one raster a file; at most three bands are kept."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """Pixels and metadata of the TIFF files at a path, one raster a file; at most three bands are kept.
 
-    def pixels(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for name, raw in zip(pdf.path, pdf.content, strict=True):
-                data, _ = parse_tiff(raw)
-                for r in range(data.shape[1]):  # a row at a time
-                    yield pd.DataFrame({"raster_id": name.rpartition("/")[2], "r": r, "c": np.arange(data.shape[2]), "bands": list(data[:3, r].T.astype(float))}).astype({"r": "int32", "c": "int32"})
+    Files are dealt to tasks by their blocks (strips or tiles), each of which is read by itself, so that neither a file nor
+    what it unpacks to has to fit in memory. Samples that a file declares to be no data are NaN.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+    heads = "path string, blocks int, bands int, height int, width int, min_x double, min_y double, max_x double, max_y double, crs string, nodata double"
 
-    def meta(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def head(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows = []
-            for name, raw in zip(pdf.path, pdf.content, strict=True):
-                data, tags = parse_tiff(raw)
-                rows.append((name.rpartition("/")[2], min(3, data.shape[0]), *data.shape[1:], *placed(data.shape[2], data.shape[1], tags, bounds), "EPSG:4326", None))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _META.split(", ")]).astype({"nodata": float})
-
-    return files.mapInPandas(pixels, _PIXELS), files.mapInPandas(meta, _META)
+            for name in pdf.path:
+                with opened(name) as f:
+                    t = tiff.Tiff.opened(f)
+                rows.append((name, t.grid[0] * t.grid[1], min(3, t.bands), t.height, t.width, *placed(t.width, t.height, t.tags, bounds), f"EPSG:{t.epsg() or 4326}", t.nodata()))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in heads.split(", ")]).astype({"nodata": float})
+
+    def pixels(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in it:
+            for name, at in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                if held is None or held[0] != name:
+                    f = opened(name)
+                    held = name, f, tiff.Tiff.opened(f)
+                _, f, t = held
+                r0, c0, data = t.read(f, at)
+                data = data[..., :3].astype(float)
+                if t.nodata() is not None:
+                    data[data == t.nodata()] = np.nan
+                for a in range(0, data.shape[0], max(1, 65536 // data.shape[1])):  # some rows at a time
+                    part = data[a : a + max(1, 65536 // data.shape[1])]
+                    h, w, bands = part.shape
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(h * w + 1) * bands, pa.int32()), pa.array(part.ravel()))
+                    r, c = np.divmod(np.arange(h * w), w)
+                    yield pa.RecordBatch.from_arrays([pa.array([name.rpartition("/")[2]] * (h * w)), pa.array((r + r0 + a).astype(np.int32)), pa.array((c + c0).astype(np.int32)), lists], names=["raster_id", "r", "c", "bands"])
+
+    found = files.mapInPandas(head, heads)
+    blocks = found.select("path", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    tasks = spark.sparkContext.defaultParallelism * 4
+    dealt = blocks.repartition(tasks, "path", F.floor(F.col("block") / 16))
+    meta = found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("raster_id"), *[x.split()[0] for x in _META.split(", ")[1:]])
+    return dealt.mapInArrow(pixels, _PIXELS), meta
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:

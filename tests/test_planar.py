@@ -1,6 +1,8 @@
 """Plane geometry and scores against known values and plain numpy versions."""
 
 import math
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -213,6 +215,117 @@ def test_tiff_round_trip(spark, tmp_path):
     assert m["b.tif"].min_x == 72.87 and m["b.tif"].max_y == pytest.approx(19.07 + 0.005 * 8 / 5)
 
 
+def build_tiff(data, big=False, tile=None, rows=None, how=1, predictor=1, apart=False, order="<", nodata=None, epsg=None):
+    """A TIFF file of (bands, height, width) in whatever form, block by block."""
+    bands, height, width = data.shape
+    h, w = (tile, tile) if tile else (rows or height, width)
+    kind = data.dtype.newbyteorder(order)
+
+    def packed(block):  # rows, columns, samples
+        if predictor == 2:
+            block = np.diff(block.astype(data.dtype), axis=1, prepend=np.zeros_like(block[:, :1])).astype(data.dtype)
+        raw = np.ascontiguousarray(block.astype(kind)).tobytes()
+        if predictor == 3:
+            parts = np.ascontiguousarray(block.astype(data.dtype.newbyteorder(">"))).view(np.uint8).reshape(len(block), -1, data.dtype.itemsize).transpose(0, 2, 1).reshape(len(block), -1)
+            raw = np.diff(parts, axis=1, prepend=np.zeros_like(parts[:, :1])).astype(np.uint8).tobytes()
+        if how == 8:
+            return zlib.compress(raw)
+        if how == 32773:
+            return b"".join(bytes([len(raw[i : i + 100]) - 1]) + raw[i : i + 100] for i in range(0, len(raw), 100))
+        return lzw(raw) if how == 5 else raw
+
+    planes = [data[b : b + 1] for b in range(bands)] if apart else [data]
+    blocks = []
+    for p in planes:
+        for r in range(0, height, h):
+            for c in range(0, width, w):
+                part = p[:, r : r + h, c : c + w].transpose(1, 2, 0)
+                blocks.append(packed(np.pad(part, ((0, h - part.shape[0]) if tile else (0, 0), (0, w - part.shape[1]) if tile else (0, 0), (0, 0)))))
+    number, place, entry, at = ("Q", "Q", "HHQ", 16) if big else ("H", "I", "HHI", 8)
+    offsets = [at + sum(map(len, blocks[:i])) for i in range(len(blocks))]
+    sample = {"u": 1, "i": 2, "f": 3}[data.dtype.kind]
+    tags = {256: ("I", (width,)), 257: ("I", (height,)), 258: ("H", (8 * data.dtype.itemsize,) * bands), 259: ("H", (how,)), 277: ("H", (bands,)), 284: ("H", (2 if apart else 1,)), 317: ("H", (predictor,)), 339: ("H", (sample,) * bands)}
+    tags |= {322: ("I", (w,)), 323: ("I", (h,)), 324: (place, offsets), 325: (place, [len(b) for b in blocks])} if tile else {273: (place, offsets), 278: ("I", (h,)), 279: (place, [len(b) for b in blocks])}
+    if nodata is not None:
+        tags[42113] = ("s", nodata.encode() + b"\0")
+    if epsg:
+        tags[34735] = ("H", (1, 1, 0, 1, 3072, 0, 1, epsg))
+    begin = at + sum(map(len, blocks))
+    codes, extra, entries = {"H": 3, "I": 4, "Q": 16, "s": 2}, b"", b""
+    tail = begin + struct.calcsize("=" + number) + len(tags) * (20 if big else 12) + struct.calcsize("=" + place)
+    for tag, (form, values) in sorted(tags.items()):
+        raw = values if form == "s" else struct.pack(f"{order}{len(values)}{form}", *values)
+        entries += struct.pack(order + entry, tag, codes[form], len(values))
+        if len(raw) <= struct.calcsize("=" + place):
+            entries += raw.ljust(struct.calcsize("=" + place), b"\0")
+        else:
+            entries += struct.pack(order + place, tail + len(extra))
+            extra += raw
+    mark = b"II" if order == "<" else b"MM"
+    head = mark + (struct.pack(order + "HHHQ", 43, 8, 0, begin) if big else struct.pack(order + "HI", 42, begin))
+    return head + b"".join(blocks) + struct.pack(order + number, len(tags)) + entries + struct.pack(order + place, 0) + extra
+
+
+def lzw(raw):
+    """Codes that grow one early, a clear at the start and where the table is full."""
+    bits, n, table, width = 0, 0, {}, 9
+
+    def put(code):
+        nonlocal bits, n
+        bits, n = bits << width | code, n + width
+
+    def clear():
+        nonlocal table, width
+        table = {bytes([i]): i for i in range(256)} | {None: 256, "end": 257}
+
+    clear()
+    put(256)
+    have = b""
+    for b in raw:
+        if have + bytes([b]) in table:
+            have += bytes([b])
+            continue
+        put(table[have])
+        table[have + bytes([b])] = len(table)
+        width = 9 + (len(table) > 511) + (len(table) > 1023) + (len(table) > 2047)
+        if len(table) > 4093:
+            put(256)
+            clear()
+            width = 9
+        have = bytes([b])
+    put(table[have])
+    table["last"] = len(table)
+    width = 9 + (len(table) > 511) + (len(table) > 1023) + (len(table) > 2047)
+    put(257)
+    pad = -n % 8
+    return (bits << pad).to_bytes((n + pad) // 8, "big")
+
+
+def test_tiff_forms(spark, tmp_path):
+    """Strips and tiles, plain and compressed, classic and big, of several types: all read as what was written."""
+    rng = np.random.default_rng(5)
+    bytes_, shorts = rng.integers(0, 255, (3, 61, 47)).astype(np.uint8), rng.integers(0, 9000, (1, 61, 47)).astype(np.uint16)
+    floats, ramp = rng.normal(0, 5, (1, 61, 47)).astype(np.float32), (np.arange(3 * 61 * 47) // 50 % 256).reshape(3, 61, 47).astype(np.uint8)
+    forms = [(bytes_, {"rows": 7}), (bytes_, {"tile": 16, "how": 8, "predictor": 2}), (bytes_, {"big": True, "tile": 32, "how": 5}), (ramp, {"how": 5, "rows": 20, "predictor": 2}), (shorts, {"order": ">", "rows": 10, "how": 8, "predictor": 2}),
+             (floats, {"how": 8, "predictor": 3, "rows": 9}), (floats, {"tile": 16, "order": ">", "big": True}), (bytes_, {"apart": True, "tile": 16, "how": 32773}), (shorts, {"nodata": "77", "epsg": 32643})]
+    shorts[0, 3, 4] = 77
+    for i, (data, form) in enumerate(forms):
+        raw = build_tiff(data, **form)
+        assert np.array_equal(rasters.parse_tiff(raw)[0], data), form
+        (tmp_path / f"{i}.tif").write_bytes(raw)
+    px, meta = rasters.tiffs(spark, str(tmp_path))
+    got = px.toPandas()
+    for i, (data, _) in enumerate(forms):
+        mine = got[got.raster_id == f"{i}.tif"].sort_values(["r", "c"])
+        want = data.astype(float).copy()
+        if i == 8:
+            want[data == 77] = np.nan
+        assert np.array_equal(np.stack(mine.bands.to_list()).T.reshape(data.shape), want, equal_nan=True)
+    assert {r.raster_id: (r.crs, r.nodata) for r in meta.collect()}["8.tif"] == ("EPSG:32643", 77.0)
+    with pytest.raises(ValueError):
+        rasters.parse_tiff(b"II*\0")
+
+
 def test_image_source(spark, tmp_path):
     import struct
     import zlib
