@@ -77,6 +77,11 @@ def segment_distance(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y
     return F.hypot(x - (x0 + t * dx), y - (y0 + t * dy))
 
 
+def crown_height(height: Column) -> Column:
+    """A tree's height as it is drawn, held to 3 to 7.5 metres."""
+    return F.greatest(F.lit(3.0), F.least(F.lit(7.5), height))
+
+
 def crown_ring(x: Column, y: Column, diameter: Column, points: int = 10) -> Column:
     """A tree's crown as a regular polygon, its diameter held to 1.8 to 4 metres."""
     radius = F.greatest(F.lit(1.8), F.least(F.lit(4.0), diameter)) / 2.0

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rastrel.functions.crs import METRES
+
 LAYERS = ("buildings", "roads", "trees", "farms", "water")
 #: Fixed: heights and colours (red, green, blue) that the ramp goes through.
 RAMP = ((0.0, (253, 186, 116)), (9.0, (251, 146, 60)), (18.0, (249, 115, 22)), (30.0, (234, 88, 12)), (45.0, (194, 65, 12)))
@@ -24,6 +26,22 @@ def summary(features: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def merged_summary(found: DataFrame, merged: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The summary after conflation. Fields aren't conflated and the mean confidence is that of the buildings found, so those
+    two are taken from before."""
+    before = summary(found, by).select(*by, F.col("farm_parcel_count").alias("_farms"), F.col("avg_building_confidence").alias("_sure"))
+    after = summary(merged, by)
+    both = after.join(before, list(by), "left") if by else after.crossJoin(before)  # a row each
+    return both.withColumns({"farm_parcel_count": F.coalesce("_farms", F.lit(0)), "avg_building_confidence": F.coalesce("_sure", F.lit(0.0))}).drop("_farms", "_sure")
+
+
+def selected(areas: DataFrame, least: float = 100.0) -> DataFrame:
+    """Areas (id, and two corners x0, y0, x1, y1 in any order) of over 100 square metres: id, bounds and hectares."""
+    low_x, high_x, low_y, high_y = F.least("x0", "x1"), F.greatest("x0", "x1"), F.least("y0", "y1"), F.greatest("y0", "y1")
+    sqm = (high_y - low_y) * METRES * (high_x - low_x) * METRES * F.cos(F.radians((low_y + high_y) / 2))
+    return areas.where(sqm > least).select("id", low_x.alias("min_lon"), low_y.alias("min_lat"), high_x.alias("max_lon"), high_y.alias("max_lat"), F.round(sqm / 1e4, 2).alias("hectares"))
+
+
 def flagged(features: DataFrame, least: float) -> DataFrame:
     """Of the features with a confidence, how many are below `least`."""
     return features.agg(F.count_if(F.col("confidence") < least).alias("flagged"), F.count("confidence").alias("total"))

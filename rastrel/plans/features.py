@@ -202,3 +202,39 @@ def s4_reference_layers(spark, sf_dir):
     """Reference features of all layers from tagged elements."""
     d = attributes.reference_features(elements(spark, sf_dir))
     return d.select("layer", "id", "geom_type", "source", "name", "building_type", "area_sqm", "height_max", "building_levels", "length_m")
+
+
+_SUMMARY = """count(*) FILTER (layer = 'buildings') AS building_count, count(*) FILTER (layer = 'roads') AS road_segment_count, count(*) FILTER (layer = 'trees') AS tree_count,
+count(*) FILTER (layer = 'water') AS water_body_count, round(coalesce(sum(coalesce(length_m, 45)) FILTER (layer = 'roads'), 0) / 1000, 3) AS total_road_km"""
+
+
+@query(
+    LAYERS + f""", m AS (SELECT raster_id, {_SUMMARY} FROM l WHERE confidence >= 0.3 OR confidence IS NULL GROUP BY raster_id),
+b AS (SELECT raster_id, count(*) FILTER (layer = 'farms') AS farm_parcel_count, round(coalesce(avg(confidence) FILTER (layer = 'buildings'), 0), 3) AS avg_building_confidence FROM l GROUP BY raster_id)
+SELECT * FROM m JOIN b USING (raster_id)"""
+)
+def a2_merged_summary(spark, sf_dir):
+    """A2: the summary after features went; fields and the mean confidence are those from before."""
+    d = layers(spark, sf_dir)
+    return features.merged_summary(d, d.where("confidence >= 0.3 or confidence is null"), ("raster_id",))
+
+
+_SHAPES = "CASE WHEN layer = 'roads' THEN 'LineString' WHEN layer = 'trees' THEN 'Point' ELSE 'Polygon' END"
+
+
+@query(LAYERS + f" SELECT layer, feature_id, {_SHAPES} AS geom_type FROM l WHERE layer IN ('buildings', 'roads', 'trees') AND {_SHAPES} IN ('Polygon', 'LineString')")
+def c3_geometry_filter(spark, sf_dir):
+    """Features of some layers with some kinds of geometry."""
+    d = layers(spark, sf_dir).withColumn("geom_type", F.expr(_SHAPES.lower().replace("linestring", "LineString").replace("point", "Point").replace("polygon", "Polygon")))
+    return features.visible(d, ["buildings", "roads", "trees"], ["Polygon", "LineString"]).select("layer", "feature_id", "geom_type")
+
+
+@query(f"""WITH p AS (SELECT *, x0 + (id % 3) * 0 AS gx FROM ({PART_SQL})), twice AS (SELECT id, x0, y0, x1, y1 FROM p UNION ALL SELECT 1000000 + id, x0, y0, x1, y1 FROM p WHERE id % 4 = 0),
+gone AS (SELECT * FROM p WHERE id % 12 = 0)
+SELECT id AS feature_id FROM twice t WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.id = t.id OR (g.x0 = t.x0 AND g.y0 = t.y0 AND g.x1 = t.x1 AND g.y1 = t.y1))""")
+def c6_delete_by_geometry(spark, sf_dir):
+    """Deleted features go, and those drawn alike under another id."""
+    p = scenes.part_boxes(spark, sf_dir)
+    p = p.select(F.col("id").alias("feature_id"), geometry.box_ring(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("ring"))
+    twice = p.unionByName(p.where("feature_id % 4 = 0").withColumn("feature_id", 1000000 + F.col("feature_id")))
+    return features.without_geometry(twice, p.where("feature_id % 12 = 0")).select("feature_id")

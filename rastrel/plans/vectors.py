@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rastrel.functions import crs, geometry
-from rastrel.operators import conflate, vectorize
+from rastrel.operators import conflate, features, vectorize
 from rastrel.plans.registry import query, table
 from rastrel.sources import rasters, scenes
 from rastrel.sources.scenes import EMBEDDING_SQL, EVENT_SQL, ORDER_SQL, PART_SQL
@@ -98,11 +98,11 @@ def f7_aoi_hectares(spark, sf_dir):
     return d.select("id", F.round(wide * (F.col("max_lat") - F.col("min_lat")) * crs.METRES / 1e4, 3).alias("hectares"))
 
 
-@query(EVENTS + " SELECT id, i::INTEGER AS i, round(x + greatest(1.8, least(4, height / 10)) / 2 / (111320 * cos(radians(y))) * cos(i * 2 * pi() / 10), 9) AS px, round(y + greatest(1.8, least(4, height / 10)) / 2 / 111320 * sin(i * 2 * pi() / 10), 9) AS py FROM e, range(10) t(i)")
+@query(EVENTS + " SELECT id, i::INTEGER AS i, round(x + greatest(1.8, least(4, height / 10)) / 2 / (111320 * cos(radians(y))) * cos(i * 2 * pi() / 10), 9) AS px, round(y + greatest(1.8, least(4, height / 10)) / 2 / 111320 * sin(i * 2 * pi() / 10), 9) AS py, greatest(3.0::DOUBLE, least(7.5::DOUBLE, height / 20)) AS drawn FROM e, range(10) t(i)")
 def f12_tree_crown_ring(spark, sf_dir):
     d = scenes.event_points(spark, sf_dir)
-    d = d.select("id", F.posexplode(F.slice(geometry.crown_ring(F.col("x"), F.col("y"), F.col("height") / 10), 1, 10)).alias("i", "p"))
-    return d.select("id", "i", F.round("p.x", 9).alias("px"), F.round("p.y", 9).alias("py"))
+    d = d.select("id", geometry.crown_height(F.col("height") / 20).alias("drawn"), F.posexplode(F.slice(geometry.crown_ring(F.col("x"), F.col("y"), F.col("height") / 10), 1, 10)).alias("i", "p"))
+    return d.select("id", "i", F.round("p.x", 9).alias("px"), F.round("p.y", 9).alias("py"), "drawn")
 
 
 @query(PARTS + " SELECT id FROM p WHERE NOT (greatest(x1 - x0, 0.21 * (y1 - y0)) / least(x1 - x0, 0.21 * (y1 - y0)) > 6 AND greatest(x1 - x0, 0.21 * (y1 - y0)) * 111320 > 8)")
@@ -222,3 +222,13 @@ def v8_rasterise(spark, sf_dir):
     f = _rings(spark, sf_dir).select(F.lit("s").alias("raster_id"), "id", "ring")
     d = vectorize.polygon_pixels(f, (72.87, 19.1), (2e-6, 2e-6))
     return d.groupBy("id").agg(F.count("*").alias("pixels"), F.min("r").alias("r0"), F.max("c").alias("c1"))
+
+
+@query(EVENTS + """, a AS (SELECT id, x AS x0, y AS y0, x + (id % 7 - 3) * 4e-5::DOUBLE AS x1, y + (id % 5 - 2) * 6e-5::DOUBLE AS y1 FROM e),
+s AS (SELECT id, least(x0, x1) AS min_lon, least(y0, y1) AS min_lat, greatest(x0, x1) AS max_lon, greatest(y0, y1) AS max_lat FROM a),
+q AS (SELECT *, (max_lat - min_lat) * 111320 * (max_lon - min_lon) * 111320 * cos(radians((min_lat + max_lat) / 2)) AS sqm FROM s)
+SELECT id, min_lon, min_lat, max_lon, max_lat, round(sqm / 10000, 2) AS hectares FROM q WHERE sqm > 100""")
+def c9_selected_areas(spark, sf_dir):
+    """Rectangles drawn from any corner, if they are of over 100 square metres."""
+    d = scenes.event_points(spark, sf_dir).selectExpr("id", "x x0", "y y0", "x + (id % 7 - 3) * 4e-5D x1", "y + (id % 5 - 2) * 6e-5D y1")
+    return features.selected(d)
