@@ -18,12 +18,18 @@ MIN_WORDS = 50
 MAX_DOCS = 20
 #: A document that keeps less than this share of its words is rejected.
 LEAST_KEPT = 0.5
-#: Up to so many frequent lines (16 bytes each) are broadcast; beyond, lines meet them by shuffle.
-BROADCAST_LINES = 200_000
+#: Up to so many frequent lines (16 bytes each) are broadcast, and documents of up to so many lines look theirs up in place;
+#: beyond either, lines meet them as rows.
+BROADCAST_LINES, LONG_LINES = 20_000, 1000
 #: Keys that a frequent line is spread over in that shuffle.
 SALT = 32
 
 
+def host_of() -> Column:
+    """The source, told from none."""
+    return F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
+
+
 def _runs(w: Column, n: Column, bits: Column) -> Column:
     """Each 3-word window as a long: its hash's lower bits above its position in the lower `bits`."""
     at = lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])
@@ -37,7 +43,7 @@ def base_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFra
     whose hash bits occur twice are then sorted by their words, which decide.
     """
     text = F.coalesce("text", F.lit(""))
-    d = docs.select(*carry, F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))).alias("host"), text.alias("t"), words(F.col("text")).alias("w"))
+    d = docs.select(*carry, host_of().alias("host"), text.alias("t"), words(F.col("text")).alias("w"))
     d = d.withColumn("n", F.size("w")).withColumn("bits", F.ceil(F.log2(F.col("n") + 2)).cast("int"))
     d = d.withColumn("run", F.sort_array(_runs(F.col("w"), F.col("n"), F.col("bits"))))
     d = d.select(
@@ -80,56 +86,79 @@ def line_key(line: Column) -> Column:
     return F.when(key != "", F.xxhash64(key))
 
 
-def frequent_lines(slim: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """host, h: lines that more than max_docs distinct documents of a host hold. slim: host, lines (h, n).
+def _lines(raw: Column) -> Column:
+    return F.transform(raw, lambda x: F.struct(line_key(x).alias("h"), F.size(words(x)).alias("n")))
+
+
+def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """host, h: lines that more than max_docs distinct documents of a host (the source) hold.
 
     A line counts once a document, and documents with the same lines (but for blank ones) in the same order are one.
     """
-    keys = slim.select("host", F.xxhash64("lines.h").alias("copy"), F.array_distinct("lines.h").alias("keys"))  # so that no row of explode carries the lines
-    seen = keys.select("host", "copy", F.explode("keys").alias("h")).where("h is not null").distinct()
+    d = docs.select(host_of().alias("host"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line_key).alias("h"))
+    d = d.select("host", F.xxhash64("h").alias("copy"), F.array_distinct("h").alias("keys"))  # so that no row of explode carries the lines
+    seen = d.select("host", "copy", F.explode_outer("keys").alias("h")).where("h is not null").distinct()
     return seen.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("host", "h")
 
 
-def _hits(lines: DataFrame, often: DataFrame, broadcast_lines: int) -> DataFrame:
-    """The rows of lines (host, h, rid, ...) that are frequent. A line of a third of all documents is one broadcast row, or SALT keys."""
-    if often.count() <= broadcast_lines:
-        return lines.join(F.broadcast(often), ["host", "h"], "left_semi")
-    salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return lines.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALT)).cast("int")).join(salted, ["host", "h", "salt"], "left_semi").drop("salt")
+def _in_place(d: DataFrame, often: DataFrame) -> DataFrame:
+    """base_rules' rows with gone (words of frequent lines) and kept_text; each host's frequent lines are broadcast."""
+    per_host = often.groupBy("host").agg(F.collect_set("h").alias("often"))
+    d = d.withColumn("lines", _lines(F.col("raw"))).join(F.broadcast(per_host), "host", "left")
+    d = d.withColumn("hit", F.when(F.col("often").isNotNull(), F.array_intersect("lines.h", "often")).otherwise(F.array().cast("array<long>"))).drop("often")
+    gone = F.expr("if(size(hit) = 0, 0L, aggregate(filter(lines, x -> x.h is not null and array_contains(hit, x.h)), 0L, (a, x) -> a + x.n))")
+    left = F.expr("array_join(if(size(hit) = 0, raw, transform(filter(arrays_zip(raw, lines), z -> z.lines.h is null or not array_contains(hit, z.lines.h)), z -> z.raw)), '\n')")
+    # The number of the row keeps a caller's filter above: pushed below, it would have arrays made anew for each element.
+    return d.withColumns({"gone": gone, "kept_text": left, "_row": F.monotonically_increasing_id()}).where("_row >= 0").drop("lines", "hit", "raw", "host", "_row")
+
+
+def _as_rows(d: DataFrame, often: DataFrame, few: bool, texts: bool) -> DataFrame:
+    """The same for any number of frequent lines, and documents of any number of lines, which meet them as rows."""
+    d = materialise(d.withColumn("lines", _lines(F.col("raw"))).withColumn("rid", F.monotonically_increasing_id()), "quality-lines")
+
+    def hits(lines: DataFrame) -> DataFrame:
+        """The rows of lines (host, h, rid, ...) that are frequent. A line of a third of all documents is one broadcast row, or SALT keys."""
+        if few:
+            return lines.join(F.broadcast(often), ["host", "h"], "left_semi")
+        salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        return lines.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALT)).cast("int")).join(salted, ["host", "h", "salt"], "left_semi").drop("salt")
+
+    lines = d.select("rid", "host", F.posexplode(F.arrays_zip(F.col("raw"), F.col("lines"))).alias("i", "x")).select("rid", "host", "i", F.col("x.raw").alias("raw"), F.col("x.lines.h").alias("h"), F.col("x.lines.n").alias("n"))
+    struck = materialise(hits(lines.where("h is not null").select("rid", "host", "h", "i", "n")).select("rid", "i", "n"), "quality-struck")
+    gone = struck.groupBy("rid").agg(F.sum("n").alias("gone"))
+    out = d.drop("lines", "host").join(gone, "rid", "left")
+    if not texts:
+        return out.drop("rid", "raw").withColumns({"gone": F.coalesce("gone", F.lit(0)), "kept_text": F.lit(None).cast("string")})
+    # Texts that lose a line are put together again from their other lines; the rest stay as they are.
+    at = lines.join(gone.select("rid"), "rid", "left_semi").select("rid", "i", "raw")
+    left = at.join(struck.select("rid", "i"), ["rid", "i"], "left_anti").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("i", "raw"))).alias("left"))
+    out = out.join(left, "rid", "left")
+    text = F.when(F.col("gone").isNull(), F.array_join("raw", "\n")).otherwise(F.coalesce(F.array_join("left.raw", "\n"), F.lit("")))
+    return out.withColumns({"kept_text": text, "gone": F.coalesce("gone", F.lit(0))}).drop("rid", "raw", "left")
 
 
-def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), max_docs: int = MAX_DOCS, least_kept: float = LEAST_KEPT, broadcast_lines: int = BROADCAST_LINES, texts: bool = False) -> DataFrame:
+def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), max_docs: int = MAX_DOCS, least_kept: float = LEAST_KEPT, broadcast_lines: int = BROADCAST_LINES, texts: bool = False, long_lines: int = LONG_LINES) -> DataFrame:
     """base_rules' counts with n_kept_words and kept, for each document (and kept_text, with `texts`).
 
     docs: text, source and the columns of `carry`; others are ignored, whatever their names. A null text has no word
     and fails the base rules; a null source is a host of its own; each row is judged, also one that repeats another; an
     empty table gives an empty result. Very long texts, of many lines or of one long word, cost time in proportion (and
-    the sorting of their windows): a document's lines meet the frequent ones as rows. A line in exactly max_docs
-    documents stays, and a document that keeps exactly least_kept of its words does. Lines are counted over all
-    documents, those with the same lines (but for blank ones) in the same order once.
+    the sorting of their windows). A line in exactly max_docs documents stays, and a document that keeps exactly
+    least_kept of its words does. Lines are counted over all documents, those with the same lines (but for blank ones) in
+    the same order once.
     """
-    base = base_rules(docs, carry)
-    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    lines = F.transform("raw", lambda x: F.struct(line_key(x).alias("h"), F.size(words(x)).alias("n")))
-    slim = base.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)], "host", *measures, lines.alias("lines"), F.monotonically_increasing_id().alias("rid"), *(["raw"] if texts else []))
-    slim = materialise(slim, "quality-lines")
-    often = materialise(frequent_lines(slim, max_docs), "quality-often")
-    worded = _hits(slim.select("rid", "host", "lines").select("rid", "host", F.explode("lines").alias("x")).where("x.h is not null").select("rid", "host", F.col("x.h").alias("h"), F.col("x.n").alias("n")), often, broadcast_lines)
-    gone = worded.groupBy("rid").agg(F.sum("n").alias("gone"))
-    d = slim.select("rid", *[f"_{i}" for i in range(len(carry))], *measures).join(gone, "rid", "left")
-    d = d.withColumn("n_kept_words", F.col("n_words") - F.coalesce("gone", F.lit(0)).cast("long"))
-    named = [F.col(f"_{i}").alias(c) for i, c in enumerate(carry)]
-    out = [*named, *measures, "n_kept_words", (~F.col("base_failed") & (F.col("n_kept_words") >= least_kept * F.col("n_words"))).alias("kept")]
-    if not texts:
-        return d.select(*out)
-    # Texts that lose a line are put together again from their other lines; the rest stay as they are.
-    at = slim.join(materialise(gone.select("rid"), "quality-gone"), "rid", "left_semi").select("rid", "host", F.posexplode(F.arrays_zip(F.col("raw"), F.col("lines.h").alias("h"))).alias("i", "x"))
-    at = materialise(at.select("rid", "host", "i", F.col("x.raw").alias("raw"), F.col("x.h").alias("h")), "quality-struck")
-    struck = _hits(at.where("h is not null").select("rid", "host", "h", "i"), often, broadcast_lines).select("rid", "i")
-    left = at.join(struck, ["rid", "i"], "left_anti").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("i", "raw"))).alias("left"))
-    d = d.join(slim.select("rid", "raw"), "rid").join(left, "rid", "left")
-    text = F.when(F.col("gone").isNull(), F.array_join("raw", "\n")).otherwise(F.coalesce(F.array_join("left.raw", "\n"), F.lit("")))
-    return d.select(*out, text.alias("kept_text"))
+    own = [f"_{i}" for i in range(len(carry))]
+    d = docs.select(*[F.col(c).alias(o) for c, o in zip(carry, own, strict=True)], "text", "source")
+    often = materialise(frequent_lines(d, max_docs), "quality-often")
+    few = often.count() <= broadcast_lines
+    is_long = F.size(F.split(F.coalesce("text", F.lit("")), "\n")) > (long_lines if few else -1)
+    out = _as_rows(base_rules(d.where(is_long), tuple(own)), often, few, texts)
+    if few:
+        out = _in_place(base_rules(d.where(~is_long), tuple(own)), often).unionByName(out)
+    out = out.withColumn("n_kept_words", F.col("n_words") - F.col("gone").cast("long"))
+    kept = ~F.col("base_failed") & (F.col("n_kept_words") >= least_kept * F.col("n_words"))
+    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_kept_words"]
+    return out.select(*[F.col(o).alias(c) for c, o in zip(carry, own, strict=True)], *measures, kept.alias("kept"), *(["kept_text"] if texts else []))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
