@@ -233,8 +233,10 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, scale: int = SCA
     blocks = index.join(F.broadcast(cells), ["dim", "cell"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("rid"), "parts")).cast("long"))
     blocks = materialise(blocks.withColumn("slab", F.floor(F.col("block") / slab).cast("long")).drop("first", "parts"), "vector-blocks")
     asks = index.where(F.col("vec_id") % every == 0)
-    shares = asks.groupBy("dim", "cell").agg(F.ceil(F.count("*") / query_block).alias("qs"))
-    asks = asks.join(F.broadcast(shares), ["dim", "cell"]).withColumn("qb", F.concat_ws("/", "cell", F.pmod(F.xxhash64("rid"), "qs"))).drop("qs", "cell")
+    # Queries of near cells share a block until it is full, so that vectors are sent to as few blocks as there must be.
+    ahead = F.coalesce(F.sum("n").over(W.partitionBy("dim").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # rows: dimensions times pivots
+    shares = asks.groupBy("dim", "cell").agg(F.count("*").alias("n")).select("dim", "cell", F.floor(ahead / query_block).alias("qfirst"), F.ceil(F.col("n") / query_block).alias("qs"))
+    asks = asks.join(F.broadcast(shares), ["dim", "cell"]).withColumn("qb", (F.col("qfirst") + F.pmod(F.xxhash64("rid"), "qs")).cast("string")).drop("qs", "qfirst", "cell")
     asks = materialise(asks.withColumn("least", F.lit(float("-inf"))), "vector-queries")
     found, slabs = None, (blocks.agg(F.max("slab")).first()[0] or 0) + 1
     for at in range(slabs):
