@@ -213,12 +213,12 @@ def chunked(docs: DataFrame, shards: int, chunk: int = CHUNK) -> DataFrame:
     docs: doc_id (long), held_out, text.
     """
 
-    def close(vocabulary: dict[bytes, int], ids: list[np.ndarray], doc_ids: list, held: list[bool]) -> pa.RecordBatch:
-        name, words, flat = uuid.uuid4().hex, list(vocabulary), np.concatenate(ids)
+    def close(vocabulary: dict[bytes, int], ids: list[np.ndarray], lengths: list[np.ndarray], doc_ids: list, held: list[bool]) -> pa.RecordBatch:
+        name, words, flat, lengths = uuid.uuid4().hex, list(vocabulary), np.concatenate(ids), np.concatenate(lengths)
         order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
-        words, flat, lengths = [words[i] for i in order.tolist()], place[flat], np.array([len(x) for x in ids])
+        words, flat = [words[i] for i in order.tolist()], place[flat]
         shard = np.fromiter((xxhash.xxh64_intdigest(w) % shards for w in words), np.int64, len(words))
         counts = np.bincount(flat[~np.repeat(np.array(held, bool), lengths)], minlength=len(words))
         rows = [{"chunk": name, "kind": "chunk", "a": _pack(flat, "<u4"), "b": _pack(shard, "<u4"), "doc_id": doc_ids, "held_out": held, "lengths": lengths.tolist()}]
@@ -228,21 +228,34 @@ def chunked(docs: DataFrame, shards: int, chunk: int = CHUNK) -> DataFrame:
         return _table(rows).combine_chunks().to_batches()[0]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new = lambda: ({b"": 0}, [], [], [])
-        (vocabulary, ids, doc_ids, held), n = new(), 0
+        new = lambda: ({b"": 0}, [], [], [], [])
+        (vocabulary, ids, lengths, doc_ids, held), n = new(), 0
         for batch in it:
-            texts = batch.column("text").cast(pa.binary())
-            for doc_id, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts, strict=True):
-                words = [*(text.as_py() or b"").lower().split(), b""]  # bytes: A-Z, and white space [\x20\x09-\x0D], alone
-                ids.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words)))
-                doc_ids.append(doc_id)
-                held.append(out)
-                n += len(words)
+            texts = pc.fill_null(batch.column("text"), "")
+            parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))  # A-Z, and white space [\x20\x09-\x0D], alone
+            coded = parts.values.dictionary_encode()
+            distinct, code, at = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), parts.offsets.to_numpy()
+            blank = pc.equal(pc.binary_length(pc.ascii_trim_whitespace(texts)), 0).to_numpy(zero_copy_only=False)  # split to one empty word
+            size = np.where(blank, 0, np.diff(at)) + 1
+            doc_id, out, a = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), 0
+            while a < batch.num_rows:
+                b = min(batch.num_rows, a + 1 + int(np.searchsorted(np.cumsum(size[a:]), chunk - n)))
+                slice_, used = code[at[a] : at[b]], np.zeros(len(distinct), bool)
+                used[slice_] = True
+                place = np.zeros(len(distinct), np.int64)
+                for i in np.flatnonzero(used).tolist():
+                    place[i] = vocabulary.setdefault(distinct[i], len(vocabulary))
+                kept = slice_[np.repeat(~blank[a:b], np.diff(at[a : b + 1]))]
+                ids.append(np.insert(place[kept], np.cumsum(size[a:b] - 1), 0))
+                lengths.append(size[a:b])
+                doc_ids += doc_id[a:b]
+                held += out[a:b]
+                n, a = n + int(size[a:b].sum()), b
                 if n >= chunk:
-                    yield close(vocabulary, ids, doc_ids, held)
-                    (vocabulary, ids, doc_ids, held), n = new(), 0
+                    yield close(vocabulary, ids, lengths, doc_ids, held)
+                    (vocabulary, ids, lengths, doc_ids, held), n = new(), 0
         if doc_ids:
-            yield close(vocabulary, ids, doc_ids, held)
+            yield close(vocabulary, ids, lengths, doc_ids, held)
 
     return _written(mapped(docs.select("doc_id", "held_out", "text"), run, _ROW), "lm-chunks")
 
