@@ -159,11 +159,11 @@ def p13_quick_scores(spark, sf_dir):
 _HIGH = f"""WITH d AS ({scenes.demo_sql(SIDE)}), h AS (SELECT r, c, dsm - dtm AS h, CASE WHEN dsm - dtm > 11 THEN 1 ELSE 2 END AS label FROM d WHERE dsm - dtm > 5)"""
 
 
-@query(_HIGH + " SELECT label::BIGINT AS label, round(quantile_cont(h + r * 0.01, 0.95), 2) AS height_max, round(quantile_cont(h + r * 0.01, 0.10), 2) AS height_min, round(avg(h + r * 0.01), 2) AS height_mean, CASE WHEN stddev_pop(h + r * 0.01) < 0.8 THEN 'flat' ELSE 'sloped' END AS roof_profile FROM h GROUP BY label")
+@query(_HIGH + " SELECT label::BIGINT AS label, round(quantile_cont(h + r * 0.011, 0.95), 2) AS height_max, round(quantile_cont(h + r * 0.011, 0.10), 2) AS height_min, round(avg(h + r * 0.011), 2) AS height_mean, CASE WHEN stddev_pop(h + r * 0.011) < 0.8 THEN 'flat' ELSE 'sloped' END AS roof_profile FROM h GROUP BY label")
 def v7_roof_statistics(spark, sf_dir):
     """Roofs of two sets of pixels that rise to the south."""
     h = mapalgebra.ndsm(F.col("dsm"), F.col("dtm"))
-    d = _demo(spark).where(h > 5).select("raster_id", F.when(h > 11, 1).otherwise(2).cast("long").alias("label"), (h + F.col("r") * 0.01).alias("ndsm"))
+    d = _demo(spark).where(h > 5).select("raster_id", F.when(h > 11, 1).otherwise(2).cast("long").alias("label"), (h + F.col("r") * 0.011).alias("ndsm"))
     return vectorize.roof_statistics(d).drop("raster_id")
 
 
