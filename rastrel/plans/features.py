@@ -74,9 +74,10 @@ l AS (SELECT raster_id, feature_id, ['buildings', 'roads', 'trees', 'farms', 'wa
 
 
 def layers(spark, sf_dir):
-    """raster_id, feature_id, layer, length_m, confidence."""
-    c = table(spark, sf_dir, "customer").selectExpr("c_nationkey raster_id", "c_custkey feature_id", "c_custkey % 5 k", "round(abs(c_acctbal) / 100, 2) length_m", "(c_custkey % 100) / 100.0D confidence")
-    s = table(spark, sf_dir, "supplier").selectExpr("s_nationkey raster_id", "1000000000 + s_suppkey feature_id", "s_suppkey % 5 k", "round(abs(s_acctbal) / 100, 2) length_m", "case when s_suppkey % 10 <> 0 then (s_suppkey % 100) / 100.0D end confidence")
+    """raster_id, feature_id, layer, length_m, confidence. Lengths are rounded as SQL rounds doubles: the hundredfold to a
+    whole number (Spark's own round takes the decimal that a double prints as, which is another one at ties)."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_nationkey raster_id", "c_custkey feature_id", "c_custkey % 5 k", "round(abs(c_acctbal) / 100 * 100) / 100 length_m", "(c_custkey % 100) / 100.0D confidence")
+    s = table(spark, sf_dir, "supplier").selectExpr("s_nationkey raster_id", "1000000000 + s_suppkey feature_id", "s_suppkey % 5 k", "round(abs(s_acctbal) / 100 * 100) / 100 length_m", "case when s_suppkey % 10 <> 0 then (s_suppkey % 100) / 100.0D end confidence")
     d = c.unionByName(s)
     name = F.element_at(F.array(*[F.lit(x) for x in features.LAYERS]), (F.col("k") + 1).cast("int"))
     return d.select("raster_id", "feature_id", name.alias("layer"), F.when((F.col("k") == 1) & (F.col("feature_id") % 7 != 0), F.col("length_m")).alias("length_m"), "confidence")
