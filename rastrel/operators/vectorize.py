@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,14 +189,54 @@ def trees(px: DataFrame, score: str, metres: float, origin: tuple[float, float],
     )
 
 
+#: Crossings of edges and rows that are sorted at once.
+_CROSSINGS = 1_000_000
+
+
+def polygon_spans(features: DataFrame, origin: tuple[float, float], step: tuple[float, float]) -> DataFrame:
+    """raster_id, id, r, c0, c1: runs of pixels whose centres lie in features (raster_id, id, ring), from the crossings of
+    their edges with each row. Features with coordinates that are null or not finite have none."""
+
+    def spans(x: np.ndarray, y: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        if not len(x):
+            return
+        start = np.flatnonzero(np.diff(owner, prepend=-1))
+        after = np.arange(1, len(x) + 1)
+        after[np.append(start[1:], len(x)) - 1] = start
+        low, high = np.ceil(np.minimum(y, y[after])).astype(np.int64), np.ceil(np.maximum(y, y[after])).astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(high - low)])[start]
+        cuts = start[np.flatnonzero(np.diff(before // _CROSSINGS)) + 1]
+        for at, to in zip([0, *cuts], [*cuts, len(x)], strict=True):
+            n = (high - low)[at:to]
+            e = np.repeat(np.arange(at, to), n)
+            r = np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n) + low[e]
+            f = after[e]
+            cross = (x[f] - x[e]) * (r - y[e]) / (y[f] - y[e]) + x[e]
+            order = np.lexsort((cross, r, owner[e]))
+            c, first = np.ceil(cross[order]).astype(np.int64), order[::2]
+            some = c[::2] < c[1::2]
+            yield owner[e[first]][some], r[first][some], c[::2][some], c[1::2][some] - 1
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ring, n = batch.column("ring"), batch.column("ring").value_lengths().fill_null(0).to_numpy()
+            points = ring.flatten()
+            x, y = (points.field(k).to_numpy(zero_copy_only=False).astype(float) for k in ("x", "y"))
+            x, y = (x - origin[0]) / step[0], (origin[1] - y) / step[1]
+            owner = np.repeat(np.arange(len(n)), n)
+            bad = np.unique(owner[~(np.isfinite(x) & np.isfinite(y))])
+            ok = ~np.isin(owner, bad)
+            for own, r, c0, c1 in spans(x[ok], y[ok], owner[ok]):
+                own = pa.array(own)
+                yield pa.RecordBatch.from_arrays([batch.column("raster_id").take(own), batch.column("id").take(own), *[pa.array(v.astype(np.int32)) for v in (r, c0, c1)]], ["raster_id", "id", "r", "c0", "c1"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in features.schema}
+    return features.select("raster_id", "id", "ring").mapInArrow(run, f"raster_id {kinds['raster_id']}, id {kinds['id']}, r int, c0 int, c1 int")
+
+
 def polygon_pixels(features: DataFrame, origin: tuple[float, float], step: tuple[float, float]) -> DataFrame:
-    """raster_id, id, r, c: pixels whose centres lie in features (raster_id, id, ring), from each one's own box."""
-    d = features.withColumn("_p", F.transform("ring", lambda p: geometry.point((p["x"] - origin[0]) / step[0], (origin[1] - p["y"]) / step[1])))
-    b = geometry.bounds(F.col("_p"))
-    d = d.withColumn("r", F.explode(F.sequence(F.ceil(b["min_y"]).cast("int"), F.floor(b["max_y"]).cast("int"))))
-    b = geometry.bounds(F.col("_p"))
-    d = d.withColumn("c", F.explode(F.sequence(F.ceil(b["min_x"]).cast("int"), F.floor(b["max_x"]).cast("int"))))
-    return d.where(geometry.contains(F.col("_p"), F.col("c").cast("double"), F.col("r").cast("double"))).select("raster_id", "id", "r", "c")
+    """raster_id, id, r, c: pixels whose centres lie in features (raster_id, id, ring)."""
+    return polygon_spans(features, origin, step).select("raster_id", "id", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
 
 
 def line_pixels(lines: DataFrame, reach: float) -> DataFrame:

@@ -377,6 +377,25 @@ def test_shapefile_and_geopackage(tmp_path):
     assert {"metadata.json", "b.geojson", "b.shp", "b.dbf", "b.prj", "layers.gpkg"} <= set(zipfile.ZipFile(tmp_path / "a.zip").namelist())
 
 
+def test_polygon_spans_equal_points_in_rings(spark, monkeypatch):
+    """Runs of pixels of random stars, some open, one in itself, against every pixel's centre; the work is cut in parts."""
+    monkeypatch.setattr(vectorize, "_CROSSINGS", 50)
+    rng, rows, want = np.random.default_rng(3), [], set()
+    for i in range(40):
+        ring = np.round(rng.uniform(-5, 25, (int(rng.integers(3, 9)), 2)), int(rng.integers(0, 3)))
+        c, r = (v.ravel() for v in np.meshgrid(np.arange(-6, 27), np.arange(-6, 27)))
+        want |= {("a", i, int(b), int(a)) for a, b in zip(c[planar.inside(ring, np.stack([c, r], 1))], r[planar.inside(ring, np.stack([c, r], 1))], strict=True)}
+        points = [{"x": float(x), "y": -float(y)} for x, y in ring]
+        rows.append(("a", i, points + points[: i % 2]))
+    rows += [("a", 90, None), ("a", 91, []), ("a", 92, [{"x": 0.0, "y": 0.0}, {"x": 5.0, "y": None}, {"x": 5.0, "y": 5.0}])]
+    d = spark.createDataFrame(rows, "raster_id string, id long, ring array<struct<x:double,y:double>>").coalesce(1)
+    spans = vectorize.polygon_spans(d, (0.0, 0.0), (1.0, 1.0)).collect()
+    got = [(s.raster_id, s.id, s.r, c) for s in spans for c in range(s.c0, s.c1 + 1)]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(spans) < len(got) / 2
+    assert {tuple(p) for p in vectorize.polygon_pixels(d, (0.0, 0.0), (1.0, 1.0)).collect()} == want
+
+
 def test_conflation_shares(spark):
     line = lambda i, *p: (i, [{"x": x, "y": y} for x, y in p])
     kind = "id long, line array<struct<x:double,y:double>>"
