@@ -116,7 +116,7 @@ def conflated(found: DataFrame, reference: DataFrame, image: tuple | None = None
     roads = conflate.without(roads, conflate.line_share_in_rings(lines(roads), houses), conflate.INSIDE_OVERLAP)
     roads = components.shared_table(roads, "roads")
     water = named(new, "water").where("area_sqm >= 120").unionByName(named(given, "water").where("geom_type = 'Polygon'"))
-    water = conflate.without(water, conflate.ring_share_in_rings(water, houses, conflate.ROOF_OVERLAP), conflate.ROOF_OVERLAP)
+    water = components.shared_table(conflate.without(water, conflate.ring_share_in_rings(water, houses, conflate.ROOF_OVERLAP), conflate.ROOF_OVERLAP), "water")
     water = conflate.without(water, conflate.ring_share_in_corridors(water, lines(roads), conflate.WATER_CORRIDOR, conflate.PAVED_OVERLAP), conflate.PAVED_OVERLAP)
     water = components.shared_table(water, "water")
     trees = named(new, "trees")

@@ -429,6 +429,24 @@ def test_line_shares_over_a_limit(spark):
     assert all(x <= most.get(i, 0.0) + 1e-9 for i, x in quick.items()) and sum(x > 0.12 for x in quick.values()) > 10
 
 
+def test_ring_shares_over_a_limit(spark):
+    """With a limit the same rings are over it as by their whole unions; rings within one corridor meet no list of roads."""
+    rng = np.random.default_rng(9)
+    at = lambda p: [{"x": float(x), "y": float(y)} for x, y in p]
+    corner = rng.uniform(0, 0.003, (60, 2))
+    rings = [(i, at([c, c + [8e-5, 0], c + [8e-5, 5e-5], c + [0, 5e-5], c])) for i, c in enumerate(corner)]
+    start = rng.uniform(0, 0.0015, (40, 2))
+    lines = [(i, at([a, a + d])) for i, (a, d) in enumerate(zip(start, rng.uniform(-4e-4, 4e-4, (40, 2)), strict=True))]
+    r = spark.createDataFrame(rings, "id long, ring array<struct<x:double,y:double>>")
+    ln = spark.createDataFrame(lines + lines[:10], "id long, line array<struct<x:double,y:double>>")
+    caps = [planar.capsule(*(np.array([(p["x"], p["y"]) for p in x])), 1e-4) for _, x in lines]
+    want = {i for i, x in rings if planar.overlap_area(ring := np.array([(p["x"], p["y"]) for p in x[:-1]]), caps) > 0.12 * planar.area(ring)}
+    got = {s.id for s in conflate.ring_share_in_corridors(r, ln, 1e-4, 0.12).collect() if s.share > 0.12}
+    assert got == want and 5 < len(want) < 55
+    quick = {s.id for s in conflate._rings_quickly(r, conflate._pieces(ln), 1e-4).collect() if s.share == 1.0}
+    assert quick and quick <= want
+
+
 def test_conflation_shares(spark):
     line = lambda i, *p: (i, [{"x": x, "y": y} for x, y in p])
     kind = "id long, line array<struct<x:double,y:double>>"
